@@ -56,7 +56,8 @@ def cut_bucket(value: str | Column, cuts: Sequence[float], tie: str | Column) ->
 
 
 def _as_list(b) -> list[Column]:
-    return [col(x) for x in b] if isinstance(b, (list, tuple)) else [col(b)]
+    many = b if isinstance(b, (list, tuple)) else [b]
+    return [F.expr(x) if isinstance(x, str) else x for x in many]
 
 
 def _with_bucket(df: DataFrame, bucket) -> tuple[DataFrame, list[str]]:

@@ -20,6 +20,10 @@ class Registered:
     sql: str | None
 
 
+# Rounding offset. Slightly off one half, so that values lying exactly between two roundings (sums
+# of short decimals) round the same way whatever the summation order.
+TIE = 0.500173
+
 REGISTRY: dict[str, Registered] = {}
 
 
@@ -39,7 +43,7 @@ def project(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("boolean")
         else:
             m = float(10 ** int(kind[1:] or 6))
-            c = F.floor(c.cast("double") * F.lit(m) + F.lit(0.5)) / F.lit(m)
+            c = F.floor(c.cast("double") * F.lit(m) + F.lit(TIE)) / F.lit(m)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -55,7 +59,7 @@ def project_sql(sql: str, spec: str) -> str:
             e = f"CAST({name} AS BOOLEAN)"
         else:
             m = f"1e{int(kind[1:] or 6)}"
-            e = f"CAST(FLOOR(CAST({name} AS DOUBLE) * {m} + 5e-1) / {m} AS DOUBLE)"
+            e = f"CAST(FLOOR(CAST({name} AS DOUBLE) * {m} + {TIE}) / {m} AS DOUBLE)"
         out.append(f"{e} AS {name}")
     return f"SELECT {', '.join(out)} FROM (\n{sql}\n) AS checked"
 
