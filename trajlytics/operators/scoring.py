@@ -162,10 +162,10 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], a: str, b: str, *, buck
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.corr("_ra", "_rb").alias("rank_correlation"))
 
 
-def stability_quantiles(wide: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
+def stability_quantiles(wide: DataFrame, by: Sequence[str], delta: str, *, tolerance: float = 0.0) -> DataFrame:
     """Mean, median, 5 % and 95 % of a delta and the share of favourable (negative) values."""
     agg = wide.groupBy(*by).agg(
-        F.avg(delta).alias("mean_delta"), F.avg((F.col(delta) < 0).cast("double")).alias("favourable_fraction"))
+        F.avg(delta).alias("mean_delta"), F.avg((F.col(delta) < -tolerance).cast("double")).alias("favourable_fraction"))
     q = order_statistics(wide, by, delta, {"median_delta": ("linear", 0.5), "p05_delta": ("linear", 0.05), "p95_delta": ("linear", 0.95)})
     return agg.join(q, list(by))
 

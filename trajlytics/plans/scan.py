@@ -168,8 +168,9 @@ def order_statistics(
 
     ``picks``: name -> (mode, p). Modes: ``linear`` (interpolated percentile), ``higher``
     (smallest value at or above the interpolated position), ``rank`` (the value of one-based rank
-    ``ceil((n + 1) p)``, null when that rank exceeds n). Nulls are left out. Equal values are
-    counted first, so repeated values never travel as rows.
+    ``ceil((n + 1) p)``, null when that rank exceeds n), ``higher_rank`` (``higher`` at the level
+    ``min(1, ceil((n + 1) p) / n)``). Nulls are left out. Equal values are counted first, so
+    repeated values never travel as rows.
     """
     keys = list(keys)
     counted = (
@@ -195,10 +196,13 @@ def order_statistics(
             a, b, t = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
             outs.append((a + (b - a) * t).alias(name))
             continue
+        n, level = F.col("_size"), F.lit(float(p))
         if mode == "higher":
-            k = F.ceil(F.lit(1.0) + F.lit(float(p)) * (F.col("_size") - 1) - F.lit(1e-12))
+            k = F.ceil(level * (n - 1)) + 1
+        elif mode == "higher_rank":
+            k = F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * level) / n) * (n - 1)) + 1
         elif mode == "rank":
-            k = F.ceil((F.col("_size") + 1) * F.lit(float(p)) - F.lit(1e-12))
+            k = F.ceil((n + 1) * level)
         else:
             raise ValueError(f"unknown order statistic mode {mode!r}")
         aggs.append(F.max(F.when((first <= k) & (k <= last), F.col(value))).alias(name))
