@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import div, finite_or_null, is_finite, ols
 from trajlytics.plans.joins import checked_join
-from trajlytics.plans.scan import index_bucket, order_statistics, previous, running, value_bucket
+from trajlytics.plans.scan import order_statistics, previous, running, value_bucket
 
 
 def early_cycle_features(cycles: DataFrame, labels: DataFrame, *, observation_cycle: int = 100, minimum_cycles: int = 20) -> DataFrame:
@@ -292,5 +292,3 @@ def leave_last_out_sqrt_error(df: DataFrame, keys: Sequence[str], *, fit_until:
     k = F.least(F.greatest(F.coalesce(div("_xy", "_xx"), F.lit(0.0)), F.lit(0.0)), F.lit(cap))
     return agg.select(*keys, F.abs(100.0 - k * F.sqrt(F.lit(score_at / year)) - F.col("_target")).alias("leave_last_out_error"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["index_bucket"]

@@ -149,12 +149,12 @@ def evaluate_group_interval(df: DataFrame, by: Sequence[str], group: str, truth:
     return agg.select(*by, "n_groups", "n_rows", "n_covered", cov.alias("coverage"), (cov - nominal).alias("coverage_error"), lo.alias("ci_lower"), hi.alias("ci_upper"))
 
 
-def _beta_cdf(a: float, b: float, x: float) -> float:
+def beta_cdf(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
     if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_cdf(b, a, 1.0 - x)
+        return 1.0 - beta_cdf(b, a, 1.0 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), 1e-300)
     total = d
@@ -176,7 +176,7 @@ def clopper_pearson(successes: int, trials: int, confidence: float, *, two_sided
         lo, hi = 0.0, 1.0
         for _ in range(200):
             mid = 0.5 * (lo + hi)
-            lo, hi = (mid, hi) if _beta_cdf(a, b, mid) < target else (lo, mid)
+            lo, hi = (mid, hi) if beta_cdf(a, b, mid) < target else (lo, mid)
         return 0.5 * (lo + hi)
 
     lower = 0.0 if successes == 0 else solve(successes, trials - successes + 1, tail)

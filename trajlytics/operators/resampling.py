@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import attach_one_row, div, hash_draw, hash_text
+from trajlytics.operators.intervals import beta_cdf
 from trajlytics.operators.selective import cut_bucket, cut_points
-from trajlytics.plans.scan import grouped_rank, hash_bucket, order_statistics, running
+from trajlytics.plans.scan import grouped_rank, hash_bucket, running
+from trajlytics.session import cut_lineage
 
 
 def indexed_units(units: DataFrame, group: Sequence[str], unit: str, seed: str = "unit") -> DataFrame:
@@ -50,7 +53,8 @@ def bootstrap_sums(units: DataFrame, group: Sequence[str], unit: str, sums: Sequ
 
 def paired_bootstrap(paired: DataFrame, group: Sequence[str], unit: str, deltas: Sequence[str], *, replicates: int, seed: str, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean of each delta per group."""
-    reps = bootstrap_sums(paired, group, unit, deltas, replicates=replicates, seed=seed)
+    paired = cut_lineage(paired.select(*group, unit, *deltas))  # read several times below
+    reps = cut_lineage(bootstrap_sums(paired, group, unit, deltas, replicates=replicates, seed=seed))
     out = paired.groupBy(*group).agg(F.count(F.lit(1)).alias("n_units"), *[F.avg(d).alias(f"mean_{d}") for d in deltas])
     a = (1 - level) / 2
     for d in deltas:
@@ -65,6 +69,7 @@ def group_bootstrap_metrics(df: DataFrame, group: str, truth: str, predicted: st
     e = F.col(predicted) - F.col(truth)
     per = df.groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("rows"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"), F.sum(F.abs(e) / F.abs(F.col(truth))).alias("pe"))
+    per = cut_lineage(per)
     reps = bootstrap_sums(per.withColumn("_all", F.lit(0)), ["_all"], group, ["rows", "ae", "se", "pe"], replicates=replicates, seed=seed)
     point = per.agg(F.count(F.lit(1)).alias("n_groups"), (F.sum("ae") / F.sum("rows")).alias("mae"), F.sqrt(F.sum("se") / F.sum("rows")).alias("rmse"), (100 * F.sum("pe") / F.sum("rows")).alias("mape_pct"))
     a = (1 - level) / 2
@@ -110,20 +115,13 @@ def replicate_summary(reps: DataFrame, columns: dict[str, tuple[str, float]]) ->
     return agg.select("n_replicates", "n_undefined", *[F.when(ok, F.col(n)).alias(n) for n in columns], F.when(ok, "ok").otherwise("inconclusive").alias("status"))
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    """log C(n, k) as a running sum of logarithms over at most k terms."""
-    return F.aggregate(F.sequence(F.lit(1), k.cast("int")), F.lit(0.0), lambda s, i: s + F.ln((n - k + i) / i))
-
-
 def binomial_tail(n: Column, k: Column) -> Column:
-    """P(X <= k) for X ~ Binomial(n, 1/2), summed from the logarithm of successive ratios."""
-    terms = F.aggregate(
-        F.sequence(F.lit(0), k.cast("int")), F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda acc, i: F.struct(
-            F.when(i == 0, F.lit(0.0)).otherwise(acc["t"] + F.ln((n - i + 1) / F.greatest(i, F.lit(1)))).alias("t"),
-            (acc["s"] + F.exp(F.when(i == 0, F.lit(0.0)).otherwise(acc["t"] + F.ln((n - i + 1) / F.greatest(i, F.lit(1)))) - n * F.ln(F.lit(2.0)))).alias("s")),
-        lambda acc: acc["s"])
-    return terms
+    """P(X <= k) for X ~ Binomial(n, 1/2); evaluated on aggregated counts only, one call per group."""
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if b >= a else beta_cdf(float(a - b), float(b + 1), 0.5) for a, b in zip(n, k)])
+
+    return tail(n.cast("bigint"), k.cast("bigint"))
 
 
 def sign_counts(deltas: DataFrame, by: Sequence[str], delta: str, tolerance: float) -> DataFrame:
@@ -159,7 +157,7 @@ def exact_sign_flip(deltas: DataFrame, by: Sequence[str], delta: str, *, cap: in
     small = nz.join(size.filter(F.col("n_nonzero") <= cap).select(*by), list(by), "left_semi")
     packed = small.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(delta))).alias("_d"))
     patterns = packed.withColumn("_mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.size("_d")) - 1).cast("int"))))
-    total = F.aggregate(F.transform("_d", lambda v, i: F.when(F.expr("_mask").bitwiseAND(F.shiftleft(F.lit(1), 0)) >= 0, v)), F.lit(0.0), lambda s, v: s + v)
+    total = F.aggregate("_d", F.lit(0.0), lambda s, v: s + v)
     flipped = F.aggregate(
         F.transform("_d", lambda v, i: F.when(F.floor(F.col("_mask") / F.pow(F.lit(2.0), i)) % 2 == 1, -v).otherwise(v)), F.lit(0.0), lambda s, v: s + v)
     judged = patterns.withColumns({"_f": F.abs(flipped), "_o": F.abs(total)})
@@ -273,5 +271,3 @@ def permutation_control(
     return cut.groupBy("permutation").agg(F.count(F.lit(1)).alias("n_issued"), F.avg(F.col(catastrophic).cast("double")).alias("issued_rate"), F.max("pool_rate").alias("pool_rate")).withColumn(
         "risk_reduction", 1.0 - div("issued_rate", "pool_rate"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["order_statistics"]
