@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trajlytics.functions.columns import attach_one_row, hash_text
 from trajlytics.plans.joins import asof_join, join_report
 from trajlytics.plans.scan import grouped_rank, hash_bucket
+from trajlytics.session import cut_lineage
 
 
 def ranked_groups(df: DataFrame, groups: Sequence[str], seed: int) -> DataFrame:
@@ -297,20 +298,24 @@ def local_slice_reference(
     at equal temperature, then along temperature at equal SOC. Neighbours are as-of lookups.
     """
     key = lambda c: F.round(F.col(c) * 1e9).cast("bigint")
+    # both tables are read by every lookup below: the request list and the reference grid are written once
+    targets, references = cut_lineage(targets), cut_lineage(references)
     ref = references.select(key("temperature_c").alias("_kt"), key("storage_soc_fraction").alias("_ks"),
                             F.col("temperature_c").alias("_t0"), F.col("storage_soc_fraction").alias("_s0"),
                             F.col("prefix").alias("_p"))
     out = targets.withColumns({"_kt": key("temperature_c"), "_ks": key("storage_soc_fraction")})
-    exact = ref.select("_kt", "_ks", F.col("_p").alias("_exact"))
-    out = out.join(exact, ["_kt", "_ks"], "left")
+    prefix_at = ref.select("_kt", "_ks", "_p")
+    out = out.join(prefix_at.withColumnRenamed("_p", "_exact"), ["_kt", "_ks"], "left")
+    # Neighbour coordinates are looked up on (id, coordinates) only; prefixes follow by equality joins.
+    slim = out.select("request_id", "_kt", "_ks")
     for slice_key, axis, level, tag in [("_kt", "_ks", "_s0", "s"), ("_ks", "_kt", "_t0", "t")]:
         for side, sign in [("lo", 1), ("hi", -1)]:
-            neg = ref.select(slice_key, (F.col(axis) * sign).alias("_axis"),
-                             F.col(level).alias(f"_{tag}{side}"), F.col("_p").alias(f"_{tag}{side}p"))
-            out = asof_join(
-                out.withColumn("_a", F.col(axis) * sign), neg, keys=[slice_key], left_on="_a", right_on="_axis",
-                values=[f"_{tag}{side}", f"_{tag}{side}p"], bucket=F.floor(F.col("_t") / 10**9), strict=True,
-            ).drop("_a")
+            known = ref.select(slice_key, (F.col(axis) * sign).alias("_axis"), F.col(level).alias(f"_{tag}{side}"), F.col(axis).alias("_hit"))
+            hit = asof_join(
+                slim.select("request_id", slice_key, (F.col(axis) * sign).alias("_a")), known, keys=[slice_key], left_on="_a", right_on="_axis",
+                values=[f"_{tag}{side}", "_hit"], bucket=F.floor(F.col("_t") / 10**9), strict=True)
+            near = hit.join(prefix_at.withColumnsRenamed({axis: "_hit", "_p": f"_{tag}{side}p"}), [slice_key, "_hit"], "left")
+            out = out.join(near.select("request_id", f"_{tag}{side}", f"_{tag}{side}p"), "request_id", "left")
 
     def between(tag: str, at: str) -> Column:
         w = (F.col(at) - F.col(f"_{tag}lo")) / (F.col(f"_{tag}hi") - F.col(f"_{tag}lo"))
