@@ -348,7 +348,7 @@ def fingerprint(df: DataFrame, text: Column, keys: Sequence[str] = ()) -> DataFr
     """
     digest = F.sha2(text, 256)
     parts = [
-        F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_s{i}")
+        F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint").cast("decimal(28,0)")).alias(f"_s{i}")
         for i in range(4)
     ]
     agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *parts)

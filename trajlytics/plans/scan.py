@@ -48,9 +48,13 @@ def cut_bucket(value: str | Column, cuts: Sequence[float], tie: str | Column) ->
     which the hash splits further, so a heavily repeated value is spread as well."""
     v = col(value).cast("double")
     if not cuts:
-        return [F.lit(0)]
-    edges = F.array(*[F.lit(float(c)) for c in cuts])
-    below = F.size(F.filter(edges, lambda e: e < v))
+        return [F.lit(0), hash_bucket(tie)]
+    # lower bound by halving steps over the cuts padded to 2**m - 1
+    m = len(cuts).bit_length()
+    padded = [float(c) for c in cuts] + [float("inf")] * (2**m - 1 - len(cuts))
+    edges = F.lit(padded)
+    steps = F.lit([2**i for i in range(m - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda pos, s: F.when(F.element_at(edges, pos + s) < v, pos + s).otherwise(pos))
     on = F.array_contains(edges, v)
     return [2 * below + on.cast("int"), F.when(on, hash_bucket(tie)).otherwise(F.lit(""))]
 
