@@ -15,11 +15,15 @@ def score_trajectories(
     predictions: DataFrame, truth: DataFrame, *, entity: Sequence[str], method: str, time: str,
     predicted: str, observed: str, bucket: str | Column,
 ) -> DataFrame:
-    """Per (entity, method): integrated absolute error over the span, MAE and the final error."""
+    """Truth join on the coordinates, then ``score_errors`` per (entity, method)."""
     on = [*entity, time]
     joined = predictions.join(truth.select(*on, observed), on).withColumn("_e", F.col(predicted) - F.col(observed))
-    keys = [*entity, method]
-    seg = previous(joined, keys, bucket, [time], {"_pt": time, "_pe": "_e"})
+    return score_errors(joined, [*entity, method], time, "_e", bucket)
+
+
+def score_errors(errors: DataFrame, keys: Sequence[str], time: str, error: str, bucket: str | Column) -> DataFrame:
+    """Per key: integrated absolute error over the span, MAE, RMSE and the final error."""
+    seg = previous(errors.select(*keys, time, F.col(error).alias("_e")), keys, bucket, [time], {"_pt": time, "_pe": "_e"})
     area = 0.5 * (F.abs("_e") + F.abs("_pe")) * (F.col(time) - F.col("_pt"))
     e = F.col("_e")
     agg = seg.groupBy(*keys).agg(

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import col
+from trajlytics.functions.columns import attach_one_row, col
 
 _B = "_bucket"
 
@@ -185,7 +185,7 @@ def order_statistics(
         {"_cum": ("sum", F.col("_n"))},
     ).withColumn("_cum", F.col("_cum").cast("bigint"))
     size = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    joined = cum.join(size, keys) if keys else cum.join(size, F.lit(True))
+    joined = cum.join(size, keys) if keys else attach_one_row(cum, size)
     first, last = F.col("_cum") - F.col("_n") + 1, F.col("_cum")
     aggs, outs = [], []
     for name, (mode, p) in picks.items():

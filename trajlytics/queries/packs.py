@@ -15,23 +15,23 @@ def observations(spark, sf_dir):
     return A.calendar_obs(spark, sf_dir)
 
 
-def predictions(obs, p: int = 10):
-    """Three prefix-only forecasts at every later check-up; only coordinates of the future are read."""
+def predictions(obs, p: int = 10, keep: tuple = ()):
+    """Three prefix-only forecasts at every later check-up. Of the future only coordinates are used;
+    ``keep`` carries further columns along for callers that score the same rows."""
     pre = obs.filter(F.col("checkup_index") < p)
     d, y = F.col("elapsed_days"), F.col("capacity_retention_pct")
     fit = pre.groupBy("condition_id").agg(
         F.max_by(y, "checkup_index").alias("_l"), F.max(d).alias("_d"),
         F.greatest(F.sum(F.sqrt(d) * (100.0 - y)) / F.nullif(F.sum(d), F.lit(0.0)), F.lit(0.0)).alias("_k"),
         F.least(F.regr_slope(y, d), F.lit(0.0)).alias("_b"))
-    coords = obs.filter(F.col("checkup_index") >= p).select("condition_id", "checkup_index", "temperature_c", "storage_soc_fraction", "elapsed_days")
+    coords = obs.filter(F.col("checkup_index") >= p).select("condition_id", "checkup_index", "temperature_c", "storage_soc_fraction", "elapsed_days", *keep)
     values = [F.col("_l"), 100.0 - F.col("_k") * F.sqrt(d), F.col("_l") + F.col("_b") * (d - F.col("_d"))]
     entries = F.array(*[F.struct(F.lit(m).alias("method"), v.alias("predicted")) for m, v in zip(METHODS, values)])
     return coords.join(fit, "condition_id").select(*coords.columns, F.explode(entries).alias("m")).select(*coords.columns, "m.*")
 
 
 def scored(spark, sf_dir, p: int = 10):
-    obs = observations(spark, sf_dir)
-    return score_pack(predictions(obs, p), obs)
+    return G.score_errors(with_error(spark, sf_dir, p), ["condition_id", "method"], "elapsed_days", "error", DAY_BUCKET)
 
 
 def score_pack(pack, obs):
@@ -40,10 +40,8 @@ def score_pack(pack, obs):
 
 
 def with_error(spark, sf_dir, p: int = 10):
-    obs = observations(spark, sf_dir)
-    truth = obs.select("condition_id", "checkup_index", "capacity_retention_pct")
-    return predictions(obs, p).join(truth, ["condition_id", "checkup_index"]).withColumn(
-        "error", F.col("predicted") - F.col("capacity_retention_pct"))
+    pack = predictions(observations(spark, sf_dir), p, keep=("capacity_retention_pct",))
+    return pack.withColumn("error", F.col("predicted") - F.col("capacity_retention_pct"))
 
 
 def pred_sql(p: int = 10, name: str = "pred") -> str:

@@ -36,7 +36,7 @@ def g2_method_summary(spark, sf_dir):
 
 _DIRTY = """dirty AS (SELECT condition_id, method, checkup_index + CASE WHEN condition_id % 11 = 0 AND method = 'persistence' THEN 1 ELSE 0 END AS checkup_index,
       elapsed_days + CASE WHEN checkup_index = 15 THEN 1e-3 ELSE 0e0 END AS elapsed_days, CASE WHEN checkup_index = 20 THEN NULL ELSE predicted END AS predicted,
-      checkup_index = 40 AS is_final FROM pred WHERE NOT (condition_id % 13 = 0 AND checkup_index = 12)),
+      checkup_index = 40 AS is_final FROM pred WHERE NOT (storage_soc_fraction = 0.5 AND checkup_index = 12)),
     tr AS (SELECT condition_id, checkup_index, elapsed_days, checkup_index = MAX(checkup_index) OVER (PARTITION BY condition_id) AS fin FROM calendar_obs WHERE checkup_index >= 10),
     ex AS (SELECT * FROM tr JOIN (SELECT DISTINCT condition_id, method FROM dirty) USING (condition_id)),
     fj AS (SELECT d.predicted, d.is_final, d.elapsed_days AS td, e.elapsed_days AS te, e.fin, d.condition_id IS NOT NULL AS has_d, e.condition_id IS NOT NULL AS has_e
@@ -50,7 +50,7 @@ _DIRTY = """dirty AS (SELECT condition_id, method, checkup_index + CASE WHEN con
     UNION ALL SELECT 'duplicate_prediction', COUNT(*) FROM (SELECT 1 FROM dirty GROUP BY condition_id, checkup_index, method HAVING COUNT(*) > 1)""", PRED, _DIRTY))
 def g3_validate_predictions(spark, sf_dir):
     obs = P.observations(spark, sf_dir)
-    dirty = P.predictions(obs).filter("NOT (condition_id % 13 = 0 AND checkup_index = 12)").select(
+    dirty = P.predictions(obs).filter("NOT (storage_soc_fraction = 0.5 AND checkup_index = 12)").select(
         "condition_id", "method", F.expr("checkup_index + CASE WHEN condition_id % 11 = 0 AND method = 'persistence' THEN 1 ELSE 0 END").alias("checkup_index"),
         F.expr("elapsed_days + CASE WHEN checkup_index = 15 THEN 1e-3 ELSE 0e0 END").alias("elapsed_days"),
         F.expr("CASE WHEN checkup_index = 20 THEN NULL ELSE predicted END").alias("predicted"), F.expr("checkup_index = 40").alias("is_final"))
@@ -272,8 +272,8 @@ def g20_failure_summary(spark, sf_dir):
     SELECT temperature_c, method, COUNT(*) AS n_cells, AVG(iae) AS mean_iae, STDDEV_SAMP(iae) AS sd_iae, MIN(iae) AS min_iae, MAX(iae) AS max_iae, AVG(final_error) AS mean_final_error
     FROM score JOIN (SELECT DISTINCT condition_id, temperature_c FROM calendar_obs) USING (condition_id) GROUP BY 1, 2""", PRED, SCORE))
 def g21_cohort_summary(spark, sf_dir):
-    obs = P.observations(spark, sf_dir)
-    scores = P.score_pack(P.predictions(obs), obs).join(obs.select("condition_id", "temperature_c").distinct(), "condition_id")
+    profile = P.observations(spark, sf_dir).select("condition_id", "temperature_c").distinct()
+    scores = P.scored(spark, sf_dir).join(profile, "condition_id")
     return Z.cohort_summary(scores, ["temperature_c"], "method")
 
 
