@@ -165,3 +165,16 @@ def test_forward_fill_and_support(spark):
     assert {(r["k"], r["i"]): r["v"] for r in filled.collect()} == {("a", 1): None, ("a", 2): 5.0, ("a", 3): 5.0, ("b", 1): 1.0, ("b", 3): 2.0}
     assert {(r["i"], r["leading_null"]) for r in ledger.collect()} == {(1, True), (3, False)}
     assert [r["k"] for r in C.contiguous_support(df, "k", "i", 3).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("n", [8, 9])
+def test_leave_one_out_robust_scales(spark, n):
+    from trajlytics.operators.neighbors import robust_scales_loo
+
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"id": range(n), "x": rng.normal(size=n), "y": np.round(rng.normal(size=n))})
+    got = {r["id"]: r["scales"] for r in robust_scales_loo(spark.createDataFrame(pdf), "id", ["x", "y"], [1e-6, 0.3]).collect()}
+    for i in range(n):
+        rest = pdf[pdf.id != i]
+        want = [max(1.4826 * np.median(np.abs(rest[f] - np.median(rest[f]))), fl) for f, fl in (("x", 1e-6), ("y", 0.3))]
+        np.testing.assert_allclose(got[i], want, atol=1e-12)

@@ -162,13 +162,55 @@ def evidence_mixture(
     return ranked.join(d, "query_id").withColumn("weight", 1.0 / n_models + F.col("strength") * (F.col("evidence_weight") - 1.0 / n_models)).drop("_k")
 
 
+def _middle_ranks(n: int) -> list[int]:
+    """One-based ranks that decide the median after one of n values is taken out."""
+    return [n // 2, n // 2 + 1] if n % 2 == 0 else [(n - 1) // 2, (n + 1) // 2, (n + 3) // 2]
+
+
+def _median_without(own: Column, mid: list[Column]) -> Column:
+    """Median of n values without ``own``, from the order statistics around the middle."""
+    if len(mid) == 2:
+        return F.when(own <= mid[0], mid[1]).otherwise(mid[0])
+    lo, m, hi = mid
+    return F.when(own < m, (m + hi) / 2.0).when(own > m, (lo + m) / 2.0).otherwise((lo + hi) / 2.0)
+
+
+def robust_scales_loo(refs: DataFrame, entity: str, features: Sequence[str], floors: Sequence[float]) -> DataFrame:
+    """Median/MAD scale of every feature without the entity itself: (entity, scales).
+
+    Taking one value out leaves at most three possible medians per feature, so the deviations are ranked
+    once per feature and candidate centre, never per entity.
+    """
+    n = refs.count()
+    if n < 4:
+        raise ValueError("at least four references are required")
+    ranks = _middle_ranks(n)
+    at = lambda prefix: {f"{prefix}{i}": ("linear", (r - 1) / (n - 1)) for i, r in enumerate(ranks)}
+    long = refs.unpivot([entity], [F.col(f).cast("double").alias(f) for f in features], "f", "v")
+    mid = order_statistics(long, ["f"], "v", at("m")).drop("n")
+    m = [F.col(f"m{i}") for i in range(len(ranks))]
+    centred = long.join(F.broadcast(mid), "f").withColumn("c", _median_without(F.col("v"), m))
+    candidates = [m[1], m[0]] if len(m) == 2 else [(m[1] + m[2]) / 2.0, (m[0] + m[1]) / 2.0, (m[0] + m[2]) / 2.0]
+    dev = long.join(F.broadcast(mid), "f").select("f", "v", F.explode(F.array_distinct(F.array(*candidates))).alias("c")).withColumn("a", F.abs(F.col("v") - F.col("c")))
+    spread = order_statistics(dev, ["f", "c"], "a", at("d")).drop("n")
+    own = centred.select(entity, "f", "c", F.abs(F.col("v") - F.col("c")).alias("a")).join(F.broadcast(spread), ["f", "c"])
+    floor = F.element_at(F.create_map(*[F.lit(x) for f, fl in zip(features, floors) for x in (f, float(fl))]), F.col("f"))
+    scale = F.greatest(1.4826 * _median_without(F.col("a"), [F.col(f"d{i}") for i in range(len(ranks))]), floor)
+    per = own.groupBy(entity).agg(*[F.max(F.when(F.col("f") == f, scale)).alias(f"_s{i}") for i, f in enumerate(features)])
+    return per.select(entity, F.array(*[F.col(f"_s{i}") for i in range(len(features))]).alias("scales"))
+
+
 def distance_thresholds(refs: DataFrame, entity: str, features: Sequence[str], floors: Sequence[float], k: int, scales: Sequence[float], *, quantiles: tuple[float, float, float] = (0.5, 0.9, 0.99), refusal_multiplier: float = 1.5) -> DataFrame:
     """Quantiles of the mean leave-one-out neighbour distance over the references (one row).
 
-    The pooled reference scale is used for every left-out cell.
+    Every left-out cell is compared under the scale of the others, as per-query weights of one join.
     """
-    loo = nearest_robust(refs, refs, entity, features, floors, k, scales).groupBy("query_id").agg(F.avg("distance").alias("_d"))
-    q = order_statistics(loo, [], "_d", {"a": ("linear", quantiles[0]), "b": ("linear", quantiles[1]), "c": ("linear", quantiles[2])})
+    loo = refs.join(robust_scales_loo(refs, entity, features, floors), entity)
+    weights = F.array(*[F.lit(float(s)) / F.element_at("scales", i + 1) for i, s in enumerate(scales)])
+    queries = loo.select(F.col(entity).alias("query_id"), scaled_vector(loo, features, scales).alias("vec"), weights.alias("w"))
+    near = knn_join(queries, refs.select(F.col(entity).alias("ref_id"), scaled_vector(refs, features, scales).alias("vec")), k)
+    mean = near.groupBy("query_id").agg(F.avg("distance").alias("_d"))
+    q = order_statistics(mean, [], "_d", {"a": ("linear", quantiles[0]), "b": ("linear", quantiles[1]), "c": ("linear", quantiles[2])})
     return q.select(F.col("a").alias("full_evidence_below"), F.col("b").alias("full_uniform_above"), (F.col("c") * refusal_multiplier).alias("refusal_at_or_above"))
 
 

@@ -113,7 +113,11 @@ def e25_expert_risks(spark, sf_dir):
     return N.inverse_power_weights(risks, ["query_id"])
 
 
-_TH = """th AS (SELECT QUANTILE_CONT(d, 0.5) AS full_evidence_below, QUANTILE_CONT(d, 0.9) AS full_uniform_above, 1.5 * QUANTILE_CONT(d, 0.99) AS refusal_at_or_above FROM (SELECT query_id, AVG(distance) AS d FROM nv WHERE variant = 0 AND q_ref GROUP BY 1))"""
+_TH = """lm AS (SELECT t.cell_id, t.f, MEDIAN(b.v) AS m FROM lg t JOIN lg b ON b.f = t.f AND b.cell_id <> t.cell_id WHERE t.is_ref AND b.is_ref GROUP BY 1, 2),
+    ls AS (SELECT lm.cell_id, lm.f, GREATEST(1.4826 * MEDIAN(ABS(b.v - m)), 1e-6) AS s FROM lm JOIN lg b ON b.f = lm.f AND b.cell_id <> lm.cell_id WHERE b.is_ref GROUP BY 1, 2),
+    lp AS (SELECT a.cell_id AS query_id, b.cell_id AS ref_id, SQRT(SUM(POWER((a.v - b.v) / s, 2)) / 8) AS distance FROM lg a JOIN ls ON ls.cell_id = a.cell_id AND ls.f = a.f JOIN lg b ON b.f = a.f AND b.cell_id <> a.cell_id WHERE a.is_ref AND b.is_ref GROUP BY 1, 2),
+    th AS (SELECT QUANTILE_CONT(d, 0.5) AS full_evidence_below, QUANTILE_CONT(d, 0.9) AS full_uniform_above, 1.5 * QUANTILE_CONT(d, 0.99) AS refusal_at_or_above FROM (
+      SELECT query_id, AVG(distance) AS d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM lp) WHERE rank <= 3 GROUP BY 1))"""
 _MIX = f"""tv AS (SELECT * FROM nv WHERE NOT q_ref), rk AS ({risk_sql('tv', ', variant')}),
     vw AS (SELECT *, POWER(risk + 0.05, -2) / SUM(POWER(risk + 0.05, -2)) OVER (PARTITION BY query_id, variant) AS w FROM rk),
     ins AS (SELECT query_id, AVG(s) AS instability FROM (SELECT query_id, variant, SUM(ABS(w - mw)) AS s FROM (SELECT *, AVG(w) OVER (PARTITION BY query_id, model_id) AS mw FROM vw) GROUP BY 1, 2) GROUP BY 1),
