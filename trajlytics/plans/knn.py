@@ -36,11 +36,18 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, pivots: int = 32, b
     if "w" not in queries.columns:
         queries = queries.withColumn("w", F.transform("vec", lambda _: F.lit(1.0)))
     n_refs = refs.count()
-    n_pivots = max(1, min(pivots, n_refs // block)) if n_refs > block else 1
-    chosen = refs.orderBy(F.sha2(F.col("ref_id").cast("string"), 256)).limit(n_pivots).select("vec").collect()
-    piv = _stack(pd.Series([r["vec"] for r in chosen])) if chosen else np.zeros((0, 1))
-    if not len(piv):
+    if not n_refs:
         raise ValueError("no reference rows")
+    if n_refs <= block:
+        # one block holds every reference: no cells, queries only split into chunks
+        n_chunks = max(1, -(-queries.count() // (4 * block)))
+        home = {"cell": F.lit(0), "part": F.lit(0).cast("bigint")}
+        one = queries.select("query_id", "vec", "w").withColumns({**home, "chunk": F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))})
+        all_refs = refs.select("ref_id", "vec").withColumns({**home, "chunk": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint")))})
+        return _blocks(one, all_refs, k, id_type)
+    n_pivots = max(1, min(pivots, n_refs // block))
+    chosen = refs.orderBy(F.sha2(F.col("ref_id").cast("string"), 256)).limit(n_pivots).select("vec").collect()
+    piv = _stack(pd.Series([r["vec"] for r in chosen]))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,7 +77,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, pivots: int = 32, b
             yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "vec": b["vec"].to_numpy()[q], "w": b["w"].to_numpy()[q], "cell": c.astype("int32")})
 
     wide = queries.select("query_id", "vec", "w").mapInPandas(candidates, f"query_id {id_type}, vec array<double>, w array<double>, cell int")
-    asked = {r["cell"]: r["count"] for r in wide.groupBy("cell").count().collect()} if n_refs > block else {}
+    asked = {r["cell"]: r["count"] for r in wide.groupBy("cell").count().collect()}
     blocks = [int(max(1, -(-count[i] // block))) for i in range(len(piv))]
     chunks = [int(max(1, -(-asked.get(i, 0) // (4 * block)))) for i in range(len(piv))]
     pick = lambda table: F.element_at(F.array(*[F.lit(v) for v in table]), F.col("cell") + 1)
@@ -79,6 +86,12 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, pivots: int = 32, b
     left = wide.withColumn("chunk", slot("query_id", chunks)).withColumn("part", every(blocks))
     right = placed.drop("radius").withColumn("part", slot("ref_id", blocks)).withColumn("chunk", every(chunks))
 
+    return _blocks(left, right, k, id_type)
+
+
+def _blocks(left: DataFrame, right: DataFrame, k: int, id_type: str) -> DataFrame:
+    """k best per query inside every (cell, part, chunk), then the k best of those per query."""
+
     def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "ref_id": [], "distance": []}
         if len(qs) and len(rs):
