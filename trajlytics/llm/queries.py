@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import line_dedup, pseudonyms, sharding
+from trajlytics.llm import line_dedup, pseudonyms, quality, sharding, simhash
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -19,6 +19,11 @@ DEDUP_MIN_WORDS = 20
 PII_KEY = "not a secret: test tables only"
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.verdicts(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=DEDUP_MIN_WORDS)
     return found.select("doc_id", "unit_no", "start_pos", "end_pos", "n_words", F.lower(F.hex("digest")).alias("digest"), "keep_doc_id", "keep_start_pos")
@@ -35,11 +40,17 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.find_private(table(spark, sf_dir, "documents"), key)
 
 
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def callables() -> dict[str, Query]:
     return {
+        "op5_weak_supervision": op5_weak_supervision,
         "op6_line_dedup": op6_line_dedup,
         "op7_external_shuffle": op7_external_shuffle,
         "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+        "op10_simhash_pivots": op10_simhash_pivots,
     }
 
 

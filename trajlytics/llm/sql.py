@@ -32,4 +32,84 @@ SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start_pos AS BIGINT) AS
 FROM ranked WHERE place > 1
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": LINE_DEDUP}
+COUNTS = rf"""
+source AS (
+  SELECT ROW_NUMBER() OVER () AS row_no, doc_id, COALESCE(text, '') AS body FROM documents
+), worded AS (
+  SELECT row_no, doc_id, body, list_filter(regexp_split_to_array(body, '{BLANK_CLASS}'), lambda w: w <> '') AS ws,
+         list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM source
+), windows AS (
+  SELECT row_no, UNNEST(range(1, len(ws) - 6)) AS pos, UNNEST(list_transform(range(1, len(ws) - 6), lambda k: ws[k:k + 7])) AS win
+  FROM worded WHERE len(ws) >= 8
+), repeated AS (
+  SELECT row_no, pos, COUNT(*) OVER (PARTITION BY row_no, win) AS times FROM windows
+), spans AS (
+  SELECT row_no, LEAST(8, COALESCE(LEAD(pos) OVER (PARTITION BY row_no ORDER BY pos) - pos, 8)) AS adds
+  FROM repeated WHERE times > 1
+), covered AS (
+  SELECT row_no, SUM(adds) AS n_repeat_words FROM spans GROUP BY row_no
+), counts AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(body, '{BLANK_CLASS}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(COALESCE(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(regexp_extract_all(body, '\p{{Lu}}')) AS n_capitals, length(body) AS n_chars_,
+         len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS n_stutter, len(ls) AS n_lines,
+         len(list_filter(ws, lambda w: NOT regexp_matches(w, '[\p{{L}}\p{{N}}]'))) AS n_bare
+  FROM worded LEFT JOIN covered USING (row_no)
+)"""
+
+
+def vote_sql(bad: str, good: str) -> str:
+    return f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+
+
+VOTES = [
+    vote_sql("5 * n_symbols > n_words", "50 * n_symbols < n_words"),
+    vote_sql("10 * n_capitals > 3 * n_chars_", "10 * n_capitals < n_chars_"),
+    vote_sql("10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words < n_words"),
+    vote_sql("5 * n_stutter > n_words", "20 * n_stutter < n_words"),
+    vote_sql(
+        "n_words >= 20 AND (2 * word_chars > 13 * n_words OR word_chars < 3 * n_words)",
+        "n_words >= 20 AND word_chars >= 4 * n_words AND 2 * word_chars <= 11 * n_words",
+    ),
+    vote_sql("10 * n_dup_lines > 3 * n_lines", "n_words > 0 AND 50 * n_dup_lines < n_lines"),
+    vote_sql("n_words < 20", "n_words >= 50"),
+    vote_sql("10 * n_bare > n_words", "50 * n_bare < n_words"),
+]
+
+
+def weak_supervision_sql(rounds: int = 15) -> str:
+    """Every round of expectation-maximisation as two CTEs over the counts of vote patterns."""
+    n = len(VOTES)
+    odds = "lo + " + " + ".join(f"w[{3 * k + 2} + v{k}]" for k in range(n))
+    start = ", ".join(["ln(0.005 / 0.3)", "ln(0.195 / 0.3)", "ln(0.8 / 0.4)"] * n)
+    parts = [
+        COUNTS.strip(),
+        "voted AS MATERIALIZED (SELECT *, " + ", ".join(f"{v} AS v{k}" for k, v in enumerate(VOTES)) + " FROM counts)",
+        "pattern AS MATERIALIZED (SELECT "
+        + ", ".join(f"v{k}" for k in range(n))
+        + ", CAST(COUNT(*) AS DOUBLE) AS n FROM voted GROUP BY ALL)",
+        f"m0 AS (SELECT ln(0.85 / (1 - 0.85)) AS lo, [{start}] AS w)",
+    ]
+    for r in range(rounds):
+        parts.append(f"e{r} AS MATERIALIZED (SELECT pattern.*, 1 / (1 + exp(-({odds}))) AS good FROM pattern, m{r})")
+        weights = ", ".join(
+            f"ln((SUM(CASE WHEN v{k} = {v} THEN n * good ELSE 0 END) + 0.5) / (SUM(n * good) + 1.5)) - "
+            f"ln((SUM(CASE WHEN v{k} = {v} THEN n ELSE 0 END) - SUM(CASE WHEN v{k} = {v} THEN n * good ELSE 0 END) + 0.5) / (SUM(n) - SUM(n * good) + 1.5))"
+            for k in range(n)
+            for v in (-1, 0, 1)
+        )
+        parts.append(f"m{r + 1} AS MATERIALIZED (SELECT ln((SUM(n * good) + 0.5) / (SUM(n) - SUM(n * good) + 0.5)) AS lo, [{weights}] AS w FROM e{r})")
+    failed = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
+       NOT {failed} AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
+FROM voted, m{rounds}"""
+    )
+
+
+ORACLES: dict[str, str] = {"op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP}
