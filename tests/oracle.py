@@ -29,7 +29,7 @@ def rows_of(columns, rows):
     return sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-KIND = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+KIND = {"int": "INTEGER", "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, name, run, sql, sf_dir):
