@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import line_dedup, pseudonyms, quality, sharding, simhash
+from trajlytics.llm import decontaminate, line_dedup, pseudonyms, quality, sharding, simhash
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -19,6 +19,10 @@ DEDUP_MIN_WORDS = 20
 PII_KEY = "not a secret: test tables only"
 
 
+def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,6 +50,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callables() -> dict[str, Query]:
     return {
+        "op4_qgram_lemma": op4_qgram_lemma,
         "op5_weak_supervision": op5_weak_supervision,
         "op6_line_dedup": op6_line_dedup,
         "op7_external_shuffle": op7_external_shuffle,
