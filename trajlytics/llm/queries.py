@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import decontaminate, line_dedup, pseudonyms, quality, sharding, simhash
+from trajlytics.llm import decontaminate, line_dedup, packing, pseudonyms, quality, secrets, sharding, simhash
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -19,6 +19,11 @@ DEDUP_MIN_WORDS = 20
 PII_KEY = "not a secret: test tables only"
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_pos", "end_pos", F.round("probability", 6).alias("probability"))
+
+
 def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,10 @@ def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get("spark.trajlytics.pii.key", PII_KEY).encode()
     return pseudonyms.find_private(table(spark, sf_dir, "documents"), key)
@@ -50,10 +59,12 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callables() -> dict[str, Query]:
     return {
+        "op1_secret_forest": op1_secret_forest,
         "op4_qgram_lemma": op4_qgram_lemma,
         "op5_weak_supervision": op5_weak_supervision,
         "op6_line_dedup": op6_line_dedup,
         "op7_external_shuffle": op7_external_shuffle,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
         "op10_simhash_pivots": op10_simhash_pivots,
     }
