@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import decontaminate, line_dedup, packing, pseudonyms, quality, secrets, sharding, simhash
+from trajlytics.llm import decontaminate, licenses, line_dedup, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -24,6 +24,18 @@ def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start_pos", "end_pos", F.round("probability", 6).alias("probability"))
 
 
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_url_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled URLs are those of pages whose document is labelled: blocked if toxic or of low quality."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", bad)
+    return url_rules.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +72,8 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def callables() -> dict[str, Query]:
     return {
         "op1_secret_forest": op1_secret_forest,
+        "op2_license_windows": op2_license_windows,
+        "op3_url_associations": op3_url_associations,
         "op4_qgram_lemma": op4_qgram_lemma,
         "op5_weak_supervision": op5_weak_supervision,
         "op6_line_dedup": op6_line_dedup,

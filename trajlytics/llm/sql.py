@@ -112,4 +112,48 @@ FROM voted, m{rounds}"""
     )
 
 
-ORACLES: dict[str, str] = {"op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP}
+URL_ASSOCIATIONS = r"""
+WITH split AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)
+), written AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM split
+), judged AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM written
+), token AS MATERIALIZED (
+  SELECT DISTINCT url, t FROM (
+    SELECT url, 'h:' || UNNEST(list_concat(string_split(host, '.'), regexp_split_to_array(host, '[.\-]'))) AS t FROM judged
+    UNION ALL
+    SELECT url, 'p:' || regexp_replace(UNNEST(regexp_split_to_array(path, '[/.]')), '^[0-9]+$', '#') AS t FROM judged
+  ) WHERE t NOT IN ('h:', 'p:')
+), labelled AS MATERIALIZED (
+  SELECT url, said = 'block' AS blocked FROM judged WHERE said IS NOT NULL
+  UNION ALL
+  SELECT url, bool_or(toxic = 1 OR quality = 0) FROM judged JOIN pages USING (url) JOIN labels ON page_id = doc_id
+  WHERE said IS NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY url
+), known AS MATERIALIZED (SELECT url, blocked, t FROM labelled JOIN token USING (url)
+), sets AS (
+  SELECT url, blocked, [t] AS s FROM known
+  UNION ALL SELECT a.url, a.blocked, [a.t, b.t] FROM known a JOIN known b ON a.url = b.url AND a.t < b.t
+  UNION ALL SELECT a.url, a.blocked, [a.t, b.t, c.t] FROM known a JOIN known b ON a.url = b.url AND a.t < b.t
+            JOIN known c ON a.url = c.url AND b.t < c.t
+), mined AS MATERIALIZED (
+  SELECT s FROM sets GROUP BY s
+  HAVING COUNT(*) FILTER (WHERE blocked) >= ceil(0.005 * (SELECT COUNT(*) FROM labelled))
+     AND CAST(COUNT(*) FILTER (WHERE blocked) AS DOUBLE) / COUNT(*) >= 0.8
+), held AS (
+  SELECT url, list(t) AS ts FROM token WHERE url IN (SELECT url FROM judged WHERE said IS NULL) GROUP BY url
+), hit AS (
+  SELECT DISTINCT url FROM held, mined WHERE list_has_all(ts, s)
+)
+SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule,
+       COALESCE(said, CASE WHEN hit.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages LEFT JOIN judged ON pages.url = judged.url LEFT JOIN hit ON pages.url = hit.url
+"""
+
+ORACLES: dict[str, str] = {"op3_url_associations": URL_ASSOCIATIONS, "op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP}
