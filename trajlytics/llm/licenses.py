@@ -9,6 +9,7 @@ window without any template shingle has no similarity to find, so only the other
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -54,13 +55,13 @@ TEMPLATES = {
 
 def recall_bound(n_shingles: int, bands: int = BANDS, containment: float = CONTAINMENT) -> float:
     """Lower bound of the chance that a contained template is retrieved from its window."""
-    shared = containment * n_shingles
+    shared = math.ceil(containment * n_shingles)
     similarity = shared / (2 * window_class(n_shingles) + n_shingles - shared)
     return 1 - (1 - similarity) ** bands
 
 
 def window_class(n_shingles: int) -> int:
-    s = 4
+    s = 2
     while 4 * s < 5 * n_shingles:
         s *= 2
     return s
