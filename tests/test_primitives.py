@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import erfc, hash_draw, is_finite, normal_log_sf
-from trajlytics.operators.contracts import fingerprint, row_text
-from trajlytics.operators.intervals import beta_cdf, clopper_pearson
-from trajlytics.operators.splits import in_convex_hull
+from trajlytics.operators.contracts import calendar_contract, fingerprint, row_text
+from trajlytics.operators.intervals import beta_cdf, clopper_pearson, conformal_radius
+from trajlytics.operators.resampling import assignment_support, exact_sign_flip, excluded_protocols
+from trajlytics.operators.scoring import validate_predictions
+from trajlytics.operators.splits import in_convex_hull, nested_reference_partition
 from trajlytics.plans.joins import asof_join, checked_join, join_report
 from trajlytics.plans.knn import knn_join
 from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, index_bucket, order_statistics, previous, running
@@ -150,3 +152,60 @@ def test_finite_and_draws(spark):
     assert [r[0] for r in df.select(is_finite("v")).collect()] == [True, False, False, False, False]
     d = [r[0] for r in spark.range(2000).select(hash_draw(F.lit(7), "s", F.col("id").cast("string"))).collect()]
     assert set(d) == set(range(7)) and max(d.count(i) for i in range(7)) < 380
+
+
+NAN, INF = float("nan"), float("inf")
+DIRTY = [("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0), (None, 2, NAN), (None, None, 4.0), ("a", 9, None), ("a", 40, INF)]
+
+
+def test_scans_keep_null_keys_and_buckets(spark):
+    df = spark.createDataFrame(DIRTY, "k string, i long, v double")
+    ranked = grouped_rank(df, ["k"], index_bucket("i", 8), ["i"], "r").collect()
+    assert sorted((str(r["k"]), r["r"]) for r in ranked) == [("None", 1), ("None", 2), ("None", 3), ("a", 1), ("a", 2), ("a", 3), ("a", 4)]
+    before = {(r["k"], r["i"]): r["p"] for r in previous(df, ["k"], index_bucket("i", 8), ["i"], {"p": "i"}).collect()}
+    assert before == {("a", None): None, ("a", 1): None, ("a", 9): 1, ("a", 40): 9, (None, None): None, (None, 1): None, (None, 2): 1}
+    totals = running(df, ["k"], index_bucket("i", 8), ["i"], {"n": ("total_sum", F.lit(1)), "top": ("total_max", "i")}).collect()
+    assert {(r["k"], r["n"], r["top"]) for r in totals} == {("a", 4, 40), (None, 3, 2)}
+
+
+def test_order_statistics_leave_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", NAN), ("b", INF), (None, 5.0), ("a", None)], "k string, v double")
+    got = {r["k"]: r for r in order_statistics(df, ["k"], "v", {"m": ("linear", 0.5)}, count_not_finite=True).collect()}
+    assert (got["a"]["m"], got["a"]["n"], got["a"]["n_not_finite"]) == (2.0, 3, 1)
+    assert (got["b"]["m"], got["b"]["n"], got["b"]["n_not_finite"]) == (None, 0, 1) and got[None]["m"] == 5.0
+    assert {r["k"] for r in order_statistics(df, ["k"], "v", {"m": ("linear", 0.5)}).collect()} == {"a", None}
+
+
+def test_a_radius_needs_finite_scores(spark):
+    scores = spark.createDataFrame([("a", float(i)) for i in range(9)] + [("b", float(i)) for i in range(9)] + [("b", NAN)] * 3, "k string, score double")
+    got = {r["k"]: r for r in conformal_radius(scores, ["k"], 0.8).collect()}
+    assert (got["a"]["radius"], got["a"]["status"], got["a"]["n_calibration"]) == (7.0, "finite_order_statistic", 9)
+    assert (got["b"]["radius"], got["b"]["status"], got["b"]["n_not_finite"]) == (None, "invalid_scores", 3)
+
+
+def test_contract_counts_rows_with_nulls(spark):
+    names = ["temperature_c", "storage_soc_fraction", "elapsed_time_s", "elapsed_hours", "elapsed_days", "checkup_index", "capacity_ah",
+             "capacity_retention_pct", "capacity_loss_pct", "resistance_dc_ohm", "resistance_growth_pct", "nominal_capacity_ah"]
+    rows = [("c", 25.0, 0.5, 0.0, 0.0, 0.0, 0, 3.0, 100.0, 0.0, 0.01, 0.0, 3.0), ("c", 25.0, 0.5, 86400.0, 24.0, None, 1, 3.0, 100.0, 0.0, 0.01, 0.0, 3.0),
+            (None, 30.0, 0.5, 0.0, 0.0, 0.0, 0, 3.0, 100.0, 0.0, 0.01, 0.0, 3.0)]
+    df = spark.createDataFrame(rows, "condition_id string, " + ", ".join(f"{n} {'long' if n == 'checkup_index' else 'double'}" for n in names))
+    report = {r["rule"]: r["violations"] for r in calendar_contract(df).collect()}
+    assert report["not_finite"] == 1 and report["days_inconsistent"] == 1 and report["retention_inconsistent"] == 0
+
+
+def test_nothing_is_left_out_silently(spark):
+    cells = spark.createDataFrame([("p", i, 1.0, 2.0, 3.0) for i in range(5)] + [("q", i, 1.0, 2.0, 3.0) for i in range(4)], "protocol string, cell int, y double, z double, p double")
+    assert {r["protocol"] for r in assignment_support(cells, "protocol", slots=5, prediction="p", outcome="y", null_prediction="z").collect()} == {"p"}
+    assert [tuple(r) for r in excluded_protocols(cells, "protocol", slots=5).collect()] == [("q", 4)]
+    roles = nested_reference_partition(cells.selectExpr("protocol AS d", "cell"), domain="d", entity="cell", max_k=4, repeats=1, seed=1)
+    assert {(r["d"], r["role"]): r["count"] for r in roles.groupBy("d", "role").count().collect()} == {("p", "reference"): 4, ("p", "query"): 1, ("q", "too_small"): 4}
+    deltas = spark.createDataFrame([("g", float(i + 1)) for i in range(17)], "g string, d double")
+    flip = exact_sign_flip(deltas, ["g"], "d").first()
+    assert (flip["n_patterns"], flip["status"], flip["two_sided_p"]) == (2**17, "exact", 2 / 2**17)
+
+
+def test_absent_targets_are_reported(spark):
+    truth = spark.createDataFrame([(e, i, float(i)) for e in ("a", "b") for i in range(3)], "e string, i int, t double")
+    pack = spark.createDataFrame([("a", m, i, float(i), 1.0, i == 2) for m in ("x", "y") for i in range(3)], "e string, m string, i int, t double, v double, is_final boolean")
+    report = {r["rule"]: r["violations"] for r in validate_predictions(pack, truth, entity=["e"], method="m", index="i", time="t", predicted="v").collect()}
+    assert report["target_missing"] == 2 and report["future_coordinate_missing"] == 6 and report["final_flag_wrong"] == 0

@@ -37,10 +37,6 @@ def clip(c: str | Column, lo: float | Column | None, hi: float | Column | None)
     return out
 
 
-def lerp(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.when(x1 == x0, y0).otherwise(y0 + (x - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)))
-
-
 def violations(condition: Column) -> Column:
     """Aggregate: number of rows on which ``condition`` holds."""
     return F.coalesce(F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")

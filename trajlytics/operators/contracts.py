@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import is_finite, violations
-from trajlytics.plans.scan import index_bucket, previous, running
+from trajlytics.plans.scan import index_bucket, null_safe_join, previous, running
 
 
 class ContractError(ValueError):
@@ -109,7 +109,8 @@ def calendar_contract(
     seq = previous(
         df, ["condition_id"], F.floor("elapsed_days"), ["elapsed_time_s", "checkup_index"],
         {"_pt": "elapsed_time_s", "_pi": "checkup_index"},
-    ).join(first, "condition_id")
+    )
+    seq = null_safe_join(seq, first, ["condition_id"])
     c = F.col
     not_finite = ~is_finite(numeric[0])
     for n in numeric[1:]:
@@ -239,12 +240,29 @@ def cycle_feature_contract(df: DataFrame, *, initial_cycles: int = 5) -> DataFra
 
 
 # Column names, name tokens and name fragments that carry outcomes.
-PROTECTED_NAMES = """
-capacity_fade capacity_loss capacity_retention censor cycle_life eol event failure is_censored life
-lifetime num_cycles observed_time remaining_useful_life resistance rul soh source_num_cycles target
-""".split()
-PROTECTED_TOKENS = "censor eol event failure".split()
-PROTECTED_FRAGMENTS = "cycle_life num_cycles resistance".split()
+PROTECTED_NAMES = (
+    "capacity_fade",
+    "capacity_loss",
+    "capacity_retention",
+    "censor",
+    "cycle_life",
+    "eol",
+    "event",
+    "failure",
+    "is_censored",
+    "life",
+    "lifetime",
+    "num_cycles",
+    "observed_time",
+    "remaining_useful_life",
+    "resistance",
+    "rul",
+    "soh",
+    "source_num_cycles",
+    "target",
+)
+PROTECTED_TOKENS = ("censor", "eol", "event", "failure")
+PROTECTED_FRAGMENTS = ("cycle_life", "num_cycles", "resistance")
 PROTECTED_PATTERN = r"r(_?\d+|_.+)?"
 
 

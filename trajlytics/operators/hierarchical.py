@@ -97,8 +97,15 @@ def activation_parameters(df: DataFrame, timescale: float) -> DataFrame:
     return activation_power_law(df, ["condition_id"], timescales=[timescale]).join(profile, "condition_id")
 
 
-def _posterior(t: np.ndarray, y: np.ndarray, w: np.ndarray, mu: np.ndarray, sc: np.ndarray, obs: np.ndarray, tau: float | None, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Damped Gauss-Newton for a batch of short prefixes; returns parameters and covariances."""
+#: A fit has converged when no free parameter can move by more than this share of its prior scale.
+CONVERGED = 1e-6
+
+
+def _posterior(
+    t: np.ndarray, y: np.ndarray, w: np.ndarray, mu: np.ndarray, sc: np.ndarray, obs: np.ndarray, tau: float | None, rounds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Damped Gauss-Newton for a batch of short prefixes; returns parameters, covariances and the largest Newton step that is
+    left, in prior scales (parameters held by a bound do not count)."""
     m = mu.shape[1]
     lo, hi = (np.asarray(b) for b in BOUNDS[m])
     mu = np.clip(mu, lo, hi)
@@ -130,13 +137,17 @@ def _posterior(t: np.ndarray, y: np.ndarray, w: np.ndarray, mu: np.ndarray, sc:
         J = np.where(ok[:, None, None], J2, J)
         damp = np.clip(np.where(ok, damp * 0.3, damp * 5.0), 1e-12, 1e8)
     H = np.einsum("npi,npj->nij", J, J) + np.einsum("ni,ij->nij", 1 / sc**2, np.eye(m))
-    return theta, np.linalg.pinv(H, hermitian=True)
+    g = np.einsum("npi,np->ni", J, r) + pr / sc
+    held = ((theta <= lo) & (g > 0)) | ((theta >= hi) & (g < 0))
+    free = np.where(held, 0.0, g) / np.einsum("nii->ni", H)
+    return theta, np.linalg.pinv(H, hermitian=True), np.abs(free / sc).max(axis=1)
 
 
 def map_update(prefix: DataFrame, prior: DataFrame, *, timescale: float | None = None, rounds: int = 60) -> DataFrame:
     """Posterior mode and covariance of each target's parameters from its own prefix and its fold's prior.
 
-    Two parameters (power law), or three with an activation timescale. The prefix is packed per target.
+    Two parameters (power law), or three with an activation timescale. The prefix is packed per target. ``converged`` tells
+    whether the rounds were enough, ``step_left`` how far the mode could still move.
     """
     packed = pack_prefix(prefix.filter(F.col(_T) > 0), ["condition_id"]).join(prior, "condition_id")
 
@@ -147,12 +158,13 @@ def map_update(prefix: DataFrame, prior: DataFrame, *, timescale: float | None =
             size = max(len(v) for v in b["_t"])
             pad = lambda col, fill: np.stack([np.pad(np.asarray(v, float), (0, size - len(v)), constant_values=fill) for v in col])
             w = np.stack([np.pad(np.ones(len(v)), (0, size - len(v))) for v in b["_t"]])
-            theta, cov = _posterior(pad(b["_t"], 1.0), pad(b["_y"], 0.0), w, np.stack(list(b["prior_mean"])), np.stack(list(b["prior_scale"])), b["observation_scale"].to_numpy(), timescale, rounds)
-            yield pd.DataFrame({"condition_id": b["condition_id"], "theta": list(theta), "covariance": list(cov.reshape(len(cov), -1)), "observation_scale": b["observation_scale"]})
+            theta, cov, left = _posterior(pad(b["_t"], 1.0), pad(b["_y"], 0.0), w, np.stack(list(b["prior_mean"])), np.stack(list(b["prior_scale"])), b["observation_scale"].to_numpy(), timescale, rounds)
+            yield pd.DataFrame({"condition_id": b["condition_id"], "theta": list(theta), "covariance": list(cov.reshape(len(cov), -1)), "observation_scale": b["observation_scale"],
+                                "step_left": left, "converged": left < CONVERGED})
 
     id_type = dict(prefix.dtypes)["condition_id"]
     return packed.select("condition_id", "_t", "_y", "prior_mean", "prior_scale", "observation_scale").mapInPandas(
-        run, f"condition_id {id_type}, theta array<double>, covariance array<double>, observation_scale double")
+        run, f"condition_id {id_type}, theta array<double>, covariance array<double>, observation_scale double, step_left double, converged boolean")
 
 
 def loss_at(theta: str, days: Column, timescale: float | None) -> Column:

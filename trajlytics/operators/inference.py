@@ -23,7 +23,7 @@ def request_issues(requests: DataFrame, points: int) -> DataFrame:
     """
     p = F.col("prefix")
     bad_values = F.exists(p, lambda r: ~(is_finite(r["elapsed_days"]) & is_finite(r["capacity_retention_pct"])))
-    steps = F.zip_with(F.slice(p, 2, 10**6), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, a: b["elapsed_days"] > a["elapsed_days"])
+    steps = F.zip_with(F.slice(p, F.lit(2), F.size(p)), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, a: b["elapsed_days"] > a["elapsed_days"])
     last = F.element_at(p, -1)["elapsed_days"]
     issue = (
         F.when(F.size(p) != points, "prefix_length").when(bad_values, "non_finite_prefix").when(~F.forall(steps, lambda s: s), "prefix_time_not_increasing")

@@ -32,10 +32,20 @@ def log_scores(df: DataFrame, truth: str, median: str, censored: str | None = No
 
 def conformal_radius(scores: DataFrame, by: Sequence[str], coverage: float, *, score: str = "score", bucket: Column | None = None) -> DataFrame:
     """Split-conformal order statistic per group with an honest status: rank ceil((n+1)c), and no
-    value at all (never infinity) when the rank exceeds the number of scores."""
-    q = order_statistics(scores, by, score, {"radius": ("rank", coverage)}, bucket=bucket)
-    status = F.when(F.col("radius").isNull(), "unavailable_finite_sample").otherwise("finite_order_statistic")
-    return q.select(*by, F.col("n").alias("n_calibration"), F.ceil((F.col("n") + 1) * F.lit(coverage)).alias("rank"), "radius", status.alias("status"))
+    value at all (never infinity) when the rank exceeds the number of scores. A group with a score that is NaN or
+    infinite has no radius: its status is invalid_scores, and n_not_finite counts them."""
+    q = order_statistics(scores, by, score, {"radius": ("rank", coverage)}, bucket=bucket, count_not_finite=True)
+    invalid = F.col("n_not_finite") > 0
+    status = (
+        F.when(invalid, "invalid_scores")
+        .when(F.col("radius").isNull(), "unavailable_finite_sample")
+        .otherwise("finite_order_statistic")
+    )
+    rank = F.ceil((F.col("n") + 1) * F.lit(coverage))
+    radius = F.when(~invalid, F.col("radius"))
+    return q.select(
+        *by, F.col("n").alias("n_calibration"), "n_not_finite", rank.alias("rank"), radius.alias("radius"), status.alias("status")
+    )
 
 
 def group_max_radius(scores: DataFrame, by: Sequence[str], group: str, coverage: float) -> DataFrame:
@@ -61,9 +71,10 @@ def route_quantiles(scores: DataFrame, routes: Sequence[str], coverages: Sequenc
 def calibration_half_widths(residuals: DataFrame, by: Sequence[str], residual: str, coverage: float) -> DataFrame:
     """Half-width per (prefix, model, horizon): 'higher' quantile at the finite-sample level."""
     scored = residuals.withColumn("_a", F.abs(residual))
-    q = order_statistics(scored, by, "_a", {"half_width": ("higher_rank", coverage)})
-    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(coverage)) / F.col("n"))
-    return q.select(*by, F.col("n").alias("n_calibration"), level.alias("quantile_level"), "half_width")
+    q = order_statistics(scored, by, "_a", {"half_width": ("higher_rank", coverage)}, count_not_finite=True)
+    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(coverage)) / F.nullif(F.col("n"), F.lit(0)))
+    usable = F.when(F.col("n_not_finite") == 0, F.col("half_width"))  # no width from residuals that are not numbers
+    return q.select(*by, F.col("n").alias("n_calibration"), "n_not_finite", level.alias("quantile_level"), usable.alias("half_width"))
 
 
 def simultaneous_scores(points: DataFrame, entity: Sequence[str], lower: str, upper: str, truth: str) -> DataFrame:

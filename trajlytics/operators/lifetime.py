@@ -38,6 +38,7 @@ class AftModel:
     n_events: int
     n_censored: int
     objective: float
+    converged: bool = True
 
     def location(self) -> Column:
         out = F.lit(self.intercept)
@@ -100,7 +101,7 @@ def fit_aft(
         rss = max(yy - 2 * beta @ b + beta @ A @ beta, 0.0)
         s0 = math.sqrt(rss / max(ne, 1.0))
         s0 = 0.25 if not math.isfinite(s0) or s0 < 0.05 else min(max(s0, sigma_bounds[0]), sigma_bounds[1])
-        state[name] = dict(left_out=left_out, l2=l2, A=A, b=b, yy=yy, ne=ne, nc=nc, sumy=S[0, -1], mean=mean, scale=scale, theta=np.append(beta, math.log(s0)), damp=1e-6, done=False, cost=None)
+        state[name] = dict(left_out=left_out, l2=l2, A=A, b=b, yy=yy, ne=ne, nc=nc, sumy=S[0, -1], mean=mean, scale=scale, theta=np.append(beta, math.log(s0)), damp=1e-6, done=False, converged=False, cost=None)
     cens = work.filter(F.col(censored)).select(*features, "_y", "_fold")
     any_censored = any(s["nc"] > 0 for s in state.values())
     if any_censored:
@@ -174,7 +175,7 @@ def fit_aft(
         for n, th in trial.items():
             s, new = state[n], total(n, th, extras[n])
             if math.isfinite(new[0]) and new[0] <= cur[n][0] + 1e-12:
-                s["done"] = float(np.abs(th - s["theta"]).max()) < 1e-10
+                s["done"] = s["converged"] = float(np.abs(th - s["theta"]).max()) < 1e-10
                 s["theta"], cur[n], s["damp"] = th, new, max(s["damp"] * 0.1, 1e-12)
             else:
                 s["damp"] = s["damp"] * 10 + 1e-8
@@ -184,7 +185,7 @@ def fit_aft(
     out = {}
     for n, s in state.items():
         coef = s["theta"][1:-1] / s["scale"]
-        out[n] = AftModel(tuple(features), float(s["theta"][0] - coef @ s["mean"]), tuple(float(c) for c in coef), float(math.exp(s["theta"][-1])), int(s["ne"]), int(s["nc"]), float(cur[n][0]))
+        out[n] = AftModel(tuple(features), float(s["theta"][0] - coef @ s["mean"]), tuple(float(c) for c in coef), float(math.exp(s["theta"][-1])), int(s["ne"]), int(s["nc"]), float(cur[n][0]), bool(s["converged"]))
     return out
 
 

@@ -146,7 +146,7 @@ def sign_diagnostics(deltas: DataFrame, by: Sequence[str], delta: str, *, tolera
     return c.withColumns({"superiority_p": upper, "two_sided_p": F.least(F.lit(1.0), 2.0 * F.least(upper, lower))})
 
 
-def exact_sign_flip(deltas: DataFrame, by: Sequence[str], delta: str, *, cap: int = 16, tolerance: float = 1e-12) -> DataFrame:
+def exact_sign_flip(deltas: DataFrame, by: Sequence[str], delta: str, *, cap: int = 20, tolerance: float = 1e-12) -> DataFrame:
     """Exhaustive sign-flip test of the mean for groups of at most ``cap`` nonzero units.
 
     Groups above the cap get a status instead of a value. Up to the cap the deltas fit one array, and
@@ -190,10 +190,12 @@ MAX_PARTITION_UNITS = 16
 def partition_sensitivity(scores: DataFrame, *, unit: str, route: str, score: str, choose: int, coverage: float) -> DataFrame:
     """All C(n, k) calibration subsets of a small unit pool: the conformal multiplier of each subset and route.
 
-    Subsets are bit masks of n <= 16 units; within a mask and route at most k scores are ranked.
+    Subsets are bit masks of n <= 16 units; within a mask and route at most k scores are ranked. A larger pool is refused
+    before any score is gathered.
     """
-    packed = scores.agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(route).alias("r"), F.col(score).alias("s")))).alias("_u")).withColumn("_n", F.size("_u")).withColumn(
-        "_n", F.when(F.col("_n") <= MAX_PARTITION_UNITS, F.col("_n")).otherwise(F.raise_error(F.lit("too many units for exhaustive partitions")).cast("int")))
+    if scores.limit(MAX_PARTITION_UNITS + 1).count() > MAX_PARTITION_UNITS:
+        raise ValueError(f"too many units for exhaustive partitions: more than {MAX_PARTITION_UNITS}")
+    packed = scores.agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(route).alias("r"), F.col(score).alias("s")))).alias("_u")).withColumn("_n", F.size("_u"))
     masks = packed.withColumn("mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.col("_n")) - 1).cast("int")))).filter(F.bit_count("mask") == choose)
     chosen = masks.withColumn("_c", F.filter("_u", lambda x, i: F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1))
     routes = F.array_distinct(F.transform("_u", lambda x: x["r"]))
@@ -214,11 +216,13 @@ def partition_summary(parts: DataFrame) -> DataFrame:
 def assignment_support(cells: DataFrame, protocol: str, *, slots: int, prediction: str, outcome: str, null_prediction: str) -> DataFrame:
     """All slots! assignments of outcomes to cells inside each protocol: metrics of both models per assignment.
 
-    Each protocol holds exactly ``slots`` cells (the replicates of one protocol), packed in one short array.
+    A protocol takes part if it holds exactly ``slots`` cells (its replicates), which are counted before they are packed
+    in one short array; ``excluded_protocols`` reports the others.
     """
+    whole = cells.groupBy(protocol).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == slots).select(protocol)
     table = [list(p) for p in permutations(range(slots))]
     perms = F.array(*[F.array(*[F.lit(i) for i in p]) for p in table])
-    packed = cells.groupBy(protocol).agg(F.sort_array(F.collect_list(F.struct(F.col("cell"), F.col(prediction).alias("p"), F.col(null_prediction).alias("z"), F.col(outcome).alias("y")))).alias("_c")).filter(F.size("_c") == slots)
+    packed = cells.join(whole, protocol, "left_semi").groupBy(protocol).agg(F.sort_array(F.collect_list(F.struct(F.col("cell"), F.col(prediction).alias("p"), F.col(null_prediction).alias("z"), F.col(outcome).alias("y")))).alias("_c"))
     rows = packed.select(protocol, "_c", F.posexplode(perms).alias("assignment", "_p"))
 
     def mape(field: str) -> Column:
@@ -228,6 +232,12 @@ def assignment_support(cells: DataFrame, protocol: str, *, slots: int, predictio
     return rows.select(protocol, "assignment", mape("p").alias("source_mape"), mape("z").alias("null_mape")).withColumn("improved", F.col("source_mape") < F.col("null_mape"))
 
 
+def excluded_protocols(cells: DataFrame, protocol: str, *, slots: int) -> DataFrame:
+    """Protocols (null included) that ``assignment_support`` leaves out, with their number of cells."""
+    sizes = cells.groupBy(protocol).agg(F.count(F.lit(1)).alias("n_cells"))
+    return sizes.filter((F.col("n_cells") != slots) | F.col(protocol).isNull())
+
+
 def assignment_bounds(support: DataFrame, protocol: str) -> DataFrame:
     """Exact support of every protocol: observed (assignment 0), best and worst."""
     d = F.col("source_mape") - F.col("null_mape")

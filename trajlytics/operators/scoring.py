@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import div, is_finite, normal_quantile
+from trajlytics.functions.columns import attach_one_row, div, is_finite, normal_quantile
 from trajlytics.plans.scan import order_statistics, previous
 
 
@@ -45,12 +45,18 @@ def method_summary(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 def validate_predictions(
     predictions: DataFrame, truth: DataFrame, *, entity: Sequence[str], method: str, index: str, time: str, predicted: str
 ) -> DataFrame:
-    """Issues of a prediction pack against truth coordinates: (rule, violations)."""
+    """Issues of a prediction pack against truth coordinates: (rule, violations).
+
+    Every method of the pack is expected at every truth coordinate; target_missing counts the (entity, method) pairs without
+    any prediction, whose coordinates also count as missing."""
     on = [*entity, index]
     marked = truth.groupBy(*entity).agg(F.max(index).alias("_last"))
     t = truth.join(marked, list(entity)).select(*on, F.col(time).alias("_tt"), (F.col(index) == F.col("_last")).alias("_final"))
-    methods = predictions.select(*entity, method).distinct()
-    expected = t.join(methods, list(entity))
+    methods = predictions.agg(F.collect_set(method).alias("_methods"))  # as short as the list of methods
+    expected = attach_one_row(t, methods).withColumn(method, F.explode("_methods")).drop("_methods")
+    known = predictions.select(*entity, method).distinct()
+    targets = attach_one_row(truth.select(*entity).distinct(), methods).withColumn(method, F.explode("_methods"))
+    missing = targets.join(known, [*entity, method], "left_anti").agg(F.count(F.lit(1)).alias("v"))
     p = predictions.withColumn("_hit", F.lit(1))
     full = expected.join(p, [*on, method], "full_outer")
     absent, extra = F.col("_hit").isNull(), F.col("_tt").isNull()
@@ -65,7 +71,9 @@ def validate_predictions(
     one = full.agg(*[v.alias(k) for k, v in rules.items()])
     dup = predictions.groupBy(*on, method).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").agg(F.count(F.lit(1)).alias("v"))
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules])).alias("r")).select("r.*")
-    return rows.unionByName(dup.select(F.lit("duplicate_prediction").alias("rule"), F.col("v").alias("violations")))
+    return rows.unionByName(dup.select(F.lit("duplicate_prediction").alias("rule"), F.col("v").alias("violations"))).unionByName(
+        missing.select(F.lit("target_missing").alias("rule"), F.col("v").alias("violations"))
+    )
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str], truth: str, predicted: str) -> DataFrame:

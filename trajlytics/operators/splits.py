@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import attach_one_row, hash_text
 from trajlytics.plans.joins import asof_join, join_report
-from trajlytics.plans.scan import grouped_rank, hash_bucket
+from trajlytics.plans.scan import grouped_rank, hash_bucket, running
 from trajlytics.session import cut_lineage
 
 
@@ -117,17 +117,12 @@ def fold_statistics(df: DataFrame, entity: str, index: str, value: str, landmark
     )
 
 
-MAX_EXPANDED_FOLDS = 64
-
-
 def fold_table(df: DataFrame, folds: Sequence[tuple], entity: str, index: str) -> DataFrame:
-    """Rows of a declared, short list of folds: prefix of the target, history of all others.
+    """Rows of a declared list of folds: prefix of the target, history of all others.
 
-    The list is a literal (at most 64 folds), so every input row is visited once and copied per
-    fold; for all entities at once use ``fold_statistics``, which does not copy rows.
+    The output itself holds every row once per fold; for statistics of all entities at once use
+    ``fold_statistics``, which does not copy rows.
     """
-    if len(folds) > MAX_EXPANDED_FOLDS:
-        raise ValueError("use fold_statistics for more than 64 folds")
     entries = F.array(*[F.struct(F.lit(h).alias("held_out"), F.lit(int(p)).alias("prefix_cycle")) for h, p in folds])
     own = F.col(entity) == F.col("held_out")
     return (
@@ -141,15 +136,16 @@ def nested_reference_partition(
     df: DataFrame, *, domain: str, entity: str, max_k: int, repeats: int, seed: int
 ) -> DataFrame:
     """Per (domain, repeat): hash order of entities; the first ``max_k`` are references, the rest
-    are the common query. Domains that are too small for one query are left out."""
+    are the common query. Entities of a domain too small for one query have the role too_small."""
     ids = df.select(domain, entity).distinct()
     rep = ids.withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
         "_h", hash_text(seed, F.col(domain).cast("string"), F.col("repeat_index").cast("string"), F.col(entity).cast("string")))
-    ranked = grouped_rank(rep, [domain, "repeat_index"], hash_bucket("_h", 3), ["_h", entity], "reference_rank")
-    large = ids.groupBy(domain).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_k).select(domain)
-    return ranked.join(large, domain, "left_semi").select(
-        domain, "repeat_index", entity, "reference_rank",
-        F.when(F.col("reference_rank") <= max_k, "reference").otherwise("query").alias("role"))
+    ranked = running(
+        rep, [domain, "repeat_index"], hash_bucket("_h", 3), ["_h", entity],
+        {"reference_rank": ("count", F.lit(1)), "_n": ("total_sum", F.lit(1))},
+    )
+    role = F.when(F.col("_n") <= max_k, "too_small").when(F.col("reference_rank") <= max_k, "reference").otherwise("query")
+    return ranked.select(domain, "repeat_index", entity, "reference_rank", role.alias("role"))
 
 
 def k_shot_support(df: DataFrame, *, domain: str, entity: str, ks: Sequence[int], min_query: int, min_domains: int) -> DataFrame:
@@ -283,7 +279,7 @@ def in_convex_hull(targets: DataFrame, points: DataFrame, x: str, y: str, tol: f
     ring = hull_vertices(points, x, y).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("_ring"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    edges = F.zip_with("_ring", F.concat(F.slice("_ring", 2, 10**6), F.slice("_ring", 1, 1)),
+    edges = F.zip_with("_ring", F.concat(F.slice("_ring", F.lit(2), F.size("_ring")), F.slice("_ring", 1, 1)),
                        lambda a, b: (b.x - a.x) * (py - a.y) - (b.y - a.y) * (px - a.x) >= -tol)
     return attach_one_row(targets, ring).withColumn("in_hull", F.forall(edges, lambda e: e)).drop("_ring")
 
@@ -332,7 +328,7 @@ def local_slice_reference(
     )
     resid = F.zip_with("prefix", "_e", lambda a, b: a - b)
     scored = out.withColumn("_e", expected).withColumn("reference_mode", mode).withColumn("_r", resid)
-    steps = F.zip_with(F.slice("_r", 2, 10**6), F.expr("slice(_r, 1, greatest(size(_r) - 1, 0))"), lambda b, a: F.abs(b - a))
+    steps = F.zip_with(F.slice("_r", F.lit(2), F.size("_r")), F.expr("slice(_r, 1, greatest(size(_r) - 1, 0))"), lambda b, a: F.abs(b - a))
     scored = scored.withColumns({
         "max_point_deviation": F.array_max(F.transform("_r", lambda v: F.abs(v))),
         "max_step_deviation": F.array_max(steps),

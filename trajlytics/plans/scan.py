@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import attach_one_row, col
+from trajlytics.functions.columns import col, is_finite
 
 _B = "_bucket"
 
@@ -24,7 +24,7 @@ def index_bucket(c: str | Column, size: int = 4096) -> Column:
     return F.floor(col(c) / F.lit(size))
 
 
-def value_bucket(c: str | Column, per_octave: int = 32) -> Column:
+def value_bucket(c: str | Column, per_octave: int = 512) -> Column:
     """Bucket for a double of unknown range: non-decreasing in the value, finer near zero."""
     v = col(c).cast("double")
     size = F.floor(F.log2(1.0 + F.abs(v) * 1e6) * F.lit(per_octave))
@@ -64,14 +64,31 @@ def _as_list(b) -> list[Column]:
     return [F.expr(x) if isinstance(x, str) else x for x in many]
 
 
-def _with_bucket(df: DataFrame, bucket) -> tuple[DataFrame, list[str]]:
+_AT, _KEY = "_at", "_key"
+
+
+def _placed(df: DataFrame, keys: Sequence[str], bucket) -> tuple[DataFrame, list[Column]]:
+    """df with the struct of its keys and buckets, which is equal to itself where a key or bucket is null; the bucket fields.
+
+    Windows, totals and their join all use this one column, so the raw rows are shuffled once."""
     exprs = _as_list(bucket)
     names = [f"{_B}{i}" for i in range(len(exprs))]
-    return df.withColumns(dict(zip(names, exprs))), names
+    fields = [*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[e.alias(n) for e, n in zip(exprs, names)]]
+    return df.withColumn(_AT, F.struct(*fields)), [F.col(_AT)[n] for n in names]
+
 
+def _per_key(totals: DataFrame, n_keys: int) -> DataFrame:
+    """Bucket totals with the struct of their keys alone."""
+    return totals.withColumn(_KEY, F.struct(F.lit(0), *[F.col(_AT)[f"k{i}"] for i in range(n_keys)]))
 
-def _join_totals(local: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
-    return local.join(totals, on, "inner")
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on named columns in which a null key meets a null key; right must not repeat other names of left."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
 def running(
@@ -85,15 +102,16 @@ def running(
 ) -> DataFrame:
     """Running aggregates along ``order`` within ``keys``.
 
-    ``specs``: name -> (kind, column), kind in sum | count | max | min | last (last ignores nulls).
-    ``exclusive`` leaves the current row out.
+    ``specs``: name -> (kind, column), kind in sum | count | max | min | last (last ignores nulls),
+    or total_sum | total_max | total_min over the whole key, which cost no further join.
+    ``exclusive`` leaves the current row out of the running kinds. Null keys are one key, null buckets come first.
     """
-    keys = list(keys)
-    staged, bnames = _with_bucket(df, bucket)
+    staged, buckets = _placed(df, keys, bucket)
     order_cols = [col(o) for o in order]
     hi = -1 if exclusive else 0
-    w = Window.partitionBy(*keys, *bnames).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
-    wo = Window.partitionBy(*keys).orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(_AT).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
+    wo = Window.partitionBy(_KEY).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(_KEY)
     local_cols, total_aggs, off_cols, merged = {}, [], {}, {}
     key_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)])
     for name, (kind, c) in specs.items():
@@ -117,16 +135,16 @@ def running(
             total_aggs.append(F.max_by(c, F.when(c.isNotNull(), key_struct)).alias(tn))
             off_cols[on] = F.last(tn, ignorenulls=True).over(wo)
             merged[name] = F.coalesce(F.col(ln), F.col(on))
+        elif kind in ("total_sum", "total_max", "total_min"):
+            agg = {"total_sum": F.sum, "total_max": F.max, "total_min": F.min}[kind]
+            total_aggs.append(agg(c).alias(tn))
+            off_cols[on] = agg(tn).over(whole)
+            merged[name] = F.col(on)
         else:
             raise ValueError(f"unknown running kind {kind!r}")
-    totals = (
-        staged.groupBy(*keys, *bnames).agg(*total_aggs).withColumns(off_cols)
-        .select(*keys, *bnames, *off_cols)
-    )
-    local = staged.withColumns(local_cols)
-    return _join_totals(local, totals, [*keys, *bnames]).select(
-        *df.columns, *[m.alias(n) for n, m in merged.items()]
-    )
+    totals = _per_key(staged.groupBy(_AT).agg(*total_aggs), len(keys)).withColumns(off_cols).select(_AT, *off_cols)
+    local = staged.withColumns(local_cols) if local_cols else staged
+    return local.join(totals, _AT).select(*df.columns, *[m.alias(n) for n, m in merged.items()])
 
 
 def grouped_rank(
@@ -139,25 +157,18 @@ def grouped_rank(
 def previous(
     df: DataFrame, keys: Sequence[str], bucket, order: Sequence[str | Column], cols: dict[str, str | Column]
 ) -> DataFrame:
-    """Values of the preceding row along ``order`` (nulls of that row included)."""
-    keys = list(keys)
-    staged, bnames = _with_bucket(df, bucket)
+    """Values of the preceding row along ``order`` (nulls of that row included). Null keys are one key."""
+    staged, buckets = _placed(df, keys, bucket)
     order_cols = [col(o) for o in order]
     payload = F.struct(*[col(c).alias(n) for n, c in cols.items()])
-    w = Window.partitionBy(*keys, *bnames).orderBy(*order_cols)
-    wo = Window.partitionBy(*keys).orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(_AT).orderBy(*order_cols)
+    wo = Window.partitionBy(_KEY).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     key_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)])
-    totals = (
-        staged.groupBy(*keys, *bnames)
-        .agg(F.max_by(payload, key_struct).alias("_t"))
-        .withColumn("_o", F.last("_t").over(wo))
-        .select(*keys, *bnames, "_o")
-    )
+    totals = _per_key(staged.groupBy(_AT).agg(F.max_by(payload, key_struct).alias("_t")), len(keys))
+    totals = totals.withColumn("_o", F.last("_t").over(wo)).select(_AT, "_o")
     local = staged.withColumn("_p", F.lag(payload).over(w))
     picked = F.coalesce(F.col("_p"), F.col("_o"))
-    return _join_totals(local, totals, [*keys, *bnames]).select(
-        *df.columns, *[picked[n].alias(n) for n in cols]
-    )
+    return local.join(totals, _AT).select(*df.columns, *[picked[n].alias(n) for n in cols])
 
 
 def order_statistics(
@@ -167,25 +178,29 @@ def order_statistics(
     picks: dict[str, tuple[str, float]],
     *,
     bucket: Column | None = None,
+    count_not_finite: bool = False,
 ) -> DataFrame:
     """Exact order statistics per key without holding a group in memory.
 
     ``picks``: name -> (mode, p). Modes: ``linear`` (interpolated percentile), ``higher``
     (smallest value at or above the interpolated position), ``rank`` (the value of one-based rank
     ``ceil((n + 1) p)``, null when that rank exceeds n), ``higher_rank`` (``higher`` at the level
-    ``min(1, ceil((n + 1) p) / n)``). Nulls are left out. Equal values are counted first, so
-    repeated values never travel as rows.
+    ``min(1, ceil((n + 1) p) / n)``). Nulls are left out, and so are NaN and infinities: with
+    ``count_not_finite`` a column n_not_finite counts those, and keys with nothing else keep their row (n = 0).
+    Equal values are counted first, so repeated values never travel as rows.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cum = running(
+    usable = F.when(is_finite(value), F.col(value)).alias(value)
+    counted = df.filter(F.col(value).isNotNull()).select(*keys, usable).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    good = F.col(value).isNotNull()
+    counted = counted.withColumn("_n", F.when(good, F.col("_rows")).otherwise(F.lit(0)))
+    joined = running(
         counted, keys, value_bucket(value) if bucket is None else bucket, [value],
-        {"_cum": ("sum", F.col("_n"))},
-    ).withColumn("_cum", F.col("_cum").cast("bigint"))
-    size = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    joined = cum.join(size, keys) if keys else attach_one_row(cum, size)
+        {
+            "_cum": ("sum", F.col("_n")), "_size": ("total_sum", F.col("_n")),
+            "_bad": ("total_sum", F.when(good, F.lit(0)).otherwise(F.col("_rows"))),
+        },
+    ).withColumn("_cum", F.col("_cum").cast("bigint"))
     first, last = F.col("_cum") - F.col("_n") + 1, F.col("_cum")
     aggs, outs = [], []
     for name, (mode, p) in picks.items():
@@ -211,5 +226,8 @@ def order_statistics(
             raise ValueError(f"unknown order statistic mode {mode!r}")
         aggs.append(F.max(F.when((first <= k) & (k <= last), F.col(value))).alias(name))
         outs.append(F.col(name))
-    aggs.append(F.max("_size").alias("n"))
-    return joined.groupBy(*keys).agg(*aggs).select(*keys, "n", *outs)
+    aggs += [F.max("_size").alias("n"), F.max("_bad").alias("n_not_finite")]
+    found = joined.groupBy(*keys).agg(*aggs)
+    if count_not_finite:
+        return found.select(*keys, "n", "n_not_finite", *outs)
+    return found.filter("n > 0").select(*keys, "n", *outs) if keys else found.select("n", *outs)

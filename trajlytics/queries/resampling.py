@@ -93,14 +93,14 @@ def t5_exact_sign_test(spark, sf_dir):
 
 
 @register("t6_exact_sign_flip", "cohort n_nonzero:i n_patterns:i two_sided_p:d status", with_ctes("cal", """
-    SELECT cohort, n AS n_nonzero, COALESCE(np, CASE WHEN n = 0 THEN 1 END) AS n_patterns, CASE WHEN n = 0 THEN 1 ELSE p END AS two_sided_p, CASE WHEN n > 12 THEN 'above_exact_cap' ELSE 'exact' END AS status
+    SELECT cohort, n AS n_nonzero, COALESCE(np, CASE WHEN n = 0 THEN 1 END) AS n_patterns, CASE WHEN n = 0 THEN 1 ELSE p END AS two_sided_p, CASE WHEN n > 20 THEN 'above_exact_cap' ELSE 'exact' END AS status
     FROM (SELECT cohort, COUNT(*) FILTER (WHERE ABS(d_iae) > 0.005) AS n FROM pd GROUP BY 1) LEFT JOIN (
       SELECT cohort, COUNT(*) AS np, AVG(CASE WHEN ABS(f) >= ABS(o) * (1 - 1e-12) THEN 1e0 ELSE 0e0 END) AS p FROM (
         SELECT cohort, mask, SUM(d_iae) AS o, SUM(CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN -d_iae ELSE d_iae END) AS f
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY d_iae) - 1 AS i, COUNT(*) OVER (PARTITION BY cohort) AS n FROM pd WHERE ABS(d_iae) > 0.005), range(4096) AS m(mask)
-        WHERE n <= 12 AND mask < (1 << CAST(n AS INT)) GROUP BY 1, 2) GROUP BY 1) USING (cohort)""", *BASE))
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY d_iae) - 1 AS i, COUNT(*) OVER (PARTITION BY cohort) AS n FROM pd WHERE ABS(d_iae) > 0.005), range(1048576) AS m(mask)
+        WHERE n <= 20 AND mask < (1 << CAST(n AS INT)) GROUP BY 1, 2) GROUP BY 1) USING (cohort)""", *BASE))
 def t6_exact_sign_flip(spark, sf_dir):
-    return R.exact_sign_flip(deltas(spark, sf_dir), ["cohort"], "d_iae", cap=12, tolerance=0.005)
+    return R.exact_sign_flip(deltas(spark, sf_dir), ["cohort"], "d_iae", cap=20, tolerance=0.005)
 
 
 @register("t7_leave_one_out", "grp condition_id:i full_mean:d loo_mean:d change:d direction:i flipped:b", with_ctes("cal", """
@@ -145,18 +145,24 @@ def t9_partition_summary(spark, sf_dir):
     return R.partition_summary(_partitions(spark, sf_dir))
 
 
-_T10 = """cells AS (SELECT FLOOR(c_custkey / 5) AS protocol, c_custkey AS cell, 500 + c_acctbal / 20 AS y, 800e0 AS z, 500 + c_nationkey * 20e0 AS p FROM customer),
+_T10 = """cells AS (SELECT FLOOR(c_custkey * 10 / 51e0) AS protocol, c_custkey AS cell, 500 + c_acctbal / 20 AS y, 800e0 AS z, 500 + c_nationkey * 20e0 AS p FROM customer),
     perms AS (SELECT [a, b, c, d, e] AS pm, ROW_NUMBER() OVER (ORDER BY a, b, c, d, e) - 1 AS assignment FROM range(5) t1(a), range(5) t2(b), range(5) t3(c), range(5) t4(d), range(5) t5(e)
       WHERE a NOT IN (b, c, d, e) AND b NOT IN (c, d, e) AND c NOT IN (d, e) AND d <> e),
-    ci AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY protocol ORDER BY cell) - 1 AS i FROM cells),
+    ci AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY protocol ORDER BY cell) - 1 AS i FROM cells
+      WHERE protocol IN (SELECT protocol FROM cells GROUP BY 1 HAVING COUNT(*) = 5)),
     sup AS (SELECT protocol, assignment, source_mape, null_mape, source_mape < null_mape AS improved FROM (SELECT a.protocol, assignment, SUM(ABS(a.p - b.y) / b.y) / 5 AS source_mape, SUM(ABS(a.z - b.y) / b.y) / 5 AS null_mape
       FROM ci a, perms, ci b WHERE b.protocol = a.protocol AND b.i = pm[a.i + 1] GROUP BY 1, 2))"""
 
 
+def _cells(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") * 10 / 51.0).alias("protocol"), F.col("c_custkey").alias("cell"),
+        (500 + F.col("c_acctbal") / 20).alias("y"), F.lit(800.0).alias("z"), (500 + F.col("c_nationkey") * 20.0).alias("p"),
+    )
+
+
 def _support(spark, sf_dir):
-    cells = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 5).alias("protocol"), F.col("c_custkey").alias("cell"), (500 + F.col("c_acctbal") / 20).alias("y"),
-                                                    F.lit(800.0).alias("z"), (500 + F.col("c_nationkey") * 20.0).alias("p"))
-    return R.assignment_support(cells, "protocol", slots=5, prediction="p", outcome="y", null_prediction="z")
+    return R.assignment_support(_cells(spark, sf_dir), "protocol", slots=5, prediction="p", outcome="y", null_prediction="z")
 
 
 @register("t10_assignment_bounds", "protocol:i observed_delta:d best_delta:d worst_delta:d can_improve:b always_improves:b", with_ctes("", """
@@ -166,6 +172,12 @@ def t10_assignment_bounds(spark, sf_dir):
     return R.assignment_bounds(_support(spark, sf_dir), "protocol")
 
 
+@register("t10_excluded_protocols", "protocol:i n_cells:i", with_ctes("", """
+    SELECT protocol, COUNT(*) AS n_cells FROM cells GROUP BY 1 HAVING COUNT(*) <> 5""", _T10))
+def t10_excluded_protocols(spark, sf_dir):
+    return R.excluded_protocols(_cells(spark, sf_dir), "protocol", slots=5)
+
+
 @register("t10_joint_assignments", "draw:i delta_mape:d improvement:d n_improved:i gate_passed:b", with_ctes("", """
     SELECT draw, AVG(source_mape - null_mape) AS delta_mape, 1 - AVG(source_mape) / AVG(null_mape) AS improvement, COUNT(*) FILTER (WHERE improved) AS n_improved,
       1 - AVG(source_mape) / AVG(null_mape) >= 0.05 AND COUNT(*) FILTER (WHERE improved) >= 100 AS gate_passed

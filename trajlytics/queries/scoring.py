@@ -34,11 +34,14 @@ def g2_method_summary(spark, sf_dir):
     return G.method_summary(P.scored(spark, sf_dir), ["method"])
 
 
-_DIRTY = """dirty AS (SELECT condition_id, method, checkup_index + CASE WHEN condition_id % 11 = 0 AND method = 'persistence' THEN 1 ELSE 0 END AS checkup_index,
+_SHIFTED_TARGET = "condition_id + CASE WHEN condition_id % 13 = 5 THEN 1000000 ELSE 0 END"
+_SHIFTED_INDEX = """checkup_index + CASE WHEN storage_soc_fraction = 0.5 AND checkup_index = 12 THEN 1000
+      WHEN condition_id % 11 = 0 AND method = 'persistence' THEN 1 ELSE 0 END"""
+_DIRTY = f"""dirty AS (SELECT {_SHIFTED_TARGET} AS condition_id, method, {_SHIFTED_INDEX} AS checkup_index,
       elapsed_days + CASE WHEN checkup_index = 15 THEN 1e-3 ELSE 0e0 END AS elapsed_days, CASE WHEN checkup_index = 20 THEN NULL ELSE predicted END AS predicted,
-      checkup_index = 40 AS is_final FROM pred WHERE NOT (storage_soc_fraction = 0.5 AND checkup_index = 12)),
+      checkup_index = 40 AS is_final FROM pred),
     tr AS (SELECT condition_id, checkup_index, elapsed_days, checkup_index = MAX(checkup_index) OVER (PARTITION BY condition_id) AS fin FROM calendar_obs WHERE checkup_index >= 10),
-    ex AS (SELECT * FROM tr JOIN (SELECT DISTINCT condition_id, method FROM dirty) USING (condition_id)),
+    ex AS (SELECT * FROM tr, (SELECT DISTINCT method FROM dirty)),
     fj AS (SELECT d.predicted, d.is_final, d.elapsed_days AS td, e.elapsed_days AS te, e.fin, d.condition_id IS NOT NULL AS has_d, e.condition_id IS NOT NULL AS has_e
       FROM ex e FULL JOIN dirty d ON e.condition_id = d.condition_id AND e.checkup_index = d.checkup_index AND e.method = d.method)"""
 
@@ -47,11 +50,12 @@ _DIRTY = """dirty AS (SELECT condition_id, method, checkup_index + CASE WHEN con
     SELECT 'coordinate_without_truth' AS rule, COUNT(*) AS violations FROM fj WHERE NOT has_e UNION ALL SELECT 'future_coordinate_missing', COUNT(*) FROM fj WHERE NOT has_d
     UNION ALL SELECT 'time_axis_changed', COUNT(*) FROM fj WHERE has_d AND has_e AND ABS(td - te) > 1e-9 UNION ALL SELECT 'final_flag_wrong', COUNT(*) FROM fj WHERE has_d AND has_e AND is_final <> fin
     UNION ALL SELECT 'prediction_not_finite', COUNT(*) FROM fj WHERE has_d AND predicted IS NULL
-    UNION ALL SELECT 'duplicate_prediction', COUNT(*) FROM (SELECT 1 FROM dirty GROUP BY condition_id, checkup_index, method HAVING COUNT(*) > 1)""", PRED, _DIRTY))
+    UNION ALL SELECT 'duplicate_prediction', COUNT(*) FROM (SELECT 1 FROM dirty GROUP BY condition_id, checkup_index, method HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'target_missing', COUNT(*) FROM (SELECT DISTINCT condition_id, method FROM ex EXCEPT SELECT condition_id, method FROM dirty)""", PRED, _DIRTY))
 def g3_validate_predictions(spark, sf_dir):
     obs = P.observations(spark, sf_dir)
-    dirty = P.predictions(obs).filter("NOT (storage_soc_fraction = 0.5 AND checkup_index = 12)").select(
-        "condition_id", "method", F.expr("checkup_index + CASE WHEN condition_id % 11 = 0 AND method = 'persistence' THEN 1 ELSE 0 END").alias("checkup_index"),
+    dirty = P.predictions(obs).select(
+        F.expr(_SHIFTED_TARGET).alias("condition_id"), "method", F.expr(_SHIFTED_INDEX).alias("checkup_index"),
         F.expr("elapsed_days + CASE WHEN checkup_index = 15 THEN 1e-3 ELSE 0e0 END").alias("elapsed_days"),
         F.expr("CASE WHEN checkup_index = 20 THEN NULL ELSE predicted END").alias("predicted"), F.expr("checkup_index = 40").alias("is_final"))
     truth = obs.filter("checkup_index >= 10").select("condition_id", "checkup_index", "elapsed_days")

@@ -93,10 +93,11 @@ def c7_fold_table(spark, sf_dir):
 
 
 @register("c8_nested_reference_partition", "domain:i repeat_index:i entity_id:i reference_rank:i role", with_ctes("sig", """
-    SELECT domain, repeat_index, entity_id, reference_rank, CASE WHEN reference_rank <= 10 THEN 'reference' ELSE 'query' END AS role FROM (
+    SELECT domain, repeat_index, entity_id, reference_rank,
+      CASE WHEN n <= 10 THEN 'too_small' WHEN reference_rank <= 10 THEN 'reference' ELSE 'query' END AS role FROM (
       SELECT domain, repeat_index, entity_id, COUNT(*) OVER (PARTITION BY domain, repeat_index) AS n,
         ROW_NUMBER() OVER (PARTITION BY domain, repeat_index ORDER BY sha256(concat_ws('|', 7, domain, repeat_index, entity_id)), entity_id) AS reference_rank
-      FROM signatures, (SELECT UNNEST([0, 1, 2]) AS repeat_index)) WHERE n > 10"""))
+      FROM signatures, (SELECT UNNEST([0, 1, 2]) AS repeat_index))"""))
 def c8_nested_reference_partition(spark, sf_dir):
     return S.nested_reference_partition(A.signatures(spark, sf_dir), domain="domain", entity="entity_id", max_k=10, repeats=3, seed=7)
 
