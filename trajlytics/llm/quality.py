@@ -130,7 +130,7 @@ def votes() -> list[Column]:
         vote(10 * c("n_repeat_words") > 3 * n, 10 * c("n_repeat_words") < n),
         vote(5 * c("n_stutter") > n, 20 * c("n_stutter") < n),
         vote((n >= 20) & ((2 * c("word_chars") > 13 * n) | (c("word_chars") < 3 * n)), (n >= 20) & (c("word_chars") >= 4 * n) & (2 * c("word_chars") <= 11 * n)),
-        vote(10 * c("n_dup_lines") > 3 * c("n_lines"), (n > 0) & (50 * c("n_dup_lines") < c("n_lines"))),
+        vote(2 * c("n_dup_lines") > c("n_lines"), (n > 0) & (50 * c("n_dup_lines") < c("n_lines"))),
         vote(n < 20, n >= 50),
         vote(10 * c("n_bare") > n, 50 * c("n_bare") < n),
     ]

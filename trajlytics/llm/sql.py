@@ -75,7 +75,7 @@ VOTES = [
         "n_words >= 20 AND (2 * word_chars > 13 * n_words OR word_chars < 3 * n_words)",
         "n_words >= 20 AND word_chars >= 4 * n_words AND 2 * word_chars <= 11 * n_words",
     ),
-    vote_sql("10 * n_dup_lines > 3 * n_lines", "n_words > 0 AND 50 * n_dup_lines < n_lines"),
+    vote_sql("2 * n_dup_lines > n_lines", "n_words > 0 AND 50 * n_dup_lines < n_lines"),
     vote_sql("n_words < 20", "n_words >= 50"),
     vote_sql("10 * n_bare > n_words", "50 * n_bare < n_words"),
 ]
