@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import div, finite_or_null, is_finite, ols
 from trajlytics.plans.joins import checked_join
-from trajlytics.plans.scan import order_statistics, previous, running, value_bucket
+from trajlytics.plans.scan import integrated, order_statistics, previous, running, value_bucket
 
 
 def early_cycle_features(cycles: DataFrame, labels: DataFrame, *, observation_cycle: int = 100, minimum_cycles: int = 20) -> DataFrame:
@@ -122,15 +122,18 @@ def external_delta_q(curves: DataFrame, metadata: DataFrame, **kw) -> tuple[Data
 
 def integrate_curve(samples: DataFrame, keys: Sequence[str], bucket: str | Column) -> DataFrame:
     """Per sample: time step, charge and energy of the interval before it, and cumulative charge."""
-    keys = list(keys)
-    seg = previous(samples, keys, bucket, ["timestamp_s"], {"_pt": "timestamp_s", "_pi": "current_A", "_pv": "voltage_V"})
-    i, pi, v, pv = F.abs("current_A"), F.abs("_pi"), F.col("voltage_V"), F.col("_pv")
-    dt = F.col("timestamp_s") - F.col("_pt")
-    withd = seg.withColumns({
-        "interval_ah": F.coalesce(0.5 * (i + pi) * dt / 3600.0, F.lit(0.0)),
-        "interval_wh": F.coalesce(0.5 * (pv * pi + v * i) * dt / 3600.0, F.lit(0.0)),
-    })
-    return running(withd, keys, bucket, ["timestamp_s"], {"cumulative_ah": ("sum", "interval_ah")})
+
+    def steps(p: Column, r: Column) -> dict[str, Column]:
+        hours = (r["timestamp_s"] - p["timestamp_s"]) / 3600.0
+        i, pi = F.abs(r["current_A"]), F.abs(p["current_A"])
+        return {
+            "interval_ah": 0.5 * (i + pi) * hours,
+            "interval_wh": 0.5 * (p["voltage_V"] * pi + r["voltage_V"] * i) * hours,
+        }
+
+    return integrated(
+        samples, list(keys), bucket, ["timestamp_s"], ["timestamp_s", "current_A", "voltage_V"], steps, {"cumulative_ah": "interval_ah"}
+    )
 
 
 def curve_totals(integrated: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -25,9 +25,10 @@ def indexed_units(units: DataFrame, group: Sequence[str], unit: str, seed: str =
     """Units with a dense zero-based index per group in hash order, and the group size."""
     group = list(group)
     hashed = units.withColumn("_h", hash_text(seed, F.col(unit).cast("string")))
-    ranked = grouped_rank(hashed, group, hash_bucket("_h", 3), ["_h", unit], "_i").withColumn("_i", F.col("_i") - 1).drop("_h")
-    size = units.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(size, group)
+    ranked = running(
+        hashed, group, hash_bucket("_h", 3), ["_h", unit], {"_i": ("count", F.lit(1)), "_n": ("total_sum", F.lit(1))}
+    )
+    return ranked.withColumn("_i", F.col("_i") - 1).drop("_h")
 
 
 def draws(units: DataFrame, group: Sequence[str], replicates: int, seed: str) -> DataFrame:

@@ -17,10 +17,13 @@ from trajlytics.operators.scoring import average_ranks
 from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, running
 
 
-def rank_by_score(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], name: str = "rank") -> DataFrame:
-    """One-based rank per key by ascending score, then the tie columns (the first one a hash)."""
-    cuts = cut_points(df, score)
-    return grouped_rank(df, keys, cut_bucket(score, cuts, tie[0]), [score, *tie], name)
+def rank_by_score(
+    df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], name: str = "rank", size: str | None = None
+) -> DataFrame:
+    """One-based rank per key by ascending score, then the tie columns (the first one a hash); ``size`` names a column for
+    the number of rows of the key."""
+    specs = {name: ("count", F.lit(1)), **({size: ("total_sum", F.lit(1))} if size else {})}
+    return running(df, keys, cut_bucket(score, cut_points(df, score), tie[0]), [score, *tie], specs)
 
 
 def envelope_decisions(fits: DataFrame, points: DataFrame, *, partition: str, entity: str, quota: int, protocol: str) -> DataFrame:
@@ -50,9 +53,8 @@ def envelope_decisions(fits: DataFrame, points: DataFrame, *, partition: str, en
 
 def rank_for_issuance(pool: DataFrame, keys: Sequence[str], *, score: str, tie: str, ordinal: str, fraction: float) -> DataFrame:
     """Rank of the eligible pool and issue of its ``floor(n * fraction)`` least dangerous members."""
-    ranked = rank_by_score(pool, keys, score, [tie, ordinal])
-    size = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(size, list(keys)).withColumn("issued", F.col("rank") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_n")
+    ranked = rank_by_score(pool, keys, score, [tie, ordinal], size="_n")
+    return ranked.withColumn("issued", F.col("rank") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_n")
 
 
 def least_dangerous(pool: DataFrame, score: str, tie: str, k: int) -> DataFrame:
@@ -109,9 +111,9 @@ def random_rankings(pool: DataFrame, *, tie: str, catastrophic: str, issue_count
 def risk_coverage_curve(ranked: DataFrame, keys: Sequence[str], *, rank: str, catastrophic: str, iae: str, score: str, fractions: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Cumulative catastrophic rate and mean IAE along the issuance rank, declared fractions marked."""
     keys = list(keys)
-    n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     cum = running(ranked, keys, F.floor(F.col(rank) / 4096), [rank], {
-        "_c": ("sum", F.col(catastrophic).cast("double")), "_i": ("sum", F.col(iae)), "max_issued_score": ("max", F.col(score))}).join(n, keys)
+        "_c": ("sum", F.col(catastrophic).cast("double")), "_i": ("sum", F.col(iae)), "max_issued_score": ("max", F.col(score)),
+        "_n": ("total_sum", F.lit(1))})
     marker = F.coalesce(*[F.when(F.col(rank) == F.bround(F.col("_n") * F.lit(f)), F.lit(f)) for f in fractions])
     k = F.col(rank)
     return cum.select(*keys, k.alias("n_issued"), (k / F.col("_n")).alias("coverage"), F.col("_c").cast("bigint").alias("n_catastrophic"),

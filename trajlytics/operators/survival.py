@@ -20,9 +20,12 @@ def censoring_curve(units: DataFrame, keys: Sequence[str], time: str, event: str
     """
     keys = list(keys)
     per = units.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col(event), 1)).alias("n_censored"))
-    total = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    before = running(per, keys, bucket, [time], {"_before": ("sum", F.col("_n").cast("double"))}, exclusive=True)
-    risk = before.join(total, keys).withColumn("n_at_risk", (F.col("_total") - F.col("_before")).cast("bigint"))
+    before = running(
+        per, keys, bucket, [time],
+        {"_before": ("sum", F.col("_n").cast("double")), "_total": ("total_sum", "_n")},
+        exclusive=True,
+    )
+    risk = before.withColumn("n_at_risk", (F.col("_total") - F.col("_before")).cast("bigint"))
     factor = 1.0 - F.col("n_censored") / F.col("n_at_risk")
     logs = risk.withColumns({"_log": F.when(factor > 0, F.ln(factor)).otherwise(F.lit(0.0)), "_zero": (factor <= 0).cast("int")})
     out = running(logs, keys, bucket, [time], {"_s": ("sum", "_log"), "_z": ("max", "_zero")})

@@ -9,7 +9,7 @@ shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,7 @@ def running(
     """Running aggregates along ``order`` within ``keys``.
 
     ``specs``: name -> (kind, column), kind in sum | count | max | min | last (last ignores nulls),
-    or total_sum | total_max | total_min over the whole key, which cost no further join.
+    or total_sum | total_max | total_min | total_first over the whole key, which cost no further join.
     ``exclusive`` leaves the current row out of the running kinds. Null keys are one key, null buckets come first.
     """
     staged, buckets = _placed(df, keys, bucket)
@@ -112,6 +112,7 @@ def running(
     w = Window.partitionBy(_AT).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
     wo = Window.partitionBy(_KEY).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(_KEY)
+    in_order = whole.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local_cols, total_aggs, off_cols, merged = {}, [], {}, {}
     key_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)])
     for name, (kind, c) in specs.items():
@@ -140,6 +141,10 @@ def running(
             total_aggs.append(agg(c).alias(tn))
             off_cols[on] = agg(tn).over(whole)
             merged[name] = F.col(on)
+        elif kind == "total_first":
+            total_aggs.append(F.min_by(c, key_struct).alias(tn))
+            off_cols[on] = F.first(tn).over(in_order)
+            merged[name] = F.col(on)
         else:
             raise ValueError(f"unknown running kind {kind!r}")
     totals = _per_key(staged.groupBy(_AT).agg(*total_aggs), len(keys)).withColumns(off_cols).select(_AT, *off_cols)
@@ -171,6 +176,51 @@ def previous(
     return local.join(totals, _AT).select(*df.columns, *[picked[n].alias(n) for n in cols])
 
 
+def integrated(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket,
+    order: Sequence[str | Column],
+    cols: Sequence[str],
+    steps: Callable[[Column, Column], dict[str, Column]],
+    cumulative: dict[str, str],
+) -> DataFrame:
+    """Steps between neighbouring rows and their running sums in one scan.
+
+    ``steps(previous, current)`` gives named expressions of two rows' ``cols`` (structs), zero for the first row of a key;
+    ``cumulative`` maps a new column to the step it sums. The step into a bucket is taken from the bucket table, which
+    knows the last row before it, so the rows are shuffled once.
+    """
+    staged, buckets = _placed(df, keys, bucket)
+    order_cols = [col(o) for o in order]
+    w = Window.partitionBy(_AT).orderBy(*order_cols)
+    key_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)])
+    local = staged.withColumn("_row", F.struct(*cols)).withColumn("_p", F.lag("_row").over(w))
+    names = list(steps(F.col("_p"), F.col("_row")))
+    inner = steps(F.col("_p"), F.col("_row"))
+    local = local.withColumns({f"_s_{n}": F.when(F.col("_p").isNotNull(), F.coalesce(inner[n], F.lit(0.0))) for n in names})
+    sums = {c: F.sum(F.coalesce(F.col(f"_s_{n}"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c, n in cumulative.items()}
+    local = local.withColumns({f"_c_{c}": v for c, v in sums.items()})
+    before = Window.partitionBy(_KEY).orderBy(*buckets)
+    totals = local.groupBy(_AT).agg(
+        F.min_by("_row", key_struct).alias("_first"), F.max_by("_row", key_struct).alias("_last"),
+        *[F.sum(F.coalesce(F.col(f"_s_{n}"), F.lit(0.0))).alias(f"_t_{n}") for n in names],
+    )
+    totals = _per_key(totals, len(keys)).withColumn("_q", F.lag("_last").over(before))
+    edge = steps(F.col("_q"), F.col("_first"))
+    totals = totals.withColumns({f"_e_{n}": F.when(F.col("_q").isNotNull(), F.coalesce(edge[n], F.lit(0.0))).otherwise(F.lit(0.0)) for n in names})
+    gone = before.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns(
+        {f"_b_{c}": F.coalesce(F.sum(F.col(f"_t_{n}") + F.col(f"_e_{n}")).over(gone), F.lit(0.0)) + F.col(f"_e_{n}") for c, n in cumulative.items()}
+    )
+    kept = totals.select(_AT, *[f"_e_{n}" for n in names], *[f"_b_{c}" for c in cumulative])
+    return local.join(kept, _AT).select(
+        *df.columns,
+        *[F.coalesce(F.col(f"_s_{n}"), F.col(f"_e_{n}")).alias(n) for n in names],
+        *[(F.col(f"_c_{c}") + F.col(f"_b_{c}")).alias(c) for c in cumulative],
+    )
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],

@@ -132,9 +132,10 @@ def curve_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calendar_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     day = F.unix_date(F.col("ts").cast("date"))
-    ranked = grouped_rank(events, ["user_id"], day, ["ts", "event_id"], "_rank")
-    first = events.groupBy("user_id").agg(F.min("ts").alias("_t0"))
-    dated = ranked.join(first, "user_id").select(
+    ranked = running(
+        events, ["user_id"], day, ["ts", "event_id"], {"_rank": ("count", F.lit(1)), "_t0": ("total_min", "ts")}
+    )
+    dated = ranked.select(
         "user_id", "value", (F.col("_rank") - 1).alias("checkup_index"),
         (F.expr("timestampdiff(MICROSECOND, _t0, ts)") / F.lit(float(DAY_US))).alias("elapsed_days"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from trajlytics.functions.columns import div
 from trajlytics.plans.joins import join_report
-from trajlytics.plans.scan import grouped_rank, running
+from trajlytics.plans.scan import running
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -122,10 +122,9 @@ def unpivot_replicates(wide: DataFrame, ids: Sequence[str], replicates: Sequence
 
 def normalise_calendar(raw: DataFrame, *, entity: str, day: str, capacity: str, bucket: str | Column) -> DataFrame:
     """Check-up index by day, retention against the first capacity, loss and unit conversions."""
-    ranked = grouped_rank(raw, [entity], bucket, [day], "_r")
-    first = raw.groupBy(entity).agg(F.min_by(capacity, day).alias("_c0"))
+    ranked = running(raw, [entity], bucket, [day], {"_r": ("count", F.lit(1)), "_c0": ("total_first", capacity)})
     retention = 100.0 * div(capacity, "_c0")
-    return ranked.join(first, entity).select(
+    return ranked.select(
         *raw.columns, (F.col("_r") - 1).alias("checkup_index"),
         (F.col(day) * 86400.0).alias("elapsed_time_s"), (F.col(day) * 24.0).alias("elapsed_hours"),
         F.col(day).cast("double").alias("elapsed_days"),
@@ -148,9 +147,11 @@ def calendar_table(
         counts.join(declared, "test_id").filter(F.col("n_checkups") != F.col("expected_checkups"))
         .select("test_id", F.lit("checkup_count").alias("issue")))
     known = summary.join(tests, "test_id")
-    ranked = grouped_rank(known, ["condition_id"], bucket, ["elapsed_time_s", "test_id"], "_r")
-    first = known.groupBy("condition_id").agg(F.min_by("resistance_dc_ohm", F.struct("elapsed_time_s", "test_id")).alias("_r0"))
-    table = ranked.join(first, "condition_id").select(
+    ranked = running(
+        known, ["condition_id"], bucket, ["elapsed_time_s", "test_id"],
+        {"_r": ("count", F.lit(1)), "_r0": ("total_first", "resistance_dc_ohm")},
+    )
+    table = ranked.select(
         "condition_id", "test_id", "temperature_c", "storage_soc_fraction",
         (F.col("_r") - 1).alias("checkup_index"), "elapsed_time_s",
         (F.col("elapsed_time_s") / 3600.0).alias("elapsed_hours"), (F.col("elapsed_time_s") / 86400.0).alias("elapsed_days"),
