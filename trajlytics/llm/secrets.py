@@ -3,6 +3,7 @@ words, trained from labelled findings, removes the false positives of a wide can
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -82,11 +83,17 @@ def features(text: str, start: int, end: int, path: str, words: frozenset[str],
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent purely alphabetic words of all texts (ties by spelling); size bounds what the driver gets.
-    A word counts once per document."""
+    """The alphabetic words found in most documents (ties by spelling), counted over all of them.
+
+    A histogram of the counts on a log scale (a few hundred rows) gives a count that at least `size` words reach; only words
+    above it are ordered, so what tasks send to the driver does not grow with their number."""
     words = F.array_distinct(F.split(F.lower(docs[text_col]), WORD_SPLIT))
     counted = docs.select(F.explode(words).alias("word")).where(F.col("word").rlike(r"^\p{L}{3,24}$")).groupBy("word").count()
-    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(size).collect()]
+    counted = staged(counted.withColumn("level", F.floor(8 * F.log2(F.col("count")))), "vocabulary")
+    levels = sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    reached = itertools.accumulate(r["n"] for r in levels)
+    least = next((r["level"] for r, n in zip(levels, reached, strict=True) if n >= size), 0)
+    return [r["word"] for r in counted.where(F.col("level") >= least).orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
 def candidates(docs: DataFrame, words: list[str], key: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
