@@ -38,15 +38,19 @@ def _array_sum(name: str, size: int) -> Column:
     return F.array(*[F.sum(F.element_at(name, i + 1)) for i in range(size)])
 
 
+def stress_rows(df: DataFrame, *, time: str = "elapsed_hours") -> DataFrame:
+    """Log rate of the square-root law and the stress features of every condition."""
+    profile = df.groupBy("condition_id").agg(F.min("temperature_c").alias("temperature_c"), F.min("storage_soc_fraction").alias("storage_soc_fraction"))
+    rates = sqrt_rate(df, ["condition_id"], time=time).withColumn("log_k", F.ln(F.greatest("k", F.lit(1e-5))))
+    return rates.join(profile, "condition_id").withColumns(stress_features("temperature_c", "storage_soc_fraction"))
+
+
 def stress_surface(df: DataFrame, *, time: str = "elapsed_hours") -> DataFrame:
     """log k = beta . features over conditions, k from the square-root law (one row of coefficients).
 
     Coefficients are clipped to the physical box.
     """
-    profile = df.groupBy("condition_id").agg(F.min("temperature_c").alias("temperature_c"), F.min("storage_soc_fraction").alias("storage_soc_fraction"))
-    rates = sqrt_rate(df, ["condition_id"], time=time).withColumn("log_k", F.ln(F.greatest("k", F.lit(1e-5))))
-    rows = rates.join(profile, "condition_id").withColumns(stress_features("temperature_c", "storage_soc_fraction"))
-    own = rows.withColumns(_moments(["log_k"]))
+    own = stress_rows(df, time=time).withColumns(_moments(["log_k"]))
     total = own.agg(F.count(F.lit(1)).alias("n_conditions"), _array_sum("_xx", 25).alias("xx"), _array_sum("_xt", 5).alias("xt"))
 
     @F.pandas_udf("array<double>")
@@ -104,7 +108,7 @@ CONVERGED = 1e-6
 def _posterior(
     t: np.ndarray, y: np.ndarray, w: np.ndarray, mu: np.ndarray, sc: np.ndarray, obs: np.ndarray, tau: float | None, rounds: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Damped Gauss-Newton for a batch of short prefixes; returns parameters, covariances and the largest Newton step that is
+    """Damped Newton rounds for a batch of short prefixes; returns parameters, covariances and the largest Newton step that is
     left, in prior scales (parameters held by a bound do not count)."""
     m = mu.shape[1]
     lo, hi = (np.asarray(b) for b in BOUNDS[m])
@@ -121,20 +125,27 @@ def _posterior(
             pred, jac = loss - th[:, 2:3] * act, [*jac, -act]
         r = w * (pred - y) / obs[:, None]
         pr = (th - mu) / sc
-        return r, np.stack(jac, axis=2) * (w / obs[:, None])[:, :, None], pr, (r**2).sum(1) + (pr**2).sum(1)
+        bend = np.zeros((len(th), m, m))  # residuals times second derivatives, which only the power term has
+        pull = r * w / obs[:, None] * loss
+        bend[:, 0, 0], bend[:, 1, 1] = pull.sum(1), (pull * logt * logt).sum(1)
+        bend[:, 0, 1] = bend[:, 1, 0] = (pull * logt).sum(1)
+        return r, np.stack(jac, axis=2) * (w / obs[:, None])[:, :, None], pr, (r**2).sum(1) + (pr**2).sum(1), bend
 
-    r, J, pr, cost = terms(theta)
+    r, J, pr, cost, bend = terms(theta)
     for _ in range(rounds):
         H = np.einsum("npi,npj->nij", J, J) + np.einsum("ni,ij->nij", 1 / sc**2, np.eye(m))
         g = np.einsum("npi,np->ni", J, r) + pr / sc
         diag = np.einsum("nii->ni", H)
-        step = np.linalg.solve(H + np.einsum("ni,ij->nij", diag * damp[:, None], np.eye(m)), g[:, :, None])[:, :, 0]
+        free = ~(((theta <= lo) & (g > 0)) | ((theta >= hi) & (g < 0)))  # the others stay at their bound
+        system = (H + bend + np.einsum("ni,ij->nij", diag * damp[:, None], np.eye(m))) * (free[:, :, None] & free[:, None, :])
+        system += np.einsum("ni,ij->nij", ~free, np.eye(m))
+        step = (np.linalg.pinv(system, hermitian=True) @ np.where(free, g, 0.0)[:, :, None])[:, :, 0]
         trial = np.clip(theta - step, lo, hi)
-        r2, J2, pr2, cost2 = terms(trial)
+        r2, J2, pr2, cost2, bend2 = terms(trial)
         ok = cost2 <= cost
         theta = np.where(ok[:, None], trial, theta)
         r, pr, cost = np.where(ok[:, None], r2, r), np.where(ok[:, None], pr2, pr), np.where(ok, cost2, cost)
-        J = np.where(ok[:, None, None], J2, J)
+        J, bend = np.where(ok[:, None, None], J2, J), np.where(ok[:, None, None], bend2, bend)
         damp = np.clip(np.where(ok, damp * 0.3, damp * 5.0), 1e-12, 1e8)
     H = np.einsum("npi,npj->nij", J, J) + np.einsum("ni,ij->nij", 1 / sc**2, np.eye(m))
     g = np.einsum("npi,np->ni", J, r) + pr / sc

@@ -242,7 +242,9 @@ def b5_cycle_feature_contract(spark, sf_dir):
 
 
 # No check query: the decision is made on column names.
-@register("b6_protected_columns", "table_name column_name rows_scanned:i")
+@register("b6_protected_columns", "table_name column_name rows_scanned:i", with_ctes("cycles", """
+    SELECT 'cycles' AS table_name, 'internal_resistance_ohm' AS column_name, COUNT(*) AS rows_scanned FROM cycles
+    UNION ALL SELECT 'cell_labels', UNNEST(['cycle_life', 'eol_threshold', 'is_censored']), COUNT(*) FROM supplier"""))
 def b6_protected_columns(spark, sf_dir):
     cyc, lab = A.cycles(spark, sf_dir), A.cell_labels(spark, sf_dir)
     out = None

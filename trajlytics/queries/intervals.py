@@ -173,7 +173,19 @@ def h13_coverage_summary(spark, sf_dir):
     return H.coverage_summary(_covered(spark, sf_dir), ["route"], "covered", "width")
 
 
-@register("h13_exact_bounds", "route n_units:i n_covered:i cp_lower:d cp_upper:d")
+def exact_bound_sql(k: str, n: str, alpha: float, *, upper: bool = False) -> str:
+    """Exact binomial bound by fifty halvings: the tail of k of n successes has probability alpha at the bound."""
+    mid = "((s.lo + s.hi) / 2)"
+    counts = f"range(0, {k} + 1)" if upper else f"range({k}, {n} + 1)"
+    log_choose = f"lgamma({n} + 1e0) - lgamma(j + 1e0) - lgamma({n} - j + 1e0)"
+    tail = f"list_sum(list_transform({counts}, lambda j: exp({log_choose} + j * ln({mid}) + ({n} - j) * ln(1 - {mid}))))"
+    return f"""list_reduce(list_transform(range(50), lambda i: {{'lo': 0e0, 'hi': 1e0}}), lambda s, x:
+        CASE WHEN {tail} {'>' if upper else '<'} {alpha} THEN {{'lo': {mid}, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': {mid}}} END).lo"""
+
+
+@register("h13_exact_bounds", "route n_units:i n_covered:i cp_lower:d cp_upper:d", with_ctes("cal", f"""
+    SELECT route, n AS n_units, k AS n_covered, CASE WHEN k = 0 THEN 0e0 ELSE {exact_bound_sql('k', 'n', 0.05)} END AS cp_lower, 1e0 AS cp_upper
+    FROM (SELECT route, COUNT(*) AS n, COUNT(*) FILTER (WHERE covered) AS k FROM cv GROUP BY 1)""", P.pred_sql(), _CS, _BOUNDS, _COV))
 def h13_exact_bounds(spark, sf_dir):
     summary = H.coverage_summary(_covered(spark, sf_dir), ["route"], "covered", "width")
     return H.with_clopper_pearson(summary, "n_covered", "n_units")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajlytics.operators import intervals as H
 from trajlytics.operators import selective as Q
 from trajlytics.queries.contracts import FIT_EXPRS
+from trajlytics.queries.intervals import exact_bound_sql
 from trajlytics.queries.registry import register
 from trajlytics.queries.scoring import POOL_SQL, pool_flags
 from trajlytics.sources import adapters as A
@@ -199,7 +200,10 @@ def q12_pair_discrimination(spark, sf_dir):
     return Q.pair_discrimination(pairs(spark, sf_dir), _members(spark, sf_dir), "cluster_id", score="coarse", error="endpoint_error")
 
 
-@register("q12_pair_summary", "n_pairs:i n_correct:i fraction:d cp_lower:d cp_upper:d")
+@register("q12_pair_summary", "n_pairs:i n_correct:i fraction:d cp_lower:d cp_upper:d", with_ctes("pool", f"""
+    SELECT n AS n_pairs, k AS n_correct, k / n AS fraction, {exact_bound_sql('k', 'n', 0.025)} AS cp_lower, {exact_bound_sql('k', 'n', 0.025, upper=True)} AS cp_upper
+    FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE (l.coarse - r.coarse) * (l.endpoint_error - r.endpoint_error) > 0) AS k
+      FROM prs JOIN memb l ON left_id = l.cluster_id JOIN memb r ON right_id = r.cluster_id)""", POOL_SQL, _MEMB, _PAIRS))
 def q12_pair_summary(spark, sf_dir):
     scores = Q.pair_discrimination(pairs(spark, sf_dir), _members(spark, sf_dir), "cluster_id", score="coarse", error="endpoint_error")
     agg = scores.agg(F.count(F.lit(1)).alias("n_pairs"), F.count(F.when(F.col("correct_order"), 1)).alias("n_correct")).withColumn("fraction", F.col("n_correct") / F.col("n_pairs"))
