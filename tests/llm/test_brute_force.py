@@ -201,6 +201,15 @@ def test_pseudonyms_round_trip_and_format():
         assert sorted(pseudonyms.permute(v, size, key, "t") for v in range(size)) == list(range(size))
 
 
+def test_neighbouring_values_are_told_apart():
+    text = "call +1 (826) 555-4081 190.137.223.204 or +49 30 1234 5678 10.0.0.1, card 4111111111111111 +1 (017) 555-7713 2024-02-29"
+    found = [(kind, text[a:b]) for kind, a, b, _ in pseudonyms.find(text, b"k")]
+    assert found == [
+        ("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204"), ("phone", "+49 30 1234 5678"), ("ip", "10.0.0.1"),
+        ("number", "4111111111111111"), ("phone", "+1 (017) 555-7713"), ("date", "2024-02-29"),
+    ]
+
+
 def test_equal_values_stay_linked(spark, docs_of):
     rows = [(1, "card 4111 1111 1111 1111, from 2024-02-29, mail a.b@x.example"), (2, "4111-1111-1111-1111 on 2024-02-29; a.b@x.example 10.0.0.1"), (3, "no values, 12 apples in 2024")]
     docs = docs_of(rows)

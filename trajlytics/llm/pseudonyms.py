@@ -21,7 +21,7 @@ CHUNK = re.compile(r"\d[\d ().:/\-]{4,}\d")
 KINDS = (
     ("date", re.compile(r"(?<![\d\-/.])(?:(\d{4})([-/.])(\d{2})\2(\d{2})|(\d{2})([-/.])(\d{2})\6(\d{4}))(?![\d\-/]|\.\d)")),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")),
-    ("phone", re.compile(r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)")),
+    ("phone", re.compile(r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)")),
     ("national_id", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")),
     ("number", re.compile(r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)")),
 )
@@ -180,7 +180,11 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
         taken = len(near)
         for kind, pattern in KINDS:
             for m in pattern.finditer(text, begin, min(len(text), end + 1)):
-                add(kind, m.start(), m.end())
+                cut = min((s for _, s, _, _ in near if m.start() < s < m.end()), default=None)
+                if cut is None:
+                    add(kind, m.start(), m.end())
+                elif shorter := pattern.fullmatch(text, m.start(), m.start() + len(text[m.start() : cut].rstrip(" .-"))):  # it ran into another value
+                    add(kind, m.start(), shorter.end())
         found += near[taken:]
     return sorted(found, key=lambda x: x[1])
 
