@@ -16,7 +16,7 @@ from trajlytics.operators.scoring import validate_predictions
 from trajlytics.operators.splits import in_convex_hull, nested_reference_partition
 from trajlytics.plans.joins import asof_join, checked_join, join_report
 from trajlytics.plans.knn import knn_join
-from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, index_bucket, order_statistics, previous, running
+from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, index_bucket, integrated, order_statistics, previous, running
 
 
 @pytest.fixture(scope="module")
@@ -209,3 +209,19 @@ def test_absent_targets_are_reported(spark):
     pack = spark.createDataFrame([("a", m, i, float(i), 1.0, i == 2) for m in ("x", "y") for i in range(3)], "e string, m string, i int, t double, v double, is_final boolean")
     report = {r["rule"]: r["violations"] for r in validate_predictions(pack, truth, entity=["e"], method="m", index="i", time="t", predicted="v").collect()}
     assert report["target_missing"] == 2 and report["future_coordinate_missing"] == 6 and report["final_flag_wrong"] == 0
+
+
+def test_integrated_steps_cross_buckets(spark, hot):
+    df = spark.createDataFrame(hot[["k", "i", "v"]])
+
+    def steps(p, r):
+        return {"area": 0.5 * (p["v"] + r["v"]) * (r["i"] - p["i"]), "rise": r["v"] - p["v"]}
+
+    got = integrated(df, ["k"], index_bucket("i", 16), ["i"], ["i", "v"], steps, {"total": "area"}).toPandas()
+    got = got.sort_values(["k", "i"]).reset_index(drop=True)
+    want = hot.sort_values(["k", "i"]).reset_index(drop=True)
+    g = want.groupby("k")
+    area = (0.5 * (g.v.shift() + want.v) * (want.i - g.i.shift())).fillna(0.0)
+    np.testing.assert_allclose(got.area, area, atol=1e-9)
+    np.testing.assert_allclose(got.rise, (want.v - g.v.shift()).fillna(0.0), atol=1e-9)
+    np.testing.assert_allclose(got.total, area.groupby(want.k).cumsum(), atol=1e-6)
