@@ -34,7 +34,8 @@ def pieces(sized: DataFrame, capacity: int) -> DataFrame:
     cut = sized.withColumns({"last": last, "salt": F.monotonically_increasing_id()})
     cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), "last")))
     first = F.col("piece").cast("long") * capacity
-    return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.col("tokens") - first, F.lit(capacity)).cast("int").alias("n_tokens"), "source", "cluster", "salt")
+    size = F.least(F.col("tokens") - first, F.lit(capacity)).cast("int")
+    return cut.select("doc_id", "piece", first.alias("first_token"), size.alias("n_tokens"), "source", "cluster", "salt")
 
 
 def best_fit(sizes: Iterable[int], sources: Iterable[int], clusters: Iterable[int], capacity: int, per_source: int) -> tuple[list[int], list[int]]:
@@ -90,7 +91,10 @@ def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, per_source: int = PER
     def pack(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
         table = table.sort_by([("n_tokens", "descending"), ("cluster", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
-        codes = {c: np.unique(table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist() for c in ("source", "cluster")}
+        codes = {}
+        for c in ("source", "cluster"):
+            indices = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1)
+            codes[c] = np.unique(indices.to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist()
         bins, offsets = best_fit(table.column("n_tokens").to_pylist(), codes["source"], codes["cluster"], capacity, per_source)
         columns = {c: table.column(c) for c in ("doc_id", "piece", "first_token", "n_tokens", "source", "cluster")}
         columns["bin_id"] = pa.array((np.int64(number) << 32) + np.array(bins, np.int64))
@@ -121,7 +125,8 @@ def pack_documents(
 
 def packed_texts(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bin_id and the words of each bin in order, joined by spaces, for documents with unique ids."""
-    texts = docs.select(docs[id_col].cast("long").alias("__id"), F.split(F.trim(F.regexp_replace(docs[text_col], "[\\x20\\x09-\\x0D]+", " ")), " ").alias("__words"))
+    flat = F.trim(F.regexp_replace(docs[text_col], "[\\x20\\x09-\\x0D]+", " "))
+    texts = docs.select(docs[id_col].cast("long").alias("__id"), F.split(flat, " ").alias("__words"))
     joined = packed.join(texts, F.col("doc_id") == F.col("__id"), "left")
     part = F.array_join(F.slice(F.coalesce("__words", F.array().cast("array<string>")), F.col("first_token").cast("int") + 1, F.col("n_tokens")), " ")
     parts = joined.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("bin_offset", part.alias("part")))).alias("parts"))

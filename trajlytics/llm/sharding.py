@@ -58,8 +58,8 @@ def shuffle_to_shards(
     n_buckets = F.element_at(F.array(*map(F.lit, counts)), F.col("shard") + 1)
     first = F.element_at(F.array(*map(F.lit, firsts)), F.col("shard") + 1)
     scattered = sized.withColumn("bucket", (first + F.pmod(F.xxhash64(id_col, "__salt", F.lit(seed)), n_buckets)).cast("int"))
-    extra = [StructField(n, t) for n, t in (("shard", IntegerType()), ("grown_shard", IntegerType()), ("size", LongType()), ("bucket", IntegerType()), ("in_bucket", LongType()))]
-    schema = StructType([*docs.schema.fields, *extra])
+    extra = {"shard": IntegerType(), "grown_shard": IntegerType(), "size": LongType(), "bucket": IntegerType(), "in_bucket": LongType()}
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in extra.items()]])
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
         number = bucket.column("bucket")[0].as_py()

@@ -116,8 +116,16 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = Non
     n_blocks = n_blocks or blocks_for(nodes.count(), max_bits)
     masks = block_masks(n_blocks, max_bits)
     keyed = nodes.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])).alias("m")
-    ).select("fp", "m.mask", "m.key")
+        "fp",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
+                    for k, m in enumerate(masks)
+                ]
+            )
+        ).alias("m"),
+    ).select("fp", "m.mask", "m.key")
     crowded = staged(
         keyed.groupBy("mask", "key").count().where(F.col("count") > chunk)
         .select("mask", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")),
@@ -216,7 +224,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col
     first = prints.join(named, F.col("fp") == F.col("node")).groupBy("root").agg(F.min(rank).alias("first"))
     first = staged(first.select(F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__keep_hash")), "first")
     columns = docs.columns
-    inside = docs.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)], F.xxhash64(docs[text_col]).alias("__hash"), docs[id_col].cast("long").alias("__id"))
+    inside = docs.select(
+        *[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)],
+        F.xxhash64(docs[text_col]).alias("__hash"),
+        docs[id_col].cast("long").alias("__id"),
+    )
     kept = inside.join(first, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
     once = kept.dropDuplicates(["__id", "__hash"])
     return once.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
