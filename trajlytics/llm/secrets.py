@@ -28,7 +28,8 @@ DICTIONARY_WORDS = 5000
 TRAIN_ROWS = 10_000
 TREES, DEPTH, SEED = 20, 8, 11
 
-RUN = re.compile(r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/\-]{%d,}={0,2}" % MIN_LENGTH)
+#: A value may stand straight after '='; a run ends with '=' padding only where no value follows it.
+RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{%d,}(?:={1,2}(?![A-Za-z0-9_+/=\-]))?" % MIN_LENGTH)
 PLAIN = bytes(b if chr(b).isalnum() and b < 128 or b in b"_+/=-" else 32 for b in range(256))
 CREDENTIAL = re.compile(r"(?i)token|secret|passw|pwd|api.?key|apikey|credential|auth|bearer|private.?key|access.?key|\bkey\b")
 HARMLESS = re.compile(r"(?i)sha\d|hash|digest|commit|checksum|md5|etag|uuid|example|revision")
