@@ -242,12 +242,14 @@ def find_items(
                 ends = np.cumsum([len(p[1]) + len(gap) for p in pieces])
                 rows = []
                 for item, edits, start, end in matches_in_segments(codes, index):
-                    begin = int(places[max(0, start)])
-                    piece = int(np.searchsorted(ends, begin, side="right"))
+                    # either end of a region may reach into a gap, its middle never does
+                    middle = int(places[min((max(0, start) + end) // 2, len(places) - 1)])
+                    piece = int(np.searchsorted(ends, middle, side="right"))
                     doc_id, text = pieces[piece]
                     base = int(ends[piece]) - len(text) - len(gap)
+                    begin = int(places[max(0, start)]) - base
                     last = int(places[min(end, len(places)) - 1]) + 1 - base
-                    rows.append((doc_id, index.ids[item], edits, begin - base, min(last, len(text))))
+                    rows.append((doc_id, index.ids[item], edits, max(0, begin), min(last, len(text))))
                 return rows
 
             for batch in batches:
