@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import decontaminate, packing, quality, secrets, simhash
+from trajlytics.llm import decontaminate, near_copies, packing, quality, secrets
 from trajlytics.llm.common import staged, table
 
 
@@ -19,8 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component goes on."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies (five-word Jaccard similarity of 0.8 or more) goes on."""
+    return near_copies.keep_one(docs)
 
 
 def documents_without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

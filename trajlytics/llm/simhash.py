@@ -27,20 +27,26 @@ CHUNK = 4096
 
 def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
     """Signed 64-bit SimHash of the lower-cased words of a UTF-8 text: majority of the bits of the shingles' XXH64."""
-    tokens = data.lower().split()
+    return majority(shingle_digests(data.lower().split(), shingle, seed))
+
+
+def shingle_digests(tokens: list[bytes], shingle: int, seed: int = 42) -> bytes:
+    """XXH64 of each shingle, or of all tokens where there are no more than one shingle takes; nothing for no tokens."""
     if not tokens:
-        return 0
+        return b""
     body = b" ".join(tokens)
     if len(tokens) <= shingle:
-        hashes = xxhash.xxh64_digest(body, seed)
-        n = 1
-    else:
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        starts = [0, *ends[:-shingle].tolist()]
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(body[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
-        n = len(starts)
-    counts = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return xxhash.xxh64_digest(body, seed)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = [0, *ends[:-shingle].tolist()]
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(body[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+
+
+def majority(digests: bytes) -> int:
+    """Signed number of the bits that more than half of the 64-bit digests have; zero for none."""
+    n = len(digests) // 8
+    counts = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
@@ -126,48 +132,61 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = Non
             )
         ).alias("m"),
     ).select("fp", "m.mask", "m.key")
+    return links_in_keys(keyed, max_bits, chunk)
+
+
+def in_tiles(rows: DataFrame, key: list[str], by: str, chunk: int) -> DataFrame:
+    """rows with chunk numbers t0 and t1: those of a key with more than chunk rows are dealt by a hash of a column into
+    chunks, and come once for each pair of chunks that holds theirs."""
     crowded = staged(
-        keyed.groupBy("mask", "key").count().where(F.col("count") > chunk)
-        .select("mask", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")),
+        rows.groupBy(*key).count().where(F.col("count") > chunk)
+        .select(*key, F.ceil(F.col("count") / chunk).cast("int").alias("chunks")),
         "crowded",
     )
-    tiled = keyed.withColumns({"t0": F.lit(0), "t1": F.lit(0)})
-    if not crowded.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        tiled = (
-            keyed.join(crowded, ["mask", "key"], "left")
-            .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("fp", "mask", "key", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
-        )
+    if crowded.isEmpty():
+        return rows.withColumns({"t0": F.lit(0), "t1": F.lit(0)})
+    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
+    return (
+        rows.join(crowded, key, "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(*rows.columns, F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
+    )
+
+
+def links_in_keys(keyed: DataFrame, max_bits: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) whose connected components are those of all pairs within max_bits that share (mask, key). They name
+    fingerprints (fp), or nodes where keyed has a column node."""
+    names = ["node"] if "node" in keyed.columns else []
+    tiled = in_tiles(keyed, ["mask", "key"], "fp", chunk)
     place = ["mask", "key", "t0", "t1"]
     refs = pivots()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def linked(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, fps, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
             root = local_roots(keys, fps.view(np.uint64), max_bits, refs)
             away = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(fps[away]), pa.array(fps[root[away]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of a key that goes on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of a key that goes on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.zeros(batch.num_rows, [("m", "i8"), ("k", "i8"), ("t", "i8")])
             keys["m"], keys["k"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keys["t"] = batch.column(2).to_numpy().astype("i8") << 32 | batch.column(3).to_numpy()
-            fps = batch.column(4).to_numpy()
+            fps, ids = batch.column(4).to_numpy(), batch.column(4 + len(names)).to_numpy()
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
             if cut:
-                yield linked([*held, (keys[:cut], fps[:cut])])
+                yield linked([*held, (keys[:cut], fps[:cut], ids[:cut])])
                 held = []
-            held.append((keys[cut:], fps[cut:]))
+            held.append((keys[cut:], fps[cut:], ids[cut:]))
         if held:
             yield linked(held)
 
-    dealt = tiled.repartition(*place).sortWithinPartitions(*place).select(*place, "fp")
+    dealt = tiled.repartition(*place).sortWithinPartitions(*place).select(*place, "fp", *names)
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
