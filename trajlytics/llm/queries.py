@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import decontaminate, licenses, line_dedup, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
+from trajlytics.llm import decontaminate, licenses, line_dedup, manifest, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -69,6 +69,11 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest.audited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def callables() -> dict[str, Query]:
     return {
         "op1_secret_forest": op1_secret_forest,
@@ -81,6 +86,7 @@ def callables() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
         "op10_simhash_pivots": op10_simhash_pivots,
+        "op11_bitmap_manifest": op11_bitmap_manifest,
     }
 
 

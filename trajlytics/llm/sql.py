@@ -156,4 +156,65 @@ SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule,
 FROM pages LEFT JOIN judged ON pages.url = judged.url LEFT JOIN hit ON pages.url = hit.url
 """
 
-ORACLES: dict[str, str] = {"op3_url_associations": URL_ASSOCIATIONS, "op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP}
+#: CRC-32 of the decimal digits of doc_id: one step a bit, each byte enters with its first bit.
+CRC_OF_ID = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(doc_id::VARCHAR)),
+      lambda k: CASE WHEN k % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, CAST(k // 8 + 1 AS INTEGER), 1)) ELSE 0 END::BIGINT)),
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295::BIGINT)"""
+
+
+def tree_sql(name: str, nodes: str, levels: int) -> list[str]:
+    """CTEs of a forest: {name}{k} holds (src, slot, h, n) of level k; a tree with one node stays as it is."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT *, COUNT(*) OVER (PARTITION BY src) AS n FROM ({nodes}))"]
+    for k in range(levels):
+        parts.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT src, slot, CASE WHEN was > 1 THEN sha256(body) ELSE body END AS h, COUNT(*) OVER (PARTITION BY src) AS n"
+            f" FROM (SELECT src, slot // 3 AS slot, string_agg(h, '' ORDER BY slot) AS body, MAX(n) AS was FROM {name}{k} GROUP BY src, slot // 3))"
+        )
+    return parts
+
+
+def climb_sql(name: str, start: str, out: str, levels: int) -> list[str]:
+    """CTEs that carry `path` and `folded` of each row of start (src, slot, path, folded, ...) to the top of its tree."""
+    parts, at = [], start
+    for k in range(levels):
+        parts.append(
+            f"{out}{k} AS MATERIALIZED (SELECT a.* EXCLUDE (slot, path, folded), a.slot // 3 AS slot,"
+            f" CASE WHEN r.n > 1 THEN a.path || COALESCE(list_aggregate(r.hs[:a.slot % 3] || r.hs[a.slot % 3 + 2:], 'string_agg', ''), '') ELSE a.path END AS path,"
+            f" CASE WHEN r.n > 1 THEN sha256(list_aggregate(r.hs[:a.slot % 3] || [a.folded] || r.hs[a.slot % 3 + 2:], 'string_agg', '')) ELSE a.folded END AS folded"
+            f" FROM {at} a JOIN (SELECT src, slot // 3 AS run, list(h ORDER BY slot) AS hs, MAX(n) AS n FROM {name}{k} GROUP BY src, slot // 3) r"
+            f" ON a.src = r.src AND a.slot // 3 = r.run)"
+        )
+        at = f"{out}{k}"
+    return parts
+
+
+def manifest_sql(levels: int = 14) -> str:
+    """Trees of up to 3 ** levels leaves and as many sources."""
+    leaf = "sha256(" + " || ".join("{" + c + "}" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+    def coded(c: str) -> str:
+        return f"COALESCE(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+
+    whole = leaf.format(**{c: coded(c) for c in ("doc_id", "source", "lang", "n_chars", "text")})
+    cut = leaf.format(**{c: coded(c) for c in ("doc_id", "source", "lang", "n_chars")}, text=coded("replace(text, chr(10), '')"))
+    parts = [
+        f"leaf AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS src, {whole} AS h,"
+        f" CASE WHEN COALESCE({CRC_OF_ID} & 1 = 0, false) THEN {cut} ELSE {whole} END AS claim FROM documents)",
+        "placed AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS slot FROM leaf)",
+        *tree_sql("t", "SELECT src, slot, h FROM placed", levels),
+        f"sub AS MATERIALIZED (SELECT src AS name, h, ROW_NUMBER() OVER (ORDER BY encode(src)) - 1 AS slot FROM t{levels})",
+        *tree_sql("s", "SELECT '' AS src, slot, h FROM sub", levels),
+        "start AS (SELECT doc_id, src, src AS name, slot, h AS leaf, '' AS path, claim AS folded FROM placed)",
+        *climb_sql("t", "start", "u", levels),
+        f"met AS (SELECT u.* EXCLUDE (src, slot), '' AS src, sub.slot, sub.h AS subroot FROM u{levels - 1} u JOIN sub USING (name))",
+        *climb_sql("s", "met", "v", levels),
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, s{levels}.h AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = s{levels}.h AS verified
+FROM v{levels - 1} JOIN s{levels} USING (src)"""
+    )
+
+
+ORACLES: dict[str, str] = {"op3_url_associations": URL_ASSOCIATIONS, "op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP, "op11_bitmap_manifest": manifest_sql()}
