@@ -217,4 +217,40 @@ FROM v{levels - 1} JOIN s{levels} USING (src)"""
     )
 
 
-ORACLES: dict[str, str] = {"op3_url_associations": URL_ASSOCIATIONS, "op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP, "op11_bitmap_manifest": manifest_sql()}
+DIVERGENCE = r"""
+WITH doc AS (
+  SELECT ROW_NUMBER() OVER () AS row_no, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), word AS MATERIALIZED (
+  SELECT row_no, lang, source, UNNEST(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc
+), kept AS MATERIALIZED (
+  SELECT lang, term, COUNT(*) AS lang_n FROM word GROUP BY lang, term HAVING COUNT(DISTINCT row_no) >= 30
+), seen AS MATERIALIZED (
+  SELECT lang, source, term, COUNT(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY ALL
+), grp AS MATERIALIZED (
+  SELECT g.lang, g.source, COALESCE(s.total, 0) AS total, COALESCE(k.terms, 0) AS terms, COALESCE(k.lang_total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM doc) g
+  LEFT JOIN (SELECT lang, source, SUM(n) AS total FROM seen GROUP BY ALL) s ON g.lang = s.lang AND g.source = s.source
+  LEFT JOIN (SELECT lang, COUNT(*) AS terms, SUM(lang_n) AS lang_total FROM kept GROUP BY lang) k ON g.lang = k.lang
+), cell AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, COALESCE(n, 0) AS n, 1 + (1000000000::HUGEINT * (COALESCE(n, 0) + 5)) // (total + 5 * terms) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * terms) AS q
+  FROM grp g JOIN kept k ON g.lang = k.lang LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, SUM(abs(a.p - b.p)) AS value
+  FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source WHERE a.terms = 0
+), item AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM cell WHERE n > 0 AND p > q
+), placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS place FROM item
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank
+FROM placed WHERE part = 'pair' OR place <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_url_associations": URL_ASSOCIATIONS, "op5_weak_supervision": weak_supervision_sql(), "op6_line_dedup": LINE_DEDUP, "op11_bitmap_manifest": manifest_sql(), "op13_consed_trees": DIVERGENCE}
