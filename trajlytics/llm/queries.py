@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlytics.llm import decontaminate, divergence, licenses, line_dedup, manifest, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
+from trajlytics.llm import decontaminate, divergence, licenses, line_dedup, manifest, packing, passage_quality, pseudonyms, quality, secrets, sharding, simhash, url_rules
 from trajlytics.llm.common import staged_path, table
 from trajlytics.llm.sql import ORACLES
 
@@ -74,6 +74,10 @@ def op11_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_consed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ def callables() -> dict[str, Query]:
         "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
         "op10_simhash_pivots": op10_simhash_pivots,
         "op11_bitmap_manifest": op11_bitmap_manifest,
+        "op12_attention_mil": op12_attention_mil,
         "op13_consed_trees": op13_consed_trees,
     }
 
