@@ -67,10 +67,12 @@ def encoded(parts: list[tuple[int, bytes]], powers: np.ndarray) -> tuple[np.ndar
     heads = np.flatnonzero(np.diff(at, prepend=-1))  # first word of each passage that has words
     length = (ends - starts).astype(float)
     n_bytes = np.maximum(np.bincount(at, length, total), 1)
+    lasts = np.append(heads[1:], len(words)) - 1
+    bounds = np.stack([starts[heads], ends[lasts]], axis=1).ravel()  # blanks between passages belong to none
     for k, members in enumerate(CLASSES):
         table = np.zeros(256, np.int64)
         table[list(members)] = 1
-        out[at[heads], k] = np.add.reduceat(table[raw], starts[heads])
+        out[at[heads], k] = np.add.reduceat(np.append(table[raw], 0), bounds)[::2]
     out[:, [0, 1, 4]] /= n_bytes[:, None]
     out[:, [2, 3, 5]] /= n[:, None]
     order = np.lexsort((words, at))
