@@ -25,7 +25,7 @@ SEGMENT = 1024
 #: Groups of a language that meet in one task: pairs of blocks of so many.
 BLOCK = 64
 #: Distinct (group, term) counts that a task holds before it passes them on.
-HELD = 200_000
+HELD = 400_000
 COUNTS = "lang string, source string, term string, n long, docs long"
 SHARES = "lang string, source string, item string, value long"
 
@@ -35,27 +35,26 @@ def term_counts(docs: DataFrame) -> DataFrame:
     group, also of those without terms. Null text, lang and source count as ''. Tasks add up what they read before the shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: set[tuple[str, str]] = set()
-        times: Counter = Counter()
-        within: Counter = Counter()
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def passed_on() -> pa.RecordBatch:
-            keys = [*times, *((*g, None) for g in groups)]
-            data = [[k[0] for k in keys], [k[1] for k in keys], [k[2] and k[2].decode() for k in keys], [times[k] for k in keys], [within[k] for k in keys]]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (times, within) in groups.items():
+                n = len(times)
+                terms = pa.array([*times, None], pa.binary()).cast(pa.string())
+                numbers = [pa.array([*times.values(), 0], pa.int64()), pa.array([*map(within.__getitem__, times), 0], pa.int64())]
+                names = [pa.repeat(pa.scalar(name, pa.string()), n + 1) for name in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, terms, *numbers], ["lang", "source", "term", "n", "docs"])
+            groups.clear()
 
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                groups.add((lang, source))
-                for term, n in Counter(text.as_py().translate(LETTERS).split()).items():
-                    times[lang, source, term] += n
-                    within[lang, source, term] += 1
-                if len(times) > HELD:
-                    yield passed_on()
-                    groups, times, within = set(), Counter(), Counter()
-        if groups:
-            yield passed_on()
+            for k, (lang, source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                times, within = groups.setdefault((lang, source), (Counter(), Counter()))
+                terms = text.as_py().translate(LETTERS).split()
+                times.update(terms)
+                within.update(set(terms))
+                if k % 32 == 0 and sum(len(t) for t, _ in groups.values()) > HELD:
+                    yield from passed_on()
+        yield from passed_on()
 
     read = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
     return read.mapInArrow(rows, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -139,10 +138,10 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Terms of a language in at least min_docs of its documents: their count, segment and number in it (frequent first)."""
     named = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     named = staged(named.select("lang", "term", "lang_n"), "terms")
-    sizes = named.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).alias("parts"))
+    sizes = staged(named.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).alias("parts")), "sizes")  # so small that its terms stay where they are
     dealt = named.join(sizes, "lang").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")))
     inside = Window.partitionBy("lang", "part")
-    numbered = dealt.withColumns({"tid": F.row_number().over(inside.orderBy(F.desc("lang_n"), "term")) - 1, "width": F.count(F.lit(1)).over(inside)})
+    numbered = dealt.repartition("lang", "part").withColumns({"tid": F.row_number().over(inside.orderBy(F.desc("lang_n"), "term")) - 1, "width": F.count(F.lit(1)).over(inside)})
     return staged(numbered.drop("parts"), "kept")
 
 
