@@ -1,5 +1,8 @@
-"""Substring dedup: lines or paragraphs are normalised and hashed, equal digests are grouped over the whole corpus,
-the earliest ranked occurrence stays and every other one is removed; spans keep their original offsets."""
+"""Substring dedup: lines, paragraphs or passages are normalised and hashed, equal digests are grouped over the whole corpus,
+the earliest ranked occurrence stays and every other one is removed; spans keep their original offsets.
+
+A passage is the shortest run of whole lines and sentences, from each one on, that has the given number of words. So a repeat
+is found however its lines are broken and whatever stands around it, and common headings alone are no repeat."""
 
 from __future__ import annotations
 
@@ -8,12 +11,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlytics.llm.common import id_and_text, staged
 
 UNITS = "doc_id long, unit_no int, start_pos long, end_pos long, n_words int, digest binary"
+#: A sentence ends at a line break, or after '.', '!' or '?' before a blank; these pieces tile the text.
+SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[ \t]+|\n|\Z)")
+BLANKS = " \t\n\x0b\x0c\r"
 PARAGRAPH_GAP = re.compile(r"\n[\x20\t\x0b\x0c\r]*\n\s*")
 
 
@@ -33,11 +39,45 @@ def split_units(text: str, unit: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
+def normal_words(text: str) -> list[bytes]:
+    """Words with A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def passages(text: str, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(number, start, end, words) of the passage from each sentence on; a text with fewer words is one passage."""
+    found = []
+    for m in SENTENCE.finditer(text):
+        tokens = normal_words(m.group())
+        if tokens:
+            body = m.group()
+            found.append((m.end() - len(body.lstrip(BLANKS)), m.start() + len(body.rstrip(BLANKS)), tokens))
+    total, last = 0, -1
+    for k, (start, _, tokens) in enumerate(found):
+        while total < min_words and last + 1 < len(found):
+            last += 1
+            total += len(found[last][2])
+        if total < min_words and k:
+            return
+        yield k, start, found[last][1], [w for f in found[k : last + 1] for w in f[2]]
+        total -= len(tokens)
+
+
+def units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    if unit == "passage":
+        yield from passages(text, min_words)
+        return
+    for k, (start, end) in enumerate(split_units(text, unit)):
+        tokens = normal_words(text[start:end])
+        if len(tokens) >= min_words:
+            yield k, start, end, tokens
+
+
 def text_units(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit of at least min_words words: place in the text and digest of the normalised unit
     (A-Z lower-cased, runs of ASCII blanks as one space). Null and empty texts have no units."""
-    if unit not in ("line", "paragraph"):
-        raise ValueError("unit is 'line' or 'paragraph'")
+    if unit not in ("line", "paragraph", "passage"):
+        raise ValueError("unit is 'line', 'paragraph' or 'passage'")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in UNITS.split(", ")]
@@ -48,10 +88,7 @@ def text_units(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col:
                 text = text.as_py()
                 if not text:
                     continue
-                for k, (start, end) in enumerate(split_units(text, unit)):
-                    tokens = text[start:end].encode("utf-8", "surrogatepass").lower().split()
-                    if len(tokens) < min_words:
-                        continue
+                for k, start, end, tokens in units_of(text, unit, min_words):
                     digest = hashlib.md5(b" ".join(tokens), usedforsecurity=False).digest()
                     for column, value in zip(out, (doc_id, k, start, end, len(tokens), digest), strict=True):
                         column.append(value)
@@ -91,21 +128,25 @@ def repeated_units(
 
 
 def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed units (and the line break after each) cut from their texts; other columns as they were."""
-    cuts = removed.groupBy(F.col("doc_id").alias("__cut_id")).agg(
-        F.array_sort(F.collect_set(F.struct("start_pos", "end_pos"))).alias("__cuts")
-    )
+    """docs with the removed units (and the line break after each) cut from their texts; other columns as they were.
+
+    Units may overlap. A null id meets null ids, a null text stays null, a document without removed units stays as it is."""
+    spans = removed.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.array_sort(F.collect_set(F.struct("start_pos", "end_pos"))).alias("__cuts"))
+    columns = docs.columns
+    inside = docs.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)], docs[id_col].cast("long").alias("__id"))
+    joined = inside.join(spans, F.col("__id").eqNullSafe(F.col("__cut_id")), "left")
+    text = F.col(f"__c{columns.index(text_col)}")
+
+    def add(seen: Column, span: Column) -> Column:
+        """What is kept so far, and the place from which text is still to be kept."""
+        start, end, at = span["start_pos"].cast("int"), span["end_pos"].cast("int"), seen["at"]
+        broken = F.when(F.substr(text, end + 1, F.lit(1)) == "\n", end + 1).otherwise(end)
+        return F.struct(
+            F.when(start > at, F.concat(seen["kept"], F.substr(text, at + 1, start - at))).otherwise(seen["kept"]).alias("kept"),
+            F.greatest(at, broken).alias("at"),
+        )
 
-    @F.udf("string")
-    def cut(text: str | None, spans: list | None) -> str | None:
-        if text is None or not spans:
-            return text
-        parts, at = [], 0
-        for start, end in spans:
-            parts.append(text[at:start])
-            at = max(at, min(end + 1, len(text)))
-        parts.append(text[at:])
-        return "".join(parts)
-
-    joined = docs.join(cuts, docs[id_col].cast("long").eqNullSafe(F.col("__cut_id")), "left")
-    return joined.select(*[cut(docs[c], F.col("__cuts")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    cut = F.aggregate("__cuts", start, add, lambda seen: F.concat(seen["kept"], F.substr(text, seen["at"] + 1, F.length(text))))
+    clean = F.when(F.col("__cuts").isNull(), text).otherwise(cut)
+    return joined.select(*[(clean if c == text_col else F.col(f"__c{k}")).alias(c) for k, c in enumerate(columns)])

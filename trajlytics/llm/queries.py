@@ -13,8 +13,8 @@ from trajlytics.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: A unit must have this many words before its repeats are removed: shorter lines are headings and common phrases.
-DEDUP_MIN_WORDS = 20
+#: Words that a repeated run of lines and sentences must have.
+DEDUP_MIN_WORDS = 16
 #: For test data; a cluster names its own key in spark.trajlytics.pii.key.
 PII_KEY = "not a secret: test tables only"
 
@@ -46,7 +46,7 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=DEDUP_MIN_WORDS)
+    found = line_dedup.repeated_units(table(spark, sf_dir, "documents"), "passage", DEDUP_MIN_WORDS)
     return found.select("doc_id", "unit_no", "start_pos", "end_pos", "n_words", F.lower(F.hex("digest")).alias("digest"), "keep_doc_id", "keep_start_pos")
 
 

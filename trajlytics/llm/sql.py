@@ -4,31 +4,34 @@ from __future__ import annotations
 
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
 
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 LINE_DEDUP = rf"""
 WITH cut AS (
-  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
-), lines AS (
-  SELECT doc_id, UNNEST(parts) AS line, UNNEST(range(len(parts))) AS unit_no FROM cut
+  SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:[.!?]+[ \t]+|\n|$)') AS parts FROM documents WHERE text <> ''
+), piece AS (
+  SELECT doc_id, UNNEST(parts) AS body, UNNEST(range(len(parts))) AS k FROM cut
 ), placed AS (
-  SELECT doc_id, unit_no, line,
-         SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no) - length(line) - 1 AS start_pos
-  FROM lines
-), normal AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                '{BLANK_CLASS}', ' ', 'g')) AS body
-  FROM placed
-), units AS (
-  SELECT *, len(string_split(body, ' ')) AS n_words, md5(body) AS digest FROM normal WHERE body <> ''
-), big AS (
-  SELECT * FROM units WHERE n_words >= 20
+  SELECT *, SUM(length(body)) OVER (PARTITION BY doc_id ORDER BY k) - length(body) AS offs FROM piece
+), sentence AS (
+  SELECT doc_id, offs + length(body) - length(ltrim(body, {BLANKS})) AS start_pos, offs + length(rtrim(body, {BLANKS})) AS end_pos,
+         ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit_no,
+         trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANK_CLASS}', ' ', 'g')) AS said
+  FROM placed WHERE trim(body, {BLANKS}) <> ''
+), counted AS MATERIALIZED (
+  SELECT *, SUM(len(string_split(said, ' '))) OVER (PARTITION BY doc_id ORDER BY unit_no) AS upto,
+         SUM(len(string_split(said, ' '))) OVER (PARTITION BY doc_id) AS total, len(string_split(said, ' ')) AS n FROM sentence
+), run AS (
+  SELECT a.doc_id, a.unit_no, a.start_pos, MAX(b.end_pos) AS end_pos, SUM(b.n) AS n_words, md5(string_agg(b.said, ' ' ORDER BY b.unit_no)) AS digest
+  FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.unit_no >= a.unit_no AND b.upto - b.n - (a.upto - a.n) < 16
+  WHERE a.total - (a.upto - a.n) >= 16 OR a.unit_no = 0
+  GROUP BY a.doc_id, a.unit_no, a.start_pos
 ), ranked AS (
-  SELECT *, ROW_NUMBER() OVER w AS place, FIRST_VALUE(doc_id) OVER w AS keep_doc_id,
-         FIRST_VALUE(start_pos) OVER w AS keep_start_pos
-  FROM big WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start_pos)
+  SELECT *, ROW_NUMBER() OVER w AS place, FIRST_VALUE(doc_id) OVER w AS keep_doc_id, FIRST_VALUE(start_pos) OVER w AS keep_start_pos
+  FROM run WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start_pos)
 )
-SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start_pos AS BIGINT) AS start_pos,
-       CAST(start_pos + length(line) AS BIGINT) AS end_pos, CAST(n_words AS INTEGER) AS n_words, digest,
-       keep_doc_id, CAST(keep_start_pos AS BIGINT) AS keep_start_pos
+SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos,
+       CAST(n_words AS INTEGER) AS n_words, digest, keep_doc_id, CAST(keep_start_pos AS BIGINT) AS keep_start_pos
 FROM ranked WHERE place > 1
 """
 
