@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from trajlytics.llm import decontaminate, licenses, line_dedup, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
+from trajlytics.llm import decontaminate, licenses, line_dedup, near_copies, packing, pseudonyms, quality, secrets, sharding, simhash, url_rules
 from trajlytics.llm.common import staged_path
 
 
@@ -34,14 +34,14 @@ def test_one_row_per_document(odd_docs, no_docs):
 
 
 def test_filters_keep_columns_and_define_null_rows(odd_docs, no_docs, bench):
-    kept = simhash.keep_one(odd_docs)
+    kept = near_copies.keep_one(odd_docs)
     assert kept.schema == odd_docs.schema
     # copies of text 1, the texts without words and the repeated row leave one document each
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 6, 7, 7, 8, None]
     assert decontaminate.clean_documents(odd_docs, bench).count() == odd_docs.count()
     assert secrets.redact(odd_docs).exceptAll(odd_docs).count() == 0
     assert quality.keep_good(odd_docs).schema == odd_docs.schema
-    for stage in (simhash.keep_one, quality.keep_good, secrets.redact, lambda d: decontaminate.clean_documents(d, bench)):
+    for stage in (near_copies.keep_one, quality.keep_good, secrets.redact, lambda d: decontaminate.clean_documents(d, bench)):
         assert stage(no_docs).count() == 0
 
 

@@ -54,7 +54,7 @@ def test_large_classes_are_verified_in_chunks(spark):
     rows = [(k, changed(prose(k % 3, 120), rng.randrange(4), rng)) for k in range(90)]
     texts = spark.createDataFrame([(1, i, t.encode()) for i, t in rows], "root long, node long, text binary").repartition(4)
     for chunk in (512, 11):
-        named = {r["node"]: r["root"] for r in near_copies.components(near_copies.verified_links(texts, chunk=chunk)).collect()}
+        named = {r["node"]: r["root"] for r in near_copies.components(near_copies.verified_links(near_copies.shingle_sets(texts), chunk=chunk)).collect()}
         assert sorted({named.get(i, i) for i, _ in rows}) == kept_ids(rows)
 
 
@@ -66,3 +66,17 @@ def test_bands_hold_the_similar_pairs():
         a, b = (near_copies.band_keys(np.concatenate([common, x]), factors) for x in own)
         met += (a == b).any()
     assert met >= 396
+
+
+def test_odd_rows_stay_once(odd_docs, no_docs):
+    kept = near_copies.keep_one(odd_docs)
+    assert kept.schema == odd_docs.schema and near_copies.keep_one(no_docs).count() == 0
+    rows = kept.collect()
+    # the copy of text 1, its repeated row and the texts without words leave one document each; the null id with a text stays
+    assert sorted((r["doc_id"] for r in rows), key=str) == [1, 3, 6, 7, 7, 8, None]
+    assert sum(r["doc_id"] is None and r["text"] is not None for r in rows) == 1
+
+
+def test_rows_are_shuffled_once_for_join_and_repeats(odd_docs):
+    plan = near_copies.keep_one(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(__key") <= 1

@@ -95,13 +95,19 @@ def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def verified_links(texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) of texts (root, node, text) of one candidate class whose components are those of all similar pairs."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """root, node and the distinct five-word shingles of each text (root, node, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.frombuffer(shingle_digests(t.as_py().lower().split(), SHINGLE), np.int64)) for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "t0", "t1", "shingles"])
+            sets = [np.unique(np.frombuffer(shingle_digests(t.as_py().lower().split(), SHINGLE), np.int64)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "shingles"])
+
+    return texts.select("root", "node", "text").mapInArrow(hashed, "root long, node long, shingles array<long>")
+
+
+def verified_links(sets: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) of texts (root, node, shingles) of one candidate class whose components are those of all similar pairs."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -121,22 +127,20 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, chunk: int
         if len(held) > 1:
             yield linked(held)
 
-    tiles = in_tiles(texts, ["root"], "node", chunk).select("root", "node", "t0", "t1", "text")
-    sets = tiles.mapInArrow(hashed, "root long, node long, t0 int, t1 int, shingles array<long>")
     place = ["root", "t0", "t1"]
-    dealt = sets.repartition(*place).sortWithinPartitions(*place).select(*place, "node", "shingles")
+    dealt = in_tiles(sets, ["root"], "node", chunk).repartition(*place).sortWithinPartitions(*place).select(*place, "node", "shingles")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component of near copies: the smallest doc_id (null last, ties by text hash, repeated
-    rows once). Copies but for letter case and blanks are near copies of any length, and so are texts without words."""
+    rows once). Copies but for letter case and blanks are near copies of any length, and so are texts without words, null or
+    empty. An empty table gives no rows; columns come back as they were, whatever their names."""
     columns = docs.columns
     inside = docs.select(
         *[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)],
-        F.xxhash64(docs[text_col]).alias("__hash"),
-        docs[id_col].cast("long").alias("__id"),
-    )
+        F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash")).alias("__key"),
+    )  # one key, equal to itself where the id is null: the join and the repeats after it use one shuffle of the rows
     text = F.col(f"__c{columns.index(text_col)}")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
     nodes = sketches(docs, id_col, text_col).groupBy("node").agg(F.min(rank).alias("lead"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -144,13 +148,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = nodes.select("fp", "node", F.posexplode("bands").alias("mask", "key")).withColumn("mask", F.col("mask").cast("short"))
     rooted = components(links_in_keys(keyed, MAX_BITS))
     classes = rooted.union(rooted.select("root", "root").distinct())  # a root is a member too
-    members = nodes.join(classes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
-    members = staged(members.select("root", "node", "lead.doc_id", "lead.text_hash"), "members")
-    mine = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash"))
-    texts = staged(inside.select("__id", "__hash", text.cast("binary").alias("text")).join(members, mine).select("root", "node", "text"), "texts")
-    named = components(verified_links(texts)).withColumnRenamed("node", "__node")
-    first = nodes.select("node", "lead").join(named, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("first"))
-    first = staged(first.select(F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__keep_hash")), "first")
-    kept = inside.join(first, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
-    once = kept.dropDuplicates(["__id", "__hash"])
-    return once.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
+    lead = F.struct("lead.doc_id", "lead.text_hash").alias("__lead")
+    members = staged(nodes.join(classes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("root", "node", lead), "members")
+    texts = inside.select("__key", text.cast("binary").alias("text")).join(members, F.col("__key") == F.col("__lead"))
+    named = components(verified_links(staged(shingle_sets(texts), "sets"))).withColumnRenamed("node", "__node")
+    first = nodes.select("node", "lead").join(named, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
+    kept = inside.join(staged(first.select(lead), "first"), F.col("__key") == F.col("__lead"), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])

@@ -190,23 +190,42 @@ def links_in_keys(keyed: DataFrame, max_bits: int, chunk: int = CHUNK) -> DataFr
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
+#: A node is a hub if it has over HUB links and over one in HUB_SHARE of all links, so there are at most 2 * HUB_SHARE hubs.
+HUB, HUB_SHARE = 1024, 100_000
+
+
+def beside_least(pairs: DataFrame, least: DataFrame, n_pairs: int, hub: int = HUB) -> DataFrame:
+    """pairs (a, b) with the row of least (n, m, n_links) of their a. The pairs of a hub are dealt over as many places as it
+    has times the bound, and its one row of least is copied to each."""
+    bound = max(hub, n_pairs // HUB_SHARE)
+    hubs = staged(least.where(F.col("n_links") > bound).select(F.col("n").alias("hub"), F.ceil(F.col("n_links") / bound).cast("int").alias("places")), "hubs")
+    if hubs.isEmpty():
+        return pairs.join(least, F.col("a") == F.col("n"))
+    known = F.broadcast(hubs)
+    dealt = pairs.join(known, F.col("a") == F.col("hub"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("places")), F.lit(0)).cast("int").alias("place"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("places"), F.lit(1)) - 1))
+    spread = least.join(known, F.col("n") == F.col("hub"), "left").select("n", "m", copies.alias("at"))
+    return dealt.join(spread, (F.col("a") == F.col("n")) & (F.col("place") == F.col("at")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node and the smallest node of its connected component, by alternating large-star and small-star rounds, each written
     to the shared folder. Rounds stop when nothing changes; their number grows with the logarithm of the nodes."""
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, n_edges = None, edges.count()
+    link_count = F.count(F.lit(1)).alias("n_links")
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"), link_count)
+        large = beside_least(both, least, 2 * n_edges).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("n")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        after = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if after == before:
+        n_edges, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n_edges, mark) == before:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        before = after
+        before = (n_edges, mark)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -234,20 +253,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS,
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the smallest doc_id (null last, ties by text hash, repeated rows once)."""
-    prints = staged(fingerprints(docs, shingle, id_col, text_col), "prints")
-    named = classes(prints, max_bits).select(F.col("fp").alias("node"), "root")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
-    first = prints.join(named, F.col("fp") == F.col("node")).groupBy("root").agg(F.min(rank).alias("first"))
-    first = staged(first.select(F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__keep_hash")), "first")
-    columns = docs.columns
-    inside = docs.select(
-        *[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)],
-        F.xxhash64(docs[text_col]).alias("__hash"),
-        docs[id_col].cast("long").alias("__id"),
-    )
-    kept = inside.join(first, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
-    once = kept.dropDuplicates(["__id", "__hash"])
-    return once.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
