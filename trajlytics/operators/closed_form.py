@@ -193,11 +193,15 @@ def empirical_bayes_ridge(prefix: DataFrame, base: Column, *, bounds: tuple[floa
 
 
 def target_scale(prefix: DataFrame, ridge: DataFrame, base: Column, *, bounds: tuple[float, float] = (0.0, 4.0)) -> DataFrame:
-    """Posterior scale of each target under a unit prior mean with the pooled ridge."""
-    per = prefix.filter(F.col(_T) > 0).withColumn("_base", base).groupBy("condition_id").agg(
-        F.sum(F.col("_base") * F.col(_Y)).alias("_by"), F.sum(F.col("_base") * F.col("_base")).alias("_bb"), F.count(F.lit(1)).alias("n_positive"))
-    return attach_one_row(per.filter("n_positive >= 2"), ridge.select("ridge")).select(
-        "condition_id", "n_positive", clip((F.col("_by") + F.col("ridge")) / (F.col("_bb") + F.col("ridge")), *bounds).alias("scale"))
+    """Posterior scale of each target under a unit prior mean with the pooled ridge. A target with fewer than two positive
+    times keeps its row with a null scale and the status that says so."""
+    pos = F.col(_T) > 0
+    per = prefix.withColumn("_base", base).groupBy("condition_id").agg(
+        F.sum(F.when(pos, F.col("_base") * F.col(_Y))).alias("_by"), F.sum(F.when(pos, F.col("_base") * F.col("_base"))).alias("_bb"), F.count(F.when(pos, 1)).alias("n_positive"))
+    enough = F.col("n_positive") >= 2
+    scale = clip((F.col("_by") + F.col("ridge")) / (F.col("_bb") + F.col("ridge")), *bounds)
+    return attach_one_row(per, ridge.select("ridge")).select(
+        "condition_id", "n_positive", F.when(enough, scale).alias("scale"), F.when(enough, "ok").otherwise("too_few_positive_times").alias("status"))
 
 
 def activation_gate(prefix: DataFrame, keys: Sequence[str], *, minimum_points: int = 7, margin_pp: float | Column = 0.0) -> DataFrame:

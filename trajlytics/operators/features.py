@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import div, finite_or_null, is_finite, ols
 from trajlytics.plans.joins import checked_join
-from trajlytics.plans.scan import integrated, order_statistics, previous, running, value_bucket
+from trajlytics.plans.scan import integrated, null_safe_join, order_statistics, previous, running, value_bucket
 
 
 def early_cycle_features(cycles: DataFrame, labels: DataFrame, *, observation_cycle: int = 100, minimum_cycles: int = 20) -> DataFrame:
@@ -184,13 +184,24 @@ def voltage_at_charge(integrated: DataFrame, keys: Sequence[str], bucket: str |
     return agg.select(*keys, *cols).withColumn("mean_dv_dq", slope)
 
 
+def _normalization(cycles: DataFrame, keys: list[str], initial: int) -> DataFrame:
+    first = F.col("cycle_index").between(1, initial)
+    return cycles.groupBy(*keys).agg(
+        F.median(F.when(first, F.col("discharge_capacity_ah"))).alias("normalization_ah"), F.count(F.when(first, 1)).alias("n_initial"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def with_retention(cycles: DataFrame, keys: Sequence[str] = ("cell_id",), *, initial: int = 5) -> DataFrame:
-    """Retention in percent of the median capacity of cycles 1..5; cells without all five drop out."""
+    """Retention in percent of the median capacity of cycles 1..5. A null cell is a cell; cells without all five cycles or
+    with a median that is not positive have no retention and are listed by `retention_issues`."""
     keys = list(keys)
-    base = cycles.filter(F.col("cycle_index").between(1, initial)).groupBy(*keys).agg(
-        F.median("discharge_capacity_ah").alias("normalization_ah"), F.count(F.lit(1)).alias("_n"),
-    ).filter((F.col("_n") == initial) & (F.col("normalization_ah") > 0)).drop("_n")
-    return cycles.join(base, keys).withColumn("retention", 100.0 * F.col("discharge_capacity_ah") / F.col("normalization_ah"))
+    base = _normalization(cycles, keys, initial).filter((F.col("n_initial") == initial) & (F.col("normalization_ah") > 0)).select(*keys, "normalization_ah")
+    return null_safe_join(cycles, base, keys).withColumn("retention", 100.0 * F.col("discharge_capacity_ah") / F.col("normalization_ah"))
+
+
+def retention_issues(cycles: DataFrame, keys: Sequence[str] = ("cell_id",), *, initial: int = 5) -> DataFrame:
+    """Cells that `with_retention` leaves out: their rows, initial cycles and the reason."""
+    issue = F.when(F.col("n_initial") != initial, "initial_cycles_incomplete").when(~(F.col("normalization_ah") > 0) | F.col("normalization_ah").isNull(), "normalization_not_positive")
+    return _normalization(cycles, list(keys), initial).select(*keys, "n_rows", "n_initial", issue.alias("issue")).filter("issue is not null")
 
 
 def eol_labels(cycles: DataFrame, *, nominal_ah: float, fraction: float, keys: Sequence[str] = ("dataset_id", "cell_id")) -> DataFrame:

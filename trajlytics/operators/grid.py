@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import clip, div
 from trajlytics.operators.closed_form import nnls2
+from trajlytics.plans.scan import null_safe_join
 
 _T, _Y = "elapsed_days", "capacity_loss_pct"
 EXPONENTS = [round(0.05 * i, 2) for i in range(1, 31)]
@@ -37,7 +38,7 @@ def power_law(df: DataFrame, keys: Sequence[str], *, exponents: Sequence[float]
     if refine:
         step = (exponents[1] - exponents[0]) / refine
         offsets = F.array(*[F.lit(i * step) for i in range(-refine, refine + 1)])
-        near = pos.join(best.select(*keys, F.col("_b").alias("_c")), keys)
+        near = null_safe_join(pos, best.select(*keys, F.col("_b").alias("_c")), keys)
         best = _power_pass(near, keys, F.explode(F.filter(F.transform(offsets, lambda o: F.round(F.col("_c") + o, 6)), lambda v: (v >= exponents[0]) & (v <= exponents[-1]))))
     return best.select(*keys, F.ln("_a").alias("log_amplitude"), F.col("_b").alias("exponent"), F.col("_sse").alias("sse"), F.col("_n").alias("n_points"))
 

@@ -7,17 +7,19 @@ them in an equality join on (group, index), which spreads a large group over all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import attach_one_row, div, hash_draw, hash_text
+from trajlytics.functions.columns import attach_one_row, div, hash_draw, hash_text, is_finite
 from trajlytics.operators.intervals import beta_cdf
 from trajlytics.operators.selective import cut_bucket, cut_points
-from trajlytics.plans.scan import grouped_rank, hash_bucket, running
+from trajlytics.plans.scan import grouped_rank, hash_bucket, null_safe_join, running
 from trajlytics.session import cut_lineage
 
 
@@ -43,26 +45,71 @@ def draws(units: DataFrame, group: Sequence[str], replicates: int, seed: str) ->
     return picked.groupBy(*group, "replicate", "_i").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bootstrap_sums(units: DataFrame, group: Sequence[str], unit: str, sums: Sequence[str], *, replicates: int, seed: str) -> DataFrame:
-    """Per (group, replicate): weighted sums of the unit columns and the number of drawn units."""
-    group = list(group)
-    idx = indexed_units(units, group, unit)
-    joined = draws(idx, group, replicates, seed).join(idx.select(*group, "_i", *sums), [*group, "_i"])
+#: Groups of up to so many units travel as one array per block of replicates; larger ones by joins of unit and draw.
+PACKED_UNITS = 32_768
+#: Blocks of replicates that a packed group is copied to.
+REPLICATE_BLOCKS = 8
+
+
+def _packed_sums(idx: DataFrame, group: list[str], sums: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """Sums of every replicate from the units of a group in one array: units move once, then one row a block of replicates."""
+    unit = F.struct("_i", *sums)
+    packed = idx.groupBy(*group, "_n").agg(F.sort_array(F.collect_list(unit)).alias("_units"))
+    n_blocks = min(REPLICATE_BLOCKS, replicates)
+    tag = [F.col(g).cast("string") for g in group]
+    dealt = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(*group, "_block")
+    spread = dealt.withColumn("replicate", F.explode(F.filter(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: r % n_blocks == F.col("_block"))))
+    slots = F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint") - 1)
+    at = lambda slot: F.get("_units", hash_draw(F.col("_n"), seed, F.col("replicate").cast("string"), slot.cast("string"), *tag).cast("int"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in sums])
+
+    def add(total: Column, slot: Column) -> Column:
+        return F.get(F.transform(F.array(at(slot)), lambda u: F.struct(*[(total[c] + u[c].cast("double")).alias(c) for c in sums])), F.lit(0))
+
+    summed = spread.withColumn("_sum", F.aggregate(slots, zero, add))
+    return summed.select(*group, "replicate", F.col("_n").cast("bigint").alias("n_drawn"), *[F.col("_sum")[c].alias(c) for c in sums])
+
+
+def _joined_sums(idx: DataFrame, group: list[str], sums: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    joined = null_safe_join(draws(idx, group, replicates, seed), idx.select(*group, "_i", *sums), [*group, "_i"])
     return joined.groupBy(*group, "replicate").agg(
-        F.sum("times").alias("n_drawn"), *[F.sum(F.col("times") * F.col(s)).alias(s) for s in sums])
+        F.sum("times").alias("n_drawn"), *[F.sum(F.col("times") * F.col(s).cast("double")).alias(s) for s in sums])
 
 
-def paired_bootstrap(paired: DataFrame, group: Sequence[str], unit: str, deltas: Sequence[str], *, replicates: int, seed: str, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean of each delta per group."""
-    paired = cut_lineage(paired.select(*group, unit, *deltas))  # read several times below
-    reps = cut_lineage(bootstrap_sums(paired, group, unit, deltas, replicates=replicates, seed=seed))
-    out = paired.groupBy(*group).agg(F.count(F.lit(1)).alias("n_units"), *[F.avg(d).alias(f"mean_{d}") for d in deltas])
+def bootstrap_sums(
+    units: DataFrame, group: Sequence[str], unit: str, sums: Sequence[str], *, replicates: int, seed: str, packed_units: int = PACKED_UNITS
+) -> DataFrame:
+    """Per (group, replicate): weighted sums of the unit columns and the number of drawn units. Null groups are one group.
+
+    Both ways draw the same units, so ``packed_units`` changes the plan of a group and never its values.
+    """
+    group = list(group)
+    idx = cut_lineage(indexed_units(units, group, unit).select(*group, "_i", "_n", *sums))
+    small = _packed_sums(idx.where(F.col("_n") <= packed_units), group, sums, replicates, seed)
+    return small.unionByName(_joined_sums(idx.where(F.col("_n") > packed_units), group, sums, replicates, seed))
+
+
+def paired_bootstrap(
+    paired: DataFrame, group: Sequence[str], unit: str, deltas: Sequence[str], *, replicates: int, seed: str, level: float = 0.95, packed_units: int = PACKED_UNITS
+) -> DataFrame:
+    """Percentile interval of the mean of each delta per group, null groups included.
+
+    A delta that is null, NaN or infinite is left out of its means and counted in ``n_not_finite_<delta>``; a replicate that
+    draws no usable unit has no mean and is left out of the percentiles.
+    """
+    group = list(group)
+    values = [c for d in deltas for c in (F.when(is_finite(d), F.col(d).cast("double")).otherwise(0.0).alias(d), is_finite(d).cast("double").alias(f"_ok_{d}"))]
+    paired = cut_lineage(paired.select(*group, unit, *values))  # read several times below
+    reps = cut_lineage(bootstrap_sums(paired, group, unit, [c for d in deltas for c in (d, f"_ok_{d}")], replicates=replicates, seed=seed, packed_units=packed_units))
+    ok = {d: F.col(f"_ok_{d}") for d in deltas}
+    out = paired.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_units"), *[div(F.sum(d), F.sum(ok[d])).alias(f"mean_{d}") for d in deltas],
+        *[F.sum(1 - ok[d]).cast("bigint").alias(f"n_not_finite_{d}") for d in deltas])
     a = (1 - level) / 2
-    for d in deltas:
-        # percentile over the declared number of replicates: a bounded group
-        q = reps.groupBy(*group).agg(F.percentile(F.col(d) / F.col("n_drawn"), [a, 1 - a]).alias("_q"))
-        out = out.join(q.select(*group, F.col("_q")[0].alias(f"lower_{d}"), F.col("_q")[1].alias(f"upper_{d}")), list(group))
-    return out
+    # percentiles over the declared number of replicates: a bounded group
+    q = reps.groupBy(*group).agg(*[F.percentile(div(d, ok[d]), [a, 1 - a]).alias(f"_q_{d}") for d in deltas])
+    bounds = q.select(*group, *[c for d in deltas for c in (F.get(f"_q_{d}", F.lit(0)).alias(f"lower_{d}"), F.get(f"_q_{d}", F.lit(1)).alias(f"upper_{d}"))])
+    return null_safe_join(out, bounds, group, "left")
 
 
 def group_bootstrap_metrics(df: DataFrame, group: str, truth: str, predicted: str, *, replicates: int, seed: str, level: float = 0.95) -> DataFrame:
@@ -90,7 +137,7 @@ def stratified_rerank_bootstrap(
     """
     cols = list(dict.fromkeys([tie, catastrophic, eligible, *arms.values()]))
     idx = indexed_units(pool.select(family, unit, *[c for c in cols if c not in (family, unit)]), [family], unit)
-    drawn = draws(idx, [family], replicates, seed).join(idx.select(family, "_i", *cols), [family, "_i"]).filter(F.col(eligible))
+    drawn = null_safe_join(draws(idx, [family], replicates, seed), idx.select(family, "_i", *cols), [family, "_i"]).filter(F.col(eligible))
     base = drawn.groupBy("replicate").agg(F.sum("times").alias("n_eligible"), (F.sum(F.col("times") * F.col(catastrophic).cast("double")) / F.sum("times")).alias("random_rate")).withColumn(
         "_k", F.floor(F.col("n_eligible") * F.lit(issue_fraction)))
     out = base
@@ -147,34 +194,59 @@ def sign_diagnostics(deltas: DataFrame, by: Sequence[str], delta: str, *, tolera
     return c.withColumns({"superiority_p": upper, "two_sided_p": F.least(F.lit(1.0), 2.0 * F.least(upper, lower))})
 
 
+#: Half of the units of a sign-flip test may have so many sign patterns: 2 ** 20 sums of eight bytes.
+MAX_HALF = 20
+
+
+def _extreme_patterns(deltas: pd.Series) -> pd.Series:
+    """Sign patterns of each list of deltas whose sum is at least as far from zero as the observed one.
+
+    Both halves are summed under all their patterns; for every sum of one half, those of the other half that reach the
+    observed distance are counted in its sorted sums."""
+    found = []
+    for values in deltas:
+        d = np.asarray(values, float)
+        halves = []
+        for part in (d[: len(d) // 2], d[len(d) // 2 :]):
+            sums = np.zeros(1)
+            for v in part:
+                sums = np.concatenate([sums + v, sums - v])
+            halves.append(np.sort(sums))
+        edge = abs(d.sum()) * (1 - 1e-12) - 1e-14 * np.abs(d).sum()
+        above = len(halves[1]) - np.searchsorted(halves[1], edge - halves[0], side="left")
+        below = np.searchsorted(halves[1], -edge - halves[0], side="right")
+        both = np.minimum(above + below, len(halves[1]))  # an edge of zero or less counts a pattern on either side
+        found.append(int(both.sum()))
+    return pd.Series(found, dtype="int64")
+
+
 def exact_sign_flip(deltas: DataFrame, by: Sequence[str], delta: str, *, cap: int = 20, tolerance: float = 1e-12) -> DataFrame:
-    """Exhaustive sign-flip test of the mean for groups of at most ``cap`` nonzero units.
+    """Exact sign-flip test of the mean for groups of at most ``cap`` nonzero units; a null group is a group.
 
-    Groups above the cap get a status instead of a value. Up to the cap the deltas fit one array, and
-    the 2**n sign patterns are generated per group and judged by a bit test.
+    The units of a group are one short array (at most twice MAX_HALF), and its 2**n patterns are never written out: they meet
+    in the middle, as sums of two halves. Larger groups get a status instead of a value. Deltas that are null, NaN or infinite
+    are left out and counted.
     """
-    nz = deltas.filter(F.abs(delta) > tolerance)
-    size = deltas.groupBy(*by).agg(F.count(F.when(F.abs(F.col(delta)) > tolerance, 1)).alias("n_nonzero"))
-    small = nz.join(size.filter(F.col("n_nonzero") <= cap).select(*by), list(by), "left_semi")
-    packed = small.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(delta))).alias("_d"))
-    patterns = packed.withColumn("_mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.size("_d")) - 1).cast("int"))))
-    total = F.aggregate("_d", F.lit(0.0), lambda s, v: s + v)
-    flipped = F.aggregate(
-        F.transform("_d", lambda v, i: F.when(F.floor(F.col("_mask") / F.pow(F.lit(2.0), i)) % 2 == 1, -v).otherwise(v)), F.lit(0.0), lambda s, v: s + v)
-    judged = patterns.withColumns({"_f": F.abs(flipped), "_o": F.abs(total)})
-    extreme = F.col("_f") >= F.col("_o") * (1 - 1e-12)
-    p = judged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_patterns"), F.avg(extreme.cast("double")).alias("_p"))
-    joined = size.join(p, list(by), "left")
-    return joined.select(*by, "n_nonzero", F.coalesce("n_patterns", F.when(F.col("n_nonzero") == 0, 1)).alias("n_patterns"),
-                         F.when(F.col("n_nonzero") == 0, F.lit(1.0)).otherwise(F.col("_p")).alias("two_sided_p"),
+    if cap > 2 * MAX_HALF:
+        raise ValueError(f"cap is at most {2 * MAX_HALF}")
+    used = is_finite(delta) & (F.abs(F.col(delta)) > tolerance)
+    size = deltas.groupBy(*by).agg(F.count(F.when(used, 1)).alias("n_nonzero"), F.count(F.when(~is_finite(delta), 1)).alias("n_not_finite"))
+    small = null_safe_join(deltas.filter(used), size.filter(F.col("n_nonzero") <= cap).select(*by), list(by), "left_semi")
+    packed = small.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(delta).cast("double"))).alias("_d"))
+    patterns = F.pow(F.lit(2.0), F.size("_d")).cast("bigint")
+    extreme = F.pandas_udf(_extreme_patterns, "bigint")("_d")
+    judged = packed.select(*by, patterns.alias("n_patterns"), extreme.alias("_extreme"))
+    joined = null_safe_join(size, judged, list(by), "left")
+    return joined.select(*by, "n_nonzero", "n_not_finite", F.coalesce("n_patterns", F.when(F.col("n_nonzero") == 0, 1)).alias("n_patterns"),
+                         F.when(F.col("n_nonzero") == 0, F.lit(1.0)).otherwise(F.col("_extreme") / F.col("n_patterns")).alias("two_sided_p"),
                          F.when(F.col("n_nonzero") > cap, "above_exact_cap").otherwise("exact").alias("status"))
 
 
 def leave_one_out(units: DataFrame, by: Sequence[str], unit: str, delta: str, *, tolerance: float = 1e-12) -> DataFrame:
-    """Mean without each unit in closed form, and whether the direction flips."""
+    """Mean without each unit in closed form, and whether the direction flips. Null groups are one group."""
     total = units.groupBy(*by).agg(F.sum(delta).alias("_s"), F.count(F.lit(1)).alias("_n"))
     direction = lambda m: F.when(m < -tolerance, -1).when(m > tolerance, 1).otherwise(0)
-    joined = units.join(total, list(by)).withColumn("full_mean", F.col("_s") / F.col("_n")).withColumn("loo_mean", div(F.col("_s") - F.col(delta), F.col("_n") - 1))
+    joined = null_safe_join(units, total, list(by)).withColumn("full_mean", F.col("_s") / F.col("_n")).withColumn("loo_mean", div(F.col("_s") - F.col(delta), F.col("_n") - 1))
     return joined.select(*by, unit, "full_mean", "loo_mean", (F.col("loo_mean") - F.col("full_mean")).alias("change"),
                          direction(F.col("loo_mean")).alias("direction"), (direction(F.col("loo_mean")) != direction(F.col("full_mean"))).alias("flipped"))
 
@@ -185,26 +257,69 @@ def margin_sensitivity(units: DataFrame, by: Sequence[str], delta: str, margins:
     return rows.groupBy(*by, "margin").agg(F.count(F.when(d < -edge, 1)).alias("n_better"), F.count(F.when(d > edge, 1)).alias("n_worse"), F.count(F.when(F.abs(d) <= edge, 1)).alias("n_equivalent"))
 
 
-MAX_PARTITION_UNITS = 16
+#: Subsets that are written out; a pool with more is refused before any score is gathered.
+MAX_PARTITIONS = 2_000_000
 
 
-def partition_sensitivity(scores: DataFrame, *, unit: str, route: str, score: str, choose: int, coverage: float) -> DataFrame:
-    """All C(n, k) calibration subsets of a small unit pool: the conformal multiplier of each subset and route.
+def unranked(number: Column, n: int, choose: int) -> Column:
+    """Places (ascending, from zero) of the number-th subset of `choose` of n places, in the order of their bit masks.
 
-    Subsets are bit masks of n <= 16 units; within a mask and route at most k scores are ranked. A larger pool is refused
-    before any score is gathered.
-    """
-    if scores.limit(MAX_PARTITION_UNITS + 1).count() > MAX_PARTITION_UNITS:
-        raise ValueError(f"too many units for exhaustive partitions: more than {MAX_PARTITION_UNITS}")
-    packed = scores.agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(route).alias("r"), F.col(score).alias("s")))).alias("_u")).withColumn("_n", F.size("_u"))
-    masks = packed.withColumn("mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.col("_n")) - 1).cast("int")))).filter(F.bit_count("mask") == choose)
-    chosen = masks.withColumn("_c", F.filter("_u", lambda x, i: F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1))
+    Walking down from the last place, a place belongs to the subset when the subsets without it are used up."""
+    pascal = F.lit([[math.comb(p, k) for k in range(choose + 1)] for p in range(n)])
+    start = F.struct(number.cast("bigint").alias("left"), F.lit(choose).alias("k"), F.array().cast("array<int>").alias("places"))
+
+    def step(state: Column, place: Column) -> Column:
+        without = F.get(F.get(pascal, place), state["k"]).cast("bigint")
+        taken = (state["k"] > 0) & (without <= state["left"])
+        return F.when(taken, F.struct((state["left"] - without).alias("left"), (state["k"] - 1).alias("k"), F.concat(F.array(place), state["places"]).alias("places"))).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), start, step, lambda state: state["places"])
+
+
+def _unit_row(scores: DataFrame, unit: str, route: str, score: str) -> DataFrame:
+    return scores.agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(route).alias("r"), F.col(score).alias("s")))).alias("_u"))
+
+
+def _multipliers(chosen: DataFrame, keys: Sequence[str], coverage: float) -> DataFrame:
+    """Conformal multiplier of each route from the chosen units `_c`; all routes of `_u` are reported."""
     routes = F.array_distinct(F.transform("_u", lambda x: x["r"]))
-    per = chosen.select("mask", F.explode(routes).alias("route"), "_c").withColumn(
-        "_s", F.array_sort(F.transform(F.filter("_c", lambda x: x["r"] == F.col("route")), lambda x: x["s"])))
+    per = chosen.select(*keys, "_u", F.explode(routes).alias("route"), "_c").withColumn(
+        "_s", F.array_sort(F.transform(F.filter("_c", lambda x: x["r"].eqNullSafe(F.col("route"))), lambda x: x["s"])))
     n = F.size("_s")
     rank = F.ceil((n + 1) * F.lit(coverage)).cast("int")
-    return per.select("mask", "route", n.alias("n_calibration"), rank.alias("rank"), F.when((n > 0) & (rank <= n), F.try_element_at("_s", rank)).alias("multiplier"))
+    return per.select(*keys, "_u", "route", n.alias("n_calibration"), rank.alias("rank"), F.when((n > 0) & (rank <= n), F.try_element_at("_s", rank)).alias("multiplier"))
+
+
+def partition_sensitivity(scores: DataFrame, *, unit: str, route: str, score: str, choose: int, coverage: float, max_partitions: int = MAX_PARTITIONS) -> DataFrame:
+    """All C(n, k) calibration subsets of a unit pool: the conformal multiplier of each subset and route.
+
+    The subsets are the numbers 0 to C(n, k) - 1, unranked where they are used, so only their count is bounded
+    (``max_partitions``), not n. ``mask`` has the bit of every chosen unit, in the order of units, where n is at most 62.
+    """
+    n = scores.count()
+    total = math.comb(n, choose)
+    if total > max_partitions:
+        raise ValueError(f"too many partitions: {total} of {n} units, more than {max_partitions}")
+    numbers = scores.sparkSession.range(total).withColumnRenamed("id", "number")
+    chosen = attach_one_row(numbers, _unit_row(scores, unit, route, score)).withColumn("_p", unranked(F.col("number"), n, choose))
+    bits = F.aggregate("_p", F.lit(0).cast("bigint"), lambda m, p: m + F.pow(F.lit(2.0), p).cast("bigint"))
+    mask = bits if n <= 62 else F.lit(None).cast("bigint")
+    chosen = chosen.select("number", mask.alias("mask"), "_u", F.transform("_p", lambda p: F.get("_u", p)).alias("_c"))
+    return _multipliers(chosen, ["number", "mask"], coverage).drop("_u")
+
+
+def leave_one_calibration_out(scores: DataFrame, *, unit: str, route: str, score: str, coverage: float) -> DataFrame:
+    """Every calibration unit left out once: the multiplier of each route from the others, how far it moved from that of all
+    units, and whether it covers the unit that was left out (null for the other routes or without a multiplier)."""
+    n = scores.count()
+    row = _unit_row(scores, unit, route, score)
+    whole = _multipliers(row.select("_u", F.col("_u").alias("_c")), [], coverage).select(F.col("route").alias("_route"), F.col("multiplier").alias("_all"))
+    each = attach_one_row(scores.sparkSession.range(n).withColumnRenamed("id", "number"), row).withColumn("_out", F.get("_u", F.col("number").cast("int")))
+    others = each.withColumn("_c", F.filter("_u", lambda x, i: i != F.col("number").cast("int"))).withColumns({"removed": F.col("_out.u"), "_r": F.col("_out.r"), "_s0": F.col("_out.s")})
+    moved = _multipliers(others, ["removed", "_r", "_s0"], coverage).drop("_u")
+    joined = moved.join(F.broadcast(whole), F.col("route").eqNullSafe(F.col("_route")))  # one row a route
+    own = F.col("route").eqNullSafe(F.col("_r")) & F.col("multiplier").isNotNull()
+    return joined.select("removed", "route", "n_calibration", "rank", "multiplier", (F.col("multiplier") - F.col("_all")).alias("change"), F.when(own, F.col("_s0") <= F.col("multiplier")).alias("covers_removed"))
 
 
 def partition_summary(parts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import attach_one_row, hash_text
 from trajlytics.plans.joins import asof_join, join_report
-from trajlytics.plans.scan import grouped_rank, hash_bucket, running
+from trajlytics.plans.scan import grouped_rank, hash_bucket, null_safe_join, running
 from trajlytics.session import cut_lineage
 
 
@@ -40,7 +40,7 @@ def stable_group_split(
         .otherwise("train")
     )
     assigned = ranked_groups(df, groups, seed).select(*groups, split.alias("split"))
-    return df.join(assigned, list(groups))
+    return null_safe_join(df, assigned, groups)
 
 
 def explicit_holdout_split(df: DataFrame, column: str, test: Sequence, validation: Sequence = ()) -> DataFrame:
@@ -67,7 +67,7 @@ def summarize_split(df: DataFrame, groups: Sequence[str], split: str = "split")
 def stable_group_folds(df: DataFrame, group: str, *, n_splits: int = 5, seed: int = 42) -> DataFrame:
     folds = ranked_groups(df, [group], seed).select(
         group, F.pmod(F.col("_rank") - 1, F.lit(n_splits)).alias("fold"))
-    return df.join(folds, group)
+    return null_safe_join(df, folds, [group])
 
 
 def condition_profile(obs: DataFrame) -> DataFrame:
@@ -215,7 +215,8 @@ def file_pairs(files: DataFrame, path: str, pattern: str, kinds: Sequence[str])
 def support_classes(profile: DataFrame) -> DataFrame:
     """Leave-one-condition-out support of every condition against all the others' stress range.
 
-    Range without the own condition comes from the two extreme levels and their counts.
+    Range without the own condition comes from the two extreme levels and their counts. An unknown stress is in no range and
+    at no seen level; its condition stays.
     """
     out = profile
     for c, short in [("temperature_c", "t"), ("storage_soc_fraction", "s")]:
@@ -226,8 +227,8 @@ def support_classes(profile: DataFrame) -> DataFrame:
             F.min(F.when(F.col(c) > F.col("_a"), F.col(c))).alias(f"_{short}lo2"),
             F.max(F.when(F.col(c) < F.col("_b"), F.col(c))).alias(f"_{short}hi2"),
         )
-        out = attach_one_row(out.join(levels, c), wide)
-        seen = F.col(f"_n{short}") > 1
+        out = attach_one_row(null_safe_join(out, levels, [c]), wide)
+        seen = (F.col(f"_n{short}") > 1) & F.col(c).isNotNull()
         lo = F.when((F.col(c) > F.col(f"_{short}lo")) | seen, F.col(f"_{short}lo")).otherwise(F.col(f"_{short}lo2"))
         hi = F.when((F.col(c) < F.col(f"_{short}hi")) | seen, F.col(f"_{short}hi")).otherwise(F.col(f"_{short}hi2"))
         name = "temperature" if short == "t" else "soc"

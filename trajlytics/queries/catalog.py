@@ -4,7 +4,7 @@ import importlib
 
 from trajlytics.queries.registry import REGISTRY, callables, checks
 
-MODULES = ["contracts", "splits", "sources", "features", "closed_form", "scoring", "intervals", "selective", "resampling", "audit", "library", "hierarchical", "neighbors", "lifetime", "invariants", "controls"]
+MODULES = ["contracts", "splits", "sources", "features", "closed_form", "scoring", "intervals", "selective", "resampling", "audit", "library", "hierarchical", "neighbors", "lifetime", "invariants", "controls", "nulls"]
 
 for _name in MODULES:
     importlib.import_module(f"trajlytics.queries.{_name}")

@@ -148,7 +148,7 @@ def e13_condition_agnostic_k(spark, sf_dir):
     return K.condition_agnostic_k(A.calendar_obs(spark, sf_dir).withColumn("elapsed_hours", F.col("elapsed_days") * 24))
 
 
-_EB = """per AS (SELECT condition_id, COUNT(*) AS n, SUM(base * y) AS byy, SUM(base * base) AS bb, SUM(y * y) AS yy FROM
+EB_SQL = """per AS (SELECT condition_id, COUNT(*) AS n, SUM(base * y) AS byy, SUM(base * base) AS bb, SUM(y * y) AS yy FROM
       (SELECT condition_id, 4e-1 * SQRT(elapsed_days) AS base, capacity_loss_pct AS y FROM calendar_obs WHERE checkup_index < 10 AND elapsed_days > 0) GROUP BY 1),
     sc AS (SELECT *, GREATEST(byy / bb, 0) AS s FROM per WHERE bb > 0),
     ag AS (SELECT COUNT(*) AS n_conditions, GREATEST(SUM(yy - 2 * s * byy + s * s * bb) / SUM(n), 1e-8) AS rv, VAR_SAMP(s) AS vs, AVG(1 / bb) AS inv FROM sc),
@@ -156,20 +156,20 @@ _EB = """per AS (SELECT condition_id, COUNT(*) AS n, SUM(base * y) AS byy, SUM(b
       LEAST(GREATEST(rv / GREATEST(vs - rv * inv, 1e-6), 0.01), 100) AS ridge FROM ag)"""
 
 
-def _eb_base():
+def eb_base():
     return 0.4 * F.sqrt("elapsed_days")
 
 
-@register("e14_empirical_bayes_ridge", "n_conditions:i residual_variance:d between_condition_variance:d raw_ridge:d ridge:d", with_ctes("cal", "SELECT * FROM eb", _EB))
+@register("e14_empirical_bayes_ridge", "n_conditions:i residual_variance:d between_condition_variance:d raw_ridge:d ridge:d", with_ctes("cal", "SELECT * FROM eb", EB_SQL))
 def e14_empirical_bayes_ridge(spark, sf_dir):
-    return K.empirical_bayes_ridge(A.calendar_obs(spark, sf_dir).filter("checkup_index < 10"), _eb_base())
+    return K.empirical_bayes_ridge(A.calendar_obs(spark, sf_dir).filter("checkup_index < 10"), eb_base())
 
 
 @register("e15_target_scale", "condition_id:i n_positive:i scale:d", with_ctes("cal", """SELECT condition_id, n AS n_positive, LEAST(GREATEST((byy + ridge) / (bb + ridge), 0), 4) AS scale
-    FROM per, eb WHERE n >= 2""", _EB))
+    FROM per, eb WHERE n >= 2""", EB_SQL))
 def e15_target_scale(spark, sf_dir):
     pre = A.calendar_obs(spark, sf_dir).filter("checkup_index < 10")
-    return K.target_scale(pre, K.empirical_bayes_ridge(pre, _eb_base()), _eb_base())
+    return K.target_scale(pre, K.empirical_bayes_ridge(pre, eb_base()), eb_base())
 
 
 @register("e18_activation_gate", "condition_id:i n_positive:i minimum_loss_pct:d negative_evidence:b gate_ready:b", with_ctes("cal", """

@@ -17,12 +17,12 @@ from trajlytics.sources.adapters import with_ctes
 EXPS = str(Y.EXPONENTS)
 _PW = """{n} AS (SELECT condition_id, MIN({{'s': yy - 2 * a * fy + a * a * ff, 'b': b, 'a': a, 'n': n}}) AS m FROM (SELECT *, GREATEST(fy / ff, EXP(-12e0)) AS a FROM (
       SELECT condition_id, b, COUNT(*) AS n, SUM(POWER(d, b) * y) AS fy, SUM(POWER(d, b) * POWER(d, b)) AS ff, SUM(y * y) AS yy FROM {src} GROUP BY 1, 2)) GROUP BY 1)"""
-_POWER = ["pos AS (SELECT condition_id, elapsed_days AS d, capacity_loss_pct AS y FROM calendar_obs WHERE elapsed_days > 0)",
+POWER_SQL = ["pos AS (SELECT condition_id, elapsed_days AS d, capacity_loss_pct AS y FROM calendar_obs WHERE elapsed_days > 0)",
           _PW.format(n="p1", src=f"(SELECT *, UNNEST({EXPS}::DOUBLE[]) AS b FROM pos)"),
           _PW.format(n="p2", src="(SELECT * FROM (SELECT pos.*, ROUND(m.b + UNNEST(range(-10, 11)) * ((0.1e0 - 0.05e0) / 10), 6) AS b FROM pos JOIN p1 USING (condition_id)) WHERE b >= 0.05e0 AND b <= 1.5e0)")]
 
 
-@register("e8_power_law", "condition_id:i log_amplitude:d5 exponent:d sse:d4 n_points:i", with_ctes("cal", "SELECT condition_id, LN(m.a) AS log_amplitude, m.b AS exponent, m.s AS sse, m.n AS n_points FROM p2", *_POWER))
+@register("e8_power_law", "condition_id:i log_amplitude:d5 exponent:d sse:d4 n_points:i", with_ctes("cal", "SELECT condition_id, LN(m.a) AS log_amplitude, m.b AS exponent, m.s AS sse, m.n AS n_points FROM p2", *POWER_SQL))
 def e8_power_law(spark, sf_dir):
     return Y.power_law(A.calendar_obs(spark, sf_dir), ["condition_id"])
 
@@ -39,7 +39,7 @@ def act_sql(src: str, taus: str, cap: int = 10) -> list[str]:
 
 
 @register("e10_activation_power_law", "condition_id:i timescale:d log_amplitude:d5 exponent:d offset_pp:d5 sse:d4 n_points:i", with_ctes("cal", """
-    SELECT condition_id, tau AS timescale, LN(GREATEST(m.a, EXP(-12e0))) AS log_amplitude, m.b AS exponent, m.o AS offset_pp, m.s AS sse, m.n AS n_points FROM af""", _POWER[0], *act_sql("pos", "[3.0, 7.0]")))
+    SELECT condition_id, tau AS timescale, LN(GREATEST(m.a, EXP(-12e0))) AS log_amplitude, m.b AS exponent, m.o AS offset_pp, m.s AS sse, m.n AS n_points FROM af""", POWER_SQL[0], *act_sql("pos", "[3.0, 7.0]")))
 def e10_activation_power_law(spark, sf_dir):
     return Y.activation_power_law(A.calendar_obs(spark, sf_dir), ["condition_id"], timescales=[3.0, 7.0])
 

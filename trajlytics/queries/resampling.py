@@ -138,6 +138,40 @@ def t9_partition_sensitivity(spark, sf_dir):
     return _partitions(spark, sf_dir)
 
 
+_T9_PAIRS = """mn AS (SELECT l_suppkey % 18 AS u, CASE WHEN l_suppkey % 3 = 0 THEN 'a' ELSE 'b' END AS r, AVG(l_discount + l_suppkey / 1e4) AS s FROM lineitem GROUP BY 1, 2),
+    sc AS (SELECT u, MIN(r) AS r, AVG(s) AS s FROM mn GROUP BY 1)"""
+
+
+def _many_units(spark, sf_dir):
+    """Eighteen units: more than a mask per subset can hold in bounded time, few enough pairs of them."""
+    u = F.col("l_suppkey") % 18
+    r = F.when(F.col("l_suppkey") % 3 == 0, "a").otherwise("b")
+    per = table(spark, sf_dir, "lineitem").groupBy(u.alias("u"), r.alias("r")).agg(F.avg(F.col("l_discount") + F.col("l_suppkey") / 1e4).alias("s"))
+    return per.groupBy("u").agg(F.min("r").alias("r"), F.avg("s").alias("s"))
+
+
+@register("t9_many_units", "a:i b:i route n_calibration:i multiplier:d", f"""WITH {_T9_PAIRS},
+    p AS (SELECT a.u AS a, b.u AS b FROM sc a JOIN sc b ON a.u < b.u),
+    c AS (SELECT a, b, r, s FROM p JOIN sc ON u <> a AND u <> b),
+    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b, r ORDER BY s) AS k, COUNT(*) OVER (PARTITION BY a, b, r) AS n FROM c)
+    SELECT a, b, r AS route, MAX(n) AS n_calibration, MAX(CASE WHEN k = CEIL((n + 1) * 0.6e0) THEN s END) AS multiplier FROM k GROUP BY a, b, r""")
+def t9_many_units(spark, sf_dir):
+    """Calibration on 16 of 18 units; a and b are the two left out."""
+    parts = R.partition_sensitivity(_many_units(spark, sf_dir), unit="u", route="r", score="s", choose=16, coverage=0.6)
+    out = F.filter(F.sequence(F.lit(0), F.lit(17)), lambda k: F.floor(F.col("mask") / F.pow(F.lit(2.0), k)) % 2 == 0)
+    return parts.withColumn("_o", out).select(F.get("_o", F.lit(0)).alias("a"), F.get("_o", F.lit(1)).alias("b"), "route", "n_calibration", "multiplier")
+
+
+@register("t9_leave_one_calibration_out", "removed:i route n_calibration:i rank:i multiplier:d change:d covers_removed:b", f"""WITH {_T9_PAIRS},
+    f AS (SELECT r, MAX(CASE WHEN k = CEIL((n + 1) * 0.6e0) THEN s END) AS w FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY s) AS k, COUNT(*) OVER (PARTITION BY r) AS n FROM sc) GROUP BY 1),
+    c AS (SELECT x.u AS removed, x.r AS r0, x.s AS s0, y.r, y.s FROM sc x JOIN sc y ON x.u <> y.u),
+    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY removed, r ORDER BY s) AS k, COUNT(*) OVER (PARTITION BY removed, r) AS n FROM c),
+    m AS (SELECT removed, r0, s0, r, MAX(n) AS n, MAX(CASE WHEN k = CEIL((n + 1) * 0.6e0) THEN s END) AS m FROM k GROUP BY 1, 2, 3, 4)
+    SELECT removed, r AS route, n AS n_calibration, CEIL((n + 1) * 0.6e0) AS rank, m AS multiplier, m - w AS change, CASE WHEN r = r0 THEN s0 <= m END AS covers_removed FROM m JOIN f USING (r)""")
+def t9_leave_one_calibration_out(spark, sf_dir):
+    return R.leave_one_calibration_out(_many_units(spark, sf_dir), unit="u", route="r", score="s", coverage=0.6)
+
+
 @register("t9_partition_summary", "route n_partitions:i n_finite:i min_calibration:i max_calibration:i multiplier_min:d multiplier_q25:d multiplier_median:d multiplier_q75:d multiplier_max:d", with_ctes("cal", """
     SELECT route, COUNT(*) AS n_partitions, COUNT(multiplier) AS n_finite, MIN(n_calibration) AS min_calibration, MAX(n_calibration) AS max_calibration, MIN(multiplier) AS multiplier_min, QUANTILE_CONT(multiplier, 0.25) AS multiplier_q25,
       MEDIAN(multiplier) AS multiplier_median, QUANTILE_CONT(multiplier, 0.75) AS multiplier_q75, MAX(multiplier) AS multiplier_max FROM pt GROUP BY 1""", P.pred_sql(), _T9))

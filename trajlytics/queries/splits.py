@@ -226,10 +226,10 @@ def c15_join_report(spark, sf_dir):
 
 
 # Stress profile with uneven levels: one (nation, size) condition per supplier.
-_STRESS = "stress AS (SELECT s_suppkey AS condition_id, FLOOR(s_acctbal / 1e2) AS temperature_c, s_nationkey / 2.4e1 AS storage_soc_fraction FROM supplier)"
+STRESS_SQL = "stress AS (SELECT s_suppkey AS condition_id, FLOOR(s_acctbal / 1e2) AS temperature_c, s_nationkey / 2.4e1 AS storage_soc_fraction FROM supplier)"
 
 
-def _stress(spark, sf_dir):
+def stress(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("condition_id"), F.expr("CAST(FLOOR(s_acctbal / 1e2) AS DOUBLE)").alias("temperature_c"),
         F.expr("s_nationkey / 2.4e1").alias("storage_soc_fraction"))
@@ -242,20 +242,20 @@ def _stress(spark, sf_dir):
     FROM (SELECT a.condition_id, a.temperature_c BETWEEN MIN(b.temperature_c) AND MAX(b.temperature_c) AS ti,
         a.storage_soc_fraction BETWEEN MIN(b.storage_soc_fraction) AND MAX(b.storage_soc_fraction) AS si,
         bool_or(a.temperature_c = b.temperature_c) AS tl, bool_or(a.storage_soc_fraction = b.storage_soc_fraction) AS sl
-      FROM stress a JOIN stress b ON a.condition_id <> b.condition_id GROUP BY a.condition_id, a.temperature_c, a.storage_soc_fraction)""", _STRESS))
+      FROM stress a JOIN stress b ON a.condition_id <> b.condition_id GROUP BY a.condition_id, a.temperature_c, a.storage_soc_fraction)""", STRESS_SQL))
 def c16_support_classes(spark, sf_dir):
-    return S.support_classes(_stress(spark, sf_dir))
+    return S.support_classes(stress(spark, sf_dir))
 
 
 @register("c17_convex_hull", "condition_id:i in_hull:b", with_ctes("", """
     SELECT condition_id, NOT EXISTS (SELECT 1 FROM edges e WHERE (e.bx - e.ax) * (q.y - e.ay) - (e.by_ - e.ay) * (q.x - e.ax) < -1e-10) AS in_hull FROM q""",
-    _STRESS,
+    STRESS_SQL,
     "pts AS (SELECT DISTINCT temperature_c AS x, storage_soc_fraction AS y FROM stress WHERE condition_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 6000))",
     """edges AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM pts a JOIN pts b ON a.x <> b.x OR a.y <> b.y
         WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12))""",
     "q AS (SELECT condition_id, temperature_c AS x, storage_soc_fraction AS y FROM stress)"))
 def c17_convex_hull(spark, sf_dir):
-    stress = _stress(spark, sf_dir)
+    stress = stress(spark, sf_dir)
     low = table(spark, sf_dir, "supplier").filter("s_acctbal < 6000").select(F.col("s_suppkey").alias("condition_id"))
     return S.in_convex_hull(stress, stress.join(low, "condition_id", "left_semi"), "temperature_c", "storage_soc_fraction")
 
