@@ -15,7 +15,6 @@ from trajlytics.operators.resampling import assignment_support, exact_sign_flip,
 from trajlytics.operators.scoring import validate_predictions
 from trajlytics.operators.splits import in_convex_hull, nested_reference_partition
 from trajlytics.plans.joins import asof_join, checked_join, join_report
-from trajlytics.plans.knn import knn_join
 from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, index_bucket, integrated, order_statistics, previous, running
 
 
@@ -103,20 +102,6 @@ def test_checked_join_rejects_repeated_and_missing_keys(spark):
     assert {r["issue"] for r in join_report(left, right.filter("k = 1"), ["k"]).collect()} == {"duplicate_left", "missing_right"}
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 10_000), (8, 50)])
-def test_knn_matches_brute_force(spark, pivots, block):
-    rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0, 0.05, (220, 4)), rng.normal(3, 1, (180, 4))])  # one crowded cell
-    w = np.exp(rng.normal(0, 0.2, x.shape))
-    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vec": x.tolist(), "w": w.tolist()}))
-    got = knn_join(df.selectExpr("id AS query_id", "vec", "w"), df.selectExpr("id AS ref_id", "vec"), 5, pivots=pivots, block=block).toPandas()
-    assert len(got) == 5 * len(x)
-    for qid, g in got.groupby("query_id"):
-        d = np.sqrt(np.mean((w[qid] * (x - x[qid])) ** 2, axis=1))
-        d[qid] = np.inf
-        assert list(g.sort_values("rank").ref_id) == list(np.lexsort((np.arange(len(d)), d))[:5])
-
-
 def test_hull_membership(spark):
     pts = spark.createDataFrame([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (2.0, 2.0), (2.0, 0.0)], "x double, y double")
     q = spark.createDataFrame([(1, 2.0, 0.0), (2, 4.0, 4.0), (3, 4.1, 1.0), (4, -0.1, 0.0), (5, 1.0, 3.0)], "id int, x double, y double")

@@ -118,14 +118,16 @@ def inverse_power_weights(risks: DataFrame, keys: Sequence[str], *, risk: str =
 def jackknife_neighbours(targets: DataFrame, refs: DataFrame, entity: str, features: Sequence[str], floors: Sequence[float], k: int, scales: Sequence[float]) -> DataFrame:
     """Neighbours under all features and under every leave-one-feature-out set (variant 0 = all).
 
-    The variants are the short feature registry; each is its own exact neighbour join.
+    A variant is a set of query weights: zero for the feature left out, and the others raised so that the mean stays one over
+    the features kept. All variants ride in one neighbour join.
     """
-    out = None
-    for v in range(len(features) + 1):
-        keep = [i for i in range(len(features)) if i != v - 1]
-        part = nearest_robust(targets, refs, entity, [features[i] for i in keep], [floors[i] for i in keep], k, [scales[i] for i in keep]).withColumn("variant", F.lit(v))
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = len(features)
+    rest = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+    weights = [[1.0] * n] + [[0.0 if i == v else rest for i in range(n)] for v in range(n)]
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(w).alias("w")) for v, w in enumerate(weights)])
+    asked = targets.select(F.col(entity).alias("query_id"), scaled_vector(targets, features, scales).alias("vec"), F.explode(variants).alias("_v"))
+    queries = asked.select("query_id", "vec", F.col("_v.variant").alias("variant"), F.col("_v.w").alias("w"))
+    return knn_join(queries, refs.select(F.col(entity).alias("ref_id"), scaled_vector(refs, features, scales).alias("vec")), k, by=["variant"])
 
 
 def evidence_mixture(

@@ -1,113 +1,186 @@
 """Exact k-nearest-neighbour join on short feature vectors.
 
-References are split into cells around a few pivots. A query's distance to the pivots and the cell
-radii bound its k-th neighbour distance from above and every cell's distance from below, so a query
-visits only cells that can hold a neighbour. Large cells are split by hash into blocks of at most
-``block`` references (and their queries into chunks), so neither a crowded cell nor a popular one ends
-up in one task. A block emits k rows per query; no pair table is ever written.
+References are dealt into the leaves of a tree of median cuts, built from a bounded sample; each leaf keeps the exact box of its
+references. The distance from a query to a box bounds from below what the leaf can hold, also under weights of the query's own,
+so a query visits leaves nearest first: one, then a few more, then only those that can still beat its k-th distance so far.
+Leaves of more than ``block`` references are split by hash, and so are the queries of a popular leaf. A block emits k rows per
+query; no pair table is ever written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlytics.session import cut_lineage
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in col])
+#: Bound of the tree that travels to all tasks, and of the sample it is cut from.
+MAX_LEAVES, SAMPLE_PER_LEAF = 8192, 32
+#: Leaves visited before the k-th distance decides: in the first round, in the second.
+FIRST_VISITS = (1, 4)
+#: Numbers that a slice of a distance table may have.
+SLICE = 1 << 21
 
 
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    sq = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None, :]
-    return np.sqrt(np.maximum(sq, 0.0) / x.shape[1])
-
+def _stack(col: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in col])
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, pivots: int = 32, block: int = 2048, margin: float = 1e-7) -> DataFrame:
-    """(query_id, ref_id, distance, rank): root-mean-square distance, ties by reference id, self excluded.
 
-    queries: query_id, vec [, w]; refs: ref_id, vec. ``w`` holds per-query feature weights, so that
-    distance^2 = mean((w (q - r))^2); without it all weights are one.
+class MedianTree:
+    """A complete binary tree of cuts at medians of a sample, each along the widest feature."""
+
+    def __init__(self, sample: np.ndarray, n_leaves: int) -> None:
+        self.depth = max(0, n_leaves - 1).bit_length()
+        size = (1 << self.depth) - 1
+        self.axis, self.cut = np.zeros(size, int), np.zeros(size)
+        parts = {0: np.arange(len(sample))}
+        for node in range(size):
+            rows = parts.pop(node)
+            if len(rows):
+                spread = np.ptp(sample[rows], axis=0)
+                self.axis[node] = spread.argmax()
+                self.cut[node] = np.median(sample[rows, self.axis[node]])
+            left = sample[rows, self.axis[node]] <= self.cut[node]
+            parts[2 * node + 1], parts[2 * node + 2] = rows[left], rows[~left]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), int)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] > self.cut[node])
+        return (node - ((1 << self.depth) - 1)).astype("int32")
+
+
+def box_distances(x: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least distance of each query to each leaf's box; infinite for an empty leaf."""
+    total = np.zeros((len(x), len(low)))
+    for f in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, f] - x[:, f, None], x[:, f, None] - high[None, :, f]), 0.0)
+        total += np.where(np.isfinite(gap), w[:, f, None] * gap, np.inf) ** 2
+    return np.sqrt(total / x.shape[1])
+
+
+def knn_join(
+    queries: DataFrame, refs: DataFrame, k: int, *, by: Sequence[str] = (), block: int = 2048, max_leaves: int = MAX_LEAVES, visits: Sequence[int] = FIRST_VISITS, margin: float = 1e-7
+) -> DataFrame:
+    """(query_id, *by, ref_id, distance, rank): root-mean-square distance, ties by reference id, self excluded.
+
+    queries: query_id, vec [, w] [, by]; refs: ref_id, vec. ``w`` holds per-query feature weights, so that
+    distance^2 = mean((w (q - r))^2); without it all weights are one. ``by`` names further columns of a query's key, so one
+    entity may ask several times (under other weights) in one join.
     """
+    by = list(by)
+    kinds = dict(queries.dtypes)
     id_type = dict(refs.dtypes)["ref_id"]
+    key_schema = ", ".join([f"query_id {id_type}", *[f"{c} {kinds[c]}" for c in by]])
+    keys = ["query_id", *by]
     if "w" not in queries.columns:
         queries = queries.withColumn("w", F.transform("vec", lambda _: F.lit(1.0)))
     n_refs = refs.count()
     if not n_refs:
         raise ValueError("no reference rows")
-    if n_refs <= block:
-        # one block holds every reference: no cells, queries only split into chunks
-        n_chunks = max(1, -(-queries.count() // (4 * block)))
-        home = {"cell": F.lit(0), "part": F.lit(0).cast("bigint")}
-        one = queries.select("query_id", "vec", "w").withColumns({**home, "chunk": F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))})
-        all_refs = refs.select("ref_id", "vec").withColumns({**home, "chunk": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint")))})
-        return _blocks(one, all_refs, k, id_type)
-    n_pivots = max(1, min(pivots, n_refs // block))
-    chosen = refs.orderBy(F.sha2(F.col("ref_id").cast("string"), 256)).limit(n_pivots).select("vec").collect()
-    piv = _stack(pd.Series([r["vec"] for r in chosen]))
+    n_leaves = min(max_leaves, 1 << max(0, -(-n_refs // block) - 1).bit_length())
+    if n_leaves == 1:
+        home = {"leaf": F.lit(0), "seen": F.lit(1), "n_blocks": F.lit(1)}
+        return _best(_blocks(queries.select(*keys, "vec", "w").withColumns(home), refs.select("ref_id", "vec").withColumn("leaf", F.lit(0)), k, keys, key_schema, id_type, block), k, keys).drop("seen")
+    sample = refs.orderBy(F.sha2(F.col("ref_id").cast("string"), 256)).limit(SAMPLE_PER_LEAF * n_leaves).select("vec").collect()
+    tree = MedianTree(_stack(pd.Series([r["vec"] for r in sample])), n_leaves)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                d = _to_pivots(_stack(b["vec"]), piv)
-                c = d.argmin(1)
-                yield pd.DataFrame({"ref_id": b["ref_id"], "vec": b["vec"], "cell": c, "radius": d[np.arange(len(c)), c]})
-
-    placed = refs.select("ref_id", "vec").mapInPandas(assign, f"ref_id {id_type}, vec array<double>, cell int, radius double")
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).collect()}
-    count = np.array([stats.get(i, (0, 0.0))[0] for i in range(len(piv))])
-    radius = np.array([stats.get(i, (0, 0.0))[1] for i in range(len(piv))])
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d = _to_pivots(_stack(b["vec"]), piv)
-            far = d + radius[None, :]
-            order = far.argsort(1)
-            reach = np.take_along_axis(np.broadcast_to(count, far.shape), order, 1).cumsum(1) >= k + 1
-            at = np.where(reach.any(1), reach.argmax(1), far.shape[1] - 1)
-            limit = np.take_along_axis(far, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-            w = _stack(b["w"])
-            hit = (d - radius[None, :]) * w.min(1)[:, None] <= limit[:, None] * w.max(1)[:, None] + margin
-            q, c = np.nonzero(hit & (count > 0)[None, :])
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "vec": b["vec"].to_numpy()[q], "w": b["w"].to_numpy()[q], "cell": c.astype("int32")})
-
-    wide = queries.select("query_id", "vec", "w").mapInPandas(candidates, f"query_id {id_type}, vec array<double>, w array<double>, cell int")
-    asked = {r["cell"]: r["count"] for r in wide.groupBy("cell").count().collect()}
-    blocks = [int(max(1, -(-count[i] // block))) for i in range(len(piv))]
-    chunks = [int(max(1, -(-asked.get(i, 0) // (4 * block)))) for i in range(len(piv))]
-    pick = lambda table: F.element_at(F.array(*[F.lit(v) for v in table]), F.col("cell") + 1)
-    slot = lambda c, table: F.pmod(F.xxhash64(c), pick(table))
-    every = lambda table: F.explode(F.sequence(F.lit(0).cast("bigint"), (pick(table) - 1).cast("bigint")))
-    left = wide.withColumn("chunk", slot("query_id", chunks)).withColumn("part", every(blocks))
-    right = placed.drop("radius").withColumn("part", slot("ref_id", blocks)).withColumn("chunk", every(chunks))
-
-    return _blocks(left, right, k, id_type)
-
-
-def _blocks(left: DataFrame, right: DataFrame, k: int, id_type: str) -> DataFrame:
-    """k best per query inside every (cell, part, chunk), then the k best of those per query."""
+                yield pd.DataFrame({"ref_id": b["ref_id"], "vec": b["vec"], "leaf": tree.leaf(_stack(b["vec"]))})
+
+    placed = cut_lineage(refs.select("ref_id", "vec").mapInPandas(assign, f"ref_id {id_type}, vec array<double>, leaf int"))
+    dims = range(len(sample[0]["vec"]))
+    edges = [f(F.get("vec", F.lit(i))).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in dims]
+    stats = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *edges).collect()  # max_leaves rows at most
+    count = np.zeros(1 << tree.depth, int)
+    low, high = np.full((len(count), len(dims)), np.inf), np.full((len(count), len(dims)), -np.inf)
+    for r in stats:
+        count[r["leaf"]] = r["n"]
+        low[r["leaf"]], high[r["leaf"]] = [r[f"a{i}"] for i in dims], [r[f"b{i}"] for i in dims]
+    step = max(1, SLICE // len(count))
+
+    def visit(n: int | None):
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for a in range(0, len(whole), step):
+                    b = whole.iloc[a : a + step]
+                    near = box_distances(_stack(b["vec"]), _stack(b["w"]), low, high)
+                    order = near.argsort(axis=1, kind="stable")
+                    lower = np.take_along_axis(near, order, 1)
+                    place = np.arange(near.shape[1])[None, :]
+                    seen, bound = b["seen"].to_numpy()[:, None], b["bound"].to_numpy()[:, None]
+                    hit = (place >= seen) & np.isfinite(lower) & (lower <= bound + margin)
+                    if n is not None:
+                        held = np.take_along_axis(np.broadcast_to(count, near.shape), order, 1).cumsum(1)
+                        enough = np.maximum(n, (held < k + 1).sum(1) + 1)[:, None]  # the query may be one of the references
+                        hit &= place < seen + enough
+                    q, at = np.nonzero(hit)
+                    out = {c: b[c].to_numpy()[q] for c in [*keys, "vec", "w"]}
+                    leaf = order[q, at]
+                    yield pd.DataFrame({**out, "leaf": leaf.astype("int32"), "seen": (seen[:, 0] + hit.sum(1))[q].astype("int32"), "n_blocks": (-(-count[leaf] // block)).astype("int32")})
+
+        return rows
+
+    schema = f"{key_schema}, vec array<double>, w array<double>, leaf int, seen int, n_blocks int"
+    asking = queries.select(*keys, "vec", "w").withColumns({"seen": F.lit(0), "bound": F.lit(float("inf"))})
+    best = None
+    for n in (*visits, None):
+        wide = asking.mapInPandas(visit(n), schema)
+        found = _blocks(wide, placed, k, keys, key_schema, id_type, block)
+        best = cut_lineage(_best(found if best is None else found.unionByName(best.drop("rank")), k, keys))
+        if n is None:
+            break
+        # visited leaves are the nearest ones in order, so their number is all that a query remembers
+        reach = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"), F.max("seen").alias("_seen"))
+        bound = F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf")))
+        asking = asking.drop("seen", "bound").join(reach, keys, "left").select(*keys, "vec", "w", F.coalesce("_seen", F.lit(0)).cast("int").alias("seen"), F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+    return best.drop("seen")
+
+
+def _best(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("distance", "ref_id")
+    rows = found.withColumn("seen", F.max("seen").over(Window.partitionBy(*keys))) if "seen" in found.columns else found
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _blocks(left: DataFrame, placed: DataFrame, k: int, keys: list[str], key_schema: str, id_type: str, block: int) -> DataFrame:
+    """k best per query inside every (leaf, part): queries meet each block of the leaves they visit."""
+    chunks = left.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("n_chunks"))  # a row a leaf
+    chunks = F.broadcast(cut_lineage(chunks))
+    sizes = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks")))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = left.join(chunks, "leaf").withColumn("chunk", slot(keys[0], "n_chunks")).withColumn("part", every("n_blocks"))
+    held = placed.join(sizes, "leaf").join(chunks, "leaf").withColumn("part", slot("ref_id", "n_blocks")).withColumn("chunk", every("n_chunks"))
+    schema = f"{key_schema}, ref_id {id_type}, distance double, seen int"
+    names = [*keys, "ref_id", "distance", "seen"]
 
     def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "ref_id": [], "distance": []}
-        if len(qs) and len(rs):
-            R, rid = _stack(rs["vec"]), rs["ref_id"].to_numpy()
-            for qid, q, w in zip(qs["query_id"], qs["vec"], qs["w"]):
-                d = np.sqrt(np.mean((np.asarray(w) * (R - np.asarray(q))) ** 2, axis=1))
-                d[rid == qid] = np.inf
-                cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                near = np.flatnonzero((d <= cut) & np.isfinite(d))
-                near = near[np.lexsort((rid[near], d[near]))][:k]
-                out["query_id"] += [qid] * len(near)
-                out["ref_id"] += list(rid[near])
-                out["distance"] += list(d[near])
-        return pd.DataFrame(out)
-
-    best = left.groupBy("cell", "part", "chunk").cogroup(right.groupBy("cell", "part", "chunk")).applyInPandas(
-        nearest, f"query_id {id_type}, ref_id {id_type}, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if not len(qs) or not len(rs):
+            return pd.DataFrame({n: [] for n in names})
+        rs = rs.sort_values("ref_id", kind="stable")  # equal distances then stand in the order of the ids
+        R, ids = _stack(rs["ref_vec"]), rs["ref_id"].to_numpy()
+        Q, W, own = _stack(qs["vec"]), _stack(qs["w"]), qs["query_id"].to_numpy()
+        step, at, near, dist = max(1, SLICE // R.size), [], [], []
+        for a in range(0, len(Q), step):
+            d = np.sqrt(np.mean((W[a : a + step, None, :] * (R[None] - Q[a : a + step, None, :])) ** 2, axis=2))
+            d[own[a : a + step, None] == ids[None, :]] = np.inf
+            order = d.argsort(axis=1, kind="stable")[:, :k]
+            values = np.take_along_axis(d, order, 1)
+            q, c = np.nonzero(np.isfinite(values))
+            at.append(a + q)
+            near.append(order[q, c])
+            dist.append(values[q, c])
+        at, near = np.concatenate(at), np.concatenate(near)
+        out = {c: qs[c].to_numpy()[at] for c in keys}
+        return pd.DataFrame({**out, "ref_id": ids[near], "distance": np.concatenate(dist), "seen": qs["seen"].to_numpy()[at]})
+
+    place = ["leaf", "part", "chunk"]
+    cogrouped = asked.select(*keys, "vec", "w", "seen", *place).groupBy(*place).cogroup(held.select("ref_id", F.col("vec").alias("ref_vec"), *place).groupBy(*place))
+    return cogrouped.applyInPandas(nearest, schema)
