@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajlytics.operators import hierarchical as B
-from trajlytics.operators.inference import predict_requests
+from trajlytics.functions.columns import is_finite
+from trajlytics.operators.inference import Policy, fit_state, predict_requests
 from trajlytics.queries import packs as P
 from trajlytics.queries.registry import register
 from trajlytics.sources.adapters import with_ctes
@@ -87,15 +88,70 @@ def h4_calibration_scores(spark, sf_dir):
     return B.calibration_scores(B.cross_fitted_residuals(P.observations(spark, sf_dir), landmark=L), first=L, last=40)
 
 
+#: Requests that stand for each way to fail, by condition_id % 12; the others are well formed.
 def requests(obs):
-    """Every condition as a request: its prefix and the coordinates (never the values) of its future."""
+    """Every condition as a request: its prefix and the coordinates (never the values) of its future. Some are malformed, outside
+    the stress domain, off their reference prefix or beyond the horizon; ids are missing or repeated in a few."""
     pre = obs.filter(F.col("checkup_index") < L).groupBy("condition_id", "temperature_c", "storage_soc_fraction").agg(F.sort_array(F.collect_list(F.struct(
         F.col("checkup_index").alias("observation_index"), "elapsed_days", "capacity_retention_pct"))).alias("prefix"))
-    days = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at("prefix", -1)["elapsed_days"] + i * 2.0)
-    return pre.select(F.col("condition_id").alias("request_id"), (F.col("temperature_c") + F.col("condition_id") % 4 - 1.0).alias("temperature_c"), "storage_soc_fraction", "prefix", days.alias("future_days"))
+    kind = F.col("condition_id") % 12
+    last = F.element_at("prefix", -1)["elapsed_days"]
+    days = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: last + i * F.when(kind == 4, 50.0).otherwise(2.0))
+    lowered = F.transform("prefix", lambda r, i: F.struct(r["observation_index"].alias("observation_index"), r["elapsed_days"].alias("elapsed_days"),
+                                                          (r["capacity_retention_pct"] - F.when((kind == 3) & (i == 4), 50.0).otherwise(0.0)).alias("capacity_retention_pct")))
+    made = pre.select(
+        F.when(kind != 8, F.col("condition_id")).alias("request_id"), (F.col("temperature_c") + F.when(kind == 2, F.when(F.col("temperature_c") < 25, 60.0).otherwise(45.0)).otherwise(0.0)).alias("temperature_c"), "storage_soc_fraction",
+        F.when(kind == 0, F.lit(None)).when(kind == 5, F.reverse("prefix")).otherwise(lowered).alias("prefix"),
+        F.when(kind == 1, F.array().cast("array<double>")).when(kind == 7, F.lit(None)).otherwise(days).alias("future_days"))
+    return made.unionByName(made.filter("request_id % 12 = 6"))
 
 
-@register("e34_prefix_inference", "request_id:i mean_route issuance_status reasons interval_width:d3")
-def e34_prefix_inference(spark, sf_dir):
+POLICY = Policy(points=L, coverage=0.8, margin_pp=0.05, cap_pp=50.0, point_margin=20.0, step_margin=20.0)
+
+
+def served(spark, sf_dir):
+    """Two thirds of the conditions train, the others calibrate; every condition asks."""
     obs = P.observations(spark, sf_dir)
-    return predict_requests(requests(obs), obs, points=L, coverage_multiplier=1.5, max_width=3.0)[1]
+    training, calibration = obs.filter("condition_id % 3 <> 0"), obs.filter("condition_id % 3 = 0")
+    state = fit_state(training, calibration, POLICY)
+    # the stress of every condition is in the domain: the reference profile is that of all conditions
+    return predict_requests(requests(obs), obs, state, POLICY)
+
+
+_ASKED = """pre AS (SELECT condition_id, temperature_c, condition_id % 12 AS kind, MAX(elapsed_days) AS d0, COUNT(*) FILTER (WHERE elapsed_days > 0) AS np,
+      MIN(CASE WHEN elapsed_days > 0 THEN capacity_loss_pct END) AS low FROM calendar_obs WHERE checkup_index < 10 GROUP BY 1, 2, 3),
+    gate AS (SELECT *, low < -0.05 AND np >= 7 AS ready FROM pre),
+    mark AS (SELECT o.condition_id, MAX(o.elapsed_days - d0) AS h, MAX(o.elapsed_days) AS last FROM calendar_obs o JOIN pre USING (condition_id) WHERE checkup_index >= 10 GROUP BY 1),
+    st AS (SELECT MAX(h) FILTER (WHERE condition_id % 3 <> 0) AS support, MAX(last) AS days FROM mark),
+    cq AS (SELECT r.route, COUNT(g.condition_id) AS n FROM (VALUES (TRUE), (FALSE)) AS r(route) LEFT JOIN gate g ON g.ready = r.route AND g.condition_id % 3 = 0 GROUP BY 1),
+    rq AS (SELECT g.*, support, days, n, d0 + CASE WHEN kind = 4 THEN 400 ELSE 16 END AS last,
+        CASE WHEN kind = 0 THEN 'prefix_length' WHEN kind = 1 OR kind = 7 THEN 'future_missing' WHEN kind = 5 THEN 'prefix_time_not_increasing' WHEN kind = 6 THEN 'request_id_repeated' WHEN kind = 8 THEN 'request_id_missing' END AS issue,
+        kind <> 2 AS inside, kind <> 3 AS near, CASE WHEN kind = 4 THEN 400 ELSE 16 END <= support + 1e-9 AS matched
+      FROM gate g, st, cq WHERE cq.route = g.ready),
+    dc AS (SELECT CASE WHEN kind <> 8 THEN condition_id END AS request_id, *, CASE WHEN issue IS NOT NULL THEN 'rejected_invalid_request' WHEN NOT inside THEN 'rejected_domain_unsupported' WHEN NOT near THEN 'rejected_prefix_outside_support'
+        WHEN NOT matched THEN 'rejected_horizon_mismatch' WHEN CEIL((n + 1) * 0.8e0) > n OR last > days THEN 'forecast_abstained' ELSE 'forecast_issued' END AS status,
+        concat_ws(';', CASE WHEN CEIL((n + 1) * 0.8e0) > n THEN 'calibration_unavailable' END, CASE WHEN CEIL((n + 1) * 0.8e0) > n THEN 'insufficient_same_route_calibration' END, CASE WHEN NOT matched THEN 'horizon_mismatch' END,
+          CASE WHEN NOT inside THEN 'domain_unsupported' END, CASE WHEN last > days THEN 'independent_long_term_evidence_missing' END, CASE WHEN NOT matched THEN 'residual_outside_support' END,
+          CASE WHEN CEIL((n + 1) * 0.8e0) > n OR NOT matched THEN 'interval_width_invalid' END) AS reasons FROM rq)"""
+
+
+@register("e34_prefix_inference", "request_id:i status mean_route fallback_reasons interval_width:d3 multiplier:d3 n_calibration:i")
+def e34_prefix_inference(spark, sf_dir):
+    return served(spark, sf_dir)[1]
+
+
+@register("e34_decisions", "request_id:i issue status mean_route gate_ready:b domain_supported:b prefix_supported:b horizon_matched:b n_calibration:i n_future:i", with_ctes("cal", """
+    SELECT request_id, issue, status, CASE WHEN issue IS NULL THEN CASE WHEN ready THEN 'specialist' ELSE 'fallback' END END AS mean_route, CASE WHEN issue IS NULL THEN ready END AS gate_ready, CASE WHEN issue IS NULL THEN inside END AS domain_supported,
+      CASE WHEN issue IS NULL THEN near AND inside END AS prefix_supported, CASE WHEN issue IS NULL THEN matched END AS horizon_matched, CASE WHEN issue IS NULL THEN n END AS n_calibration, CASE WHEN issue IS NULL THEN 8 END AS n_future
+    FROM dc UNION ALL SELECT request_id, issue, status, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dc WHERE kind = 6""", _ASKED))
+def e34_decisions(spark, sf_dir):
+    return served(spark, sf_dir)[1]
+
+
+@register("e34_forecast_rows", "request_id:i n_rows:i n_numbers:i last_horizon:d", with_ctes("cal", """
+    SELECT request_id, 8 AS n_rows, 8 AS n_numbers, CAST(last - d0 AS DOUBLE) AS last_horizon FROM dc WHERE status IN ('forecast_abstained', 'forecast_issued')""", _ASKED))
+def e34_forecast_rows(spark, sf_dir):
+    """Numbers exist for exactly the requests that are supported in stress, prefix and horizon."""
+    rows = served(spark, sf_dir)[0]
+    fine = is_finite("predicted") & is_finite("predictive_sd") & is_finite("correction")
+    return rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(fine, 1)).alias("n_numbers"), F.max("horizon_days").alias("last_horizon"))

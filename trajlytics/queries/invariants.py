@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trajlytics.operators import hierarchical as B
 from trajlytics.operators import lifetime as M
-from trajlytics.operators.inference import predict_requests
 from trajlytics.plans.scan import previous, value_bucket
 from trajlytics.queries import hierarchical as HQ
 from trajlytics.queries import lifetime as LQ
@@ -98,19 +97,6 @@ def h4_score_rows(spark, sf_dir):
     return scores.agg(F.count(F.lit(1)).alias("n_conditions"), F.sum("n_points").alias("n_points"), count_if(bad).alias("n_bad_scores"))
 
 
-@register("e34_decision_rows", "n_requests:i n_undecided:i n_issued_with_reasons:i", with_ctes("cal", """
-    SELECT COUNT(DISTINCT condition_id) AS n_requests, 0 AS n_undecided, 0 AS n_issued_with_reasons FROM calendar_obs"""))
-def e34_decision_rows(spark, sf_dir):
-    obs = P.observations(spark, sf_dir)
-    decisions = predict_requests(HQ.requests(obs), obs, points=L, coverage_multiplier=1.5, max_width=3.0)[1]
-    issued = F.col("issuance_status") == "issued"
-    undecided = ~F.col("issuance_status").isin("issued", "abstained") | (~issued & (F.length(F.col("reasons").cast("string")) == 0))
-    return decisions.agg(
-        F.countDistinct("request_id").alias("n_requests"), count_if(undecided).alias("n_undecided"),
-        count_if(issued & (F.length(F.col("reasons").cast("string")) > 0)).alias("n_issued_with_reasons"),
-    )
-
-
 @register("f2_convergence", "model n_events:i n_censored:i converged:b", with_ctes("", """
     SELECT model, COUNT(*) FILTER (WHERE c_nationkey % 4 <> 0) AS n_events, COUNT(*) FILTER (WHERE c_nationkey % 4 = 0) AS n_censored, TRUE AS converged
     FROM customer, (VALUES ('weak'), ('strong')) AS m(model) GROUP BY 1"""))
