@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from trajlytics.llm import near_copies
+from trajlytics.llm import common, near_copies
 
 from llm_text import prose
 
@@ -77,6 +77,14 @@ def test_odd_rows_stay_once(odd_docs, no_docs):
     assert sum(r["doc_id"] is None and r["text"] is not None for r in rows) == 1
 
 
-def test_rows_are_shuffled_once_for_join_and_repeats(odd_docs):
-    plan = near_copies.keep_one(odd_docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(__key") <= 1
+def test_rows_with_texts_are_not_shuffled_and_both_ways_agree(odd_docs, docs_of, monkeypatch):
+    rng = random.Random(9)
+    docs = docs_of([(k, changed(prose(k % 20, 120), k // 20, rng)) for k in range(60)]).unionByName(odd_docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.union(docs.limit(9))
+    kept = near_copies.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffles) <= 1  # repeated rows only
+    small = sorted(map(repr, kept.collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, near_copies.keep_one(docs).collect())) == small

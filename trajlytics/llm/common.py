@@ -45,6 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A staged side of a few numbers a row travels to all tasks up to so many rows; beyond, both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """rows (staged, a few numbers each) with a hint to broadcast them where their counted size is within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Rename input columns that clash with output columns to <name>_in (again until the name is free)."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.llm.common import staged
+from trajlytics.llm.common import small_side, staged
 from trajlytics.llm.simhash import components, in_tiles, links_in_keys, majority, shingle_digests
 
 SHINGLE = 5
@@ -140,18 +140,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     inside = docs.select(
         *[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)],
         F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash")).alias("__key"),
-    )  # one key, equal to itself where the id is null: the join and the repeats after it use one shuffle of the rows
+    )  # a struct is equal to itself where the id is null
     text = F.col(f"__c{columns.index(text_col)}")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
-    nodes = sketches(docs, id_col, text_col).groupBy("node").agg(F.min(rank).alias("lead"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-    nodes = staged(nodes, "nodes")
+    prints = sketches(docs, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("node", "fp", "bands")])
+    prints = staged(prints, "prints")
+    nodes = staged(prints.groupBy("node").agg(F.min(rank).alias("lead"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     keyed = nodes.select("fp", "node", F.posexplode("bands").alias("mask", "key")).withColumn("mask", F.col("mask").cast("short"))
     rooted = components(links_in_keys(keyed, MAX_BITS))
     classes = rooted.union(rooted.select("root", "root").distinct())  # a root is a member too
     lead = F.struct("lead.doc_id", "lead.text_hash").alias("__lead")
     members = staged(nodes.join(classes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("root", "node", lead), "members")
-    texts = inside.select("__key", text.cast("binary").alias("text")).join(members, F.col("__key") == F.col("__lead"))
+    texts = inside.select("__key", text.cast("binary").alias("text")).join(small_side(members), F.col("__key") == F.col("__lead"))
     named = components(verified_links(staged(shingle_sets(texts), "sets"))).withColumnRenamed("node", "__node")
-    first = nodes.select("node", "lead").join(named, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
-    kept = inside.join(staged(first.select(lead), "first"), F.col("__key") == F.col("__lead"), "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
+    owned = nodes.select("node", "lead").join(named, F.col("node") == F.col("__node"), "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
+    first = owned.groupBy("root").agg(F.min("lead").alias("first"))
+    kept = owned.join(first, "root").select(F.col("node").alias("__node"), F.struct("first.doc_id", "first.text_hash").alias("first"))
+    mine = F.struct("doc_id", "text_hash")
+    # what is not simply kept: rows of a later document, and a key of several rows, of which one stays
+    dropped = prints.join(kept, F.col("node") == F.col("__node")).where((mine != F.col("first")) | (F.col("rows") > 1))
+    dropped = staged(dropped.select(mine.alias("__lead"), (mine == F.col("first")).alias("__once")), "dropped")
+    marked = inside.join(small_side(dropped), F.col("__key") == F.col("__lead"), "left")
+    once = marked.where("__once").dropDuplicates(["__key"])
+    named_back = [F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)]
+    return marked.where("__once is null").select(*named_back).union(once.select(*named_back))

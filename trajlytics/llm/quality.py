@@ -137,16 +137,11 @@ def votes() -> list[Column]:
 
 
 def fit(counts: DataFrame, rounds: int = ROUNDS) -> LabelModel:
-    """The label model of documents with COUNTS."""
-    return fit_votes(counts.select(*[v.alias(f"v{k}") for k, v in enumerate(votes())]), rounds)
-
-
-def fit_votes(voted: DataFrame, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation from the votes (one column a rule) of all documents. Vote chances are smoothed by (count + 0.5) / (all + 1.5);
+    """Expectation-maximisation from counts of all documents. Vote chances are smoothed by (count + 0.5) / (all + 1.5);
     without documents the start model stays."""
     columns = [f"v{k}" for k in range(len(RULES))]
     patterns = staged(
-        voted.select(*[F.col(v).cast("int").alias(c) for v, c in zip(voted.columns, columns, strict=True)])
+        counts.select(*[v.cast("int").alias(c) for v, c in zip(votes(), columns, strict=True)])
         .groupBy(*columns)
         .agg(F.count(F.lit(1)).cast("double").alias("n")),
         "patterns",
@@ -202,13 +197,12 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose posterior quality reaches the threshold, with their own columns only.
 
-    Rows are written once beside their votes, so texts are counted once; fitting reads the votes alone. Null and empty texts
-    have no words and count as bad; repeated rows stay or go together; an empty table gives no rows."""
+    Texts are counted in two passes, to fit and to judge: writing them out beside their votes would cost the input's size on
+    disk. Null and empty texts have no words and count as bad; repeated rows stay or go together; an empty table gives no
+    rows."""
     columns = docs.columns
-    names = [f"__v{k}" for k in range(len(RULES))]
     inside = docs.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)])
     counted = with_counts(inside, f"__c{columns.index(text_col)}")
-    voted = staged(counted.select(*inside.columns, *[v.cast("byte").alias(n) for v, n in zip(votes(), names, strict=True)]), "voted")
-    model = fit_votes(voted.select(*names))
-    good = voted.where(model.posterior([F.col(n).cast("int") for n in names]) >= threshold)
+    model = fit(counted.select(*COUNTS))
+    good = judge(counted, model).where((F.col("quality_posterior") >= threshold) & (F.col("__row") >= 0))
     return good.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
