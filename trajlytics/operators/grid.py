@@ -2,7 +2,7 @@
 
 The nonlinear parameter runs over a short literal grid and the linear coefficients are closed form, so
 one aggregate pass fits every trajectory at every grid point; partial sums combine before the shuffle.
-The loss is squared error. A refine round repeats the pass on a finer grid around each best point.
+The loss is squared error, or soft-L1 by reweighted rounds (`robust_power_law`). A refine round repeats the pass on a finer grid around each best point.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trajlytics.functions.columns import clip, div
 from trajlytics.operators.closed_form import nnls2
 from trajlytics.plans.scan import null_safe_join
+from trajlytics.session import cut_lineage
 
 _T, _Y = "elapsed_days", "capacity_loss_pct"
 EXPONENTS = [round(0.05 * i, 2) for i in range(1, 31)]
@@ -146,3 +147,71 @@ def _simple_members(prefix: DataFrame, keys: list[str], forecast_days: Sequence[
     rows = packed.select(*keys, "_y", F.explode(members).alias("s")).withColumn("_e", F.zip_with("s.p", "_y", lambda p, y: p - y))
     return rows.select(*keys, F.col("s.m").alias("model_id"), F.lit("best").alias("variant_id"), F.col("s.c").alias("c1"), F.lit(0.0).alias("c2"),
                        F.sqrt(_dot("_e", "_e") / F.size("_e")).alias("prefix_rmse_pp"), F.array_max(F.transform("_e", lambda v: F.abs(v))).alias("max_abs_residual_pp"), F.col("s.f").alias("forecast"))
+
+
+#: Soft-L1 loss: scale in percentage points, rounds at most, and the relative change at which a fit is settled.
+ROBUST_SCALE, ROBUST_ROUNDS, SETTLED = 0.25, 40, 1e-7
+
+
+def _reweighted(rows: DataFrame, keys: list[str], state: DataFrame, grid: list[str], scale: float | None) -> DataFrame:
+    """Weighted sums of every (key, grid point) under the residuals of its state (c1, c2), and the cost of that state.
+
+    A row weighs 1 / sqrt(1 + (residual / scale)^2), so far points pull as under an absolute loss; without a scale all weigh one."""
+    f, h, y = F.col("_f"), F.col("_h"), F.col(_Y)
+    r = F.col("c1") * f + F.col("c2") * h - y
+    z = (r / F.lit(scale)) * (r / F.lit(scale)) if scale else F.lit(0.0)
+    w = 1.0 / F.sqrt(1.0 + z)
+    cost = F.lit(scale * scale) * (F.sqrt(1.0 + z) - 1.0) if scale else r * r / 2.0
+    met = null_safe_join(rows, state, keys).withColumns({"_f": F.pow(F.col(_T), F.col("_b")), "_h": F.exp(-F.col(_T) / F.col("_tau")) - 1.0})
+    sums = {"_11": w * f * f, "_12": w * f * h, "_22": w * h * h, "_1y": w * f * y, "_2y": w * h * y, "_cost": cost}
+    return met.groupBy(*keys, *grid, "c1", "c2").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(n) for n, v in sums.items()])
+
+
+def _robust_grid(rows: DataFrame, keys: list[str], points: DataFrame, cap: float, scale: float, rounds: int, settled: float | None) -> DataFrame:
+    """Iteratively reweighted fit of every (key, grid point) of `points`; the best point of each key and timescale.
+
+    A round is one aggregate over the rows, which meet the short state of their key; states are written, so the plan of a round
+    does not hold the rounds before it. Rounds end when no coefficient of any point moves by more than `settled`."""
+    grid = ["_tau", "_b"]
+    state = points.withColumns({"c1": F.lit(0.0), "c2": F.lit(0.0)})
+    moved = F.lit(True)
+    for k in range(rounds + 1):
+        sums = _reweighted(rows, keys, state, grid, scale if k else None)
+        best = box2(*[F.col(c) for c in ("_11", "_12", "_22", "_1y", "_2y")], cap)
+        x1 = F.greatest(F.least(F.col("_s.x1"), F.exp(F.lit(5.0))), F.exp(F.lit(-12.0)))
+        step = F.greatest(F.abs(x1 - F.col("c1")) / (F.abs(x1) + 1e-3), F.abs(F.col("_s.x2") - F.col("c2")))
+        state = cut_lineage(sums.withColumn("_s", best).select(*keys, *grid, x1.alias("_x1"), F.col("_s.x2").alias("_x2"), step.alias("_step"))
+                            .withColumnsRenamed({"_x1": "c1", "_x2": "c2"}))
+        if settled is not None and k and not state.where(F.col("_step") > settled).limit(1).count():
+            break
+        moved = F.col("_step") > (SETTLED if settled is None else settled)
+    final = null_safe_join(_reweighted(rows, keys, state.drop("_step"), grid, scale), state.select(*keys, *grid, "_step"), [*keys, *grid])
+    fit = F.struct(F.col("_cost").alias("cost"), F.col("_b").alias("exponent"), F.col("c1").alias("amplitude"), F.col("c2").alias("offset_pp"), F.col("_n").alias("n_points"), (~moved).alias("converged"))
+    return final.groupBy(*keys, "_tau").agg(F.min(fit).alias("m")).select(*keys, "_tau", "m.*")
+
+
+def robust_power_law(
+    df: DataFrame, keys: Sequence[str], *, timescales: Sequence[float] | None = None, exponents: Sequence[float] = tuple(EXPONENTS), refine: int = 10, cap: float = 10.0,
+    scale: float = ROBUST_SCALE, rounds: int = ROBUST_ROUNDS, settled: float | None = SETTLED,
+) -> DataFrame:
+    """loss = exp(log_amplitude) t**exponent under a soft-L1 loss; with timescales also less offset_pp (1 - exp(-t / timescale)),
+    one row per key and timescale.
+
+    Outliers of a few points move the fit little, unlike in `power_law`. `cost` is the sum of scale^2 (sqrt(1 + (r / scale)^2) - 1),
+    `converged` tells whether the last round moved the best point by no more than `settled` (None: all rounds are run). Null keys
+    are one key; keys without a positive time have no row, as nothing can be fitted to them.
+    """
+    keys = list(keys)
+    rows = cut_lineage(df.filter((F.col(_T) > 0) & F.col(_Y).isNotNull()).select(*keys, _T, _Y))
+    taus = [float(t) for t in timescales] if timescales else [1.0]
+    bound = cap if timescales else 0.0
+    coarse = rows.select(*keys).distinct().withColumn("_tau", F.explode(F.lit(taus))).withColumn("_b", F.explode(F.lit([float(b) for b in exponents])))
+    best = _robust_grid(rows, keys, coarse, bound, scale, rounds, settled)
+    if refine:
+        step = (exponents[1] - exponents[0]) / refine
+        near = F.transform(F.lit([float(i * step) for i in range(-refine, refine + 1)]), lambda o: F.round(F.col("exponent") + o, 6))
+        fine = best.select(*keys, "_tau", F.explode(F.filter(near, lambda v: (v >= exponents[0]) & (v <= exponents[-1]))).alias("_b"))
+        best = _robust_grid(rows, keys, fine, bound, scale, rounds, settled)
+    named = best.withColumnRenamed("_tau", "timescale").withColumn("log_amplitude", F.ln("amplitude"))
+    extra = ["timescale", "offset_pp"] if timescales else []
+    return named.select(*keys, *extra, "log_amplitude", "exponent", "cost", "n_points", "converged")

@@ -44,6 +44,46 @@ def e10_activation_power_law(spark, sf_dir):
     return Y.activation_power_law(A.calendar_obs(spark, sf_dir), ["condition_id"], timescales=[3.0, 7.0])
 
 
+ROBUST = 4
+
+
+def robust_sql(points: str, cap: float, tag: str, rounds: int = ROBUST) -> list[str]:
+    """Reweighted rounds over the grid ``points`` (condition_id, tau, b); {tag} has the best point of each condition and tau."""
+    parts, state = [], f"(SELECT *, 0e0 AS a, 0e0 AS o FROM {points})"
+    for k in range(rounds + 2):
+        w = "1 / SQRT(1 + z)" if k else "1e0"
+        parts.append(f"""{tag}s{k} AS MATERIALIZED (SELECT condition_id, tau, b, a AS a_, o AS o_, COUNT(*) AS n, SUM(w * f * f) AS s11, SUM(w * f * h) AS s12, SUM(w * h * h) AS s22, SUM(w * f * y) AS s1y, SUM(w * h * y) AS s2y, SUM(625e-4 * (SQRT(1 + z) - 1)) AS cost
+            FROM (SELECT *, {w} AS w FROM (SELECT *, POWER((a * f + o * h - y) / 25e-2, 2) AS z FROM (SELECT s.*, y, POWER(d, b) AS f, EXP(-d / tau) - 1 AS h FROM pos JOIN {state} s USING (condition_id)))) GROUP BY 1, 2, 3, 4, 5)""")
+        if k > rounds:
+            break
+        parts += [
+            f"{tag}j{k} AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / NULLIF(s11 * s22 - s12 * s12, 0) AS ja, (s2y * s11 - s1y * s12) / NULLIF(s11 * s22 - s12 * s12, 0) AS jb FROM {tag}s{k})",
+            f"""{tag}c{k} AS (SELECT *, UNNEST([{{'a': GREATEST(s1y / s11, 0), 'o': 0e0, 'j': 0}}, {{'a': GREATEST((s1y - s12 * {cap}) / s11, 0), 'o': {cap}, 'j': 0}},
+                {{'a': 0e0, 'o': LEAST(GREATEST(s2y / s22, 0), {cap}), 'j': 0}}, {{'a': ja, 'o': jb, 'j': 1}}], recursive := true) FROM {tag}j{k})""",
+            f"""{tag}q{k} AS MATERIALIZED (SELECT condition_id, tau, b, GREATEST(LEAST(m.a, EXP(5e0)), EXP(-12e0)) AS a, m.o AS o FROM (SELECT condition_id, tau, b, MIN({{'q': a * a * s11 + 2 * a * o * s12 + o * o * s22 - 2 * a * s1y - 2 * o * s2y, 'a': a, 'o': o}}) AS m
+                FROM {tag}c{k} WHERE CASE WHEN det > 1e-12 * s11 * s22 AND ja >= 0 AND jb >= 0 AND jb <= {cap} THEN j = 1 ELSE j = 0 END GROUP BY 1, 2, 3))""",
+        ]
+        state = f"{tag}q{k}"
+    parts.append(f"{tag} AS MATERIALIZED (SELECT condition_id, tau, MIN({{'c': cost, 'b': b, 'a': a_, 'o': o_, 'n': n}}) AS m FROM {tag}s{rounds + 1} GROUP BY 1, 2)")
+    return parts
+
+
+def robust_fit_sql(taus: str, cap: float) -> list[str]:
+    fine = "(SELECT * FROM (SELECT condition_id, tau, ROUND(m.b + i * 5e-3, 6) AS b FROM rc, range(-10, 11) AS r(i)) WHERE b BETWEEN 0.05 AND 1.5)"
+    return [POWER_SQL[0], f"gp AS (SELECT * FROM (SELECT DISTINCT condition_id FROM pos), (SELECT UNNEST({EXPS}::DOUBLE[]) AS b), (SELECT UNNEST({taus}::DOUBLE[]) AS tau))", *robust_sql("gp", cap, "rc"), f"gf AS {fine}", *robust_sql("gf", cap, "rf")]
+
+
+@register("e8_robust", "condition_id:i log_amplitude:d4 exponent:d cost:d4 n_points:i", with_ctes("cal", "SELECT condition_id, LN(m.a) AS log_amplitude, m.b AS exponent, m.c AS cost, m.n AS n_points FROM rf", *robust_fit_sql("[1.0]", 0.0)))
+def e8_robust(spark, sf_dir):
+    return Y.robust_power_law(A.calendar_obs(spark, sf_dir), ["condition_id"], rounds=ROBUST, settled=None)
+
+
+@register("e10_robust", "condition_id:i timescale:d log_amplitude:d4 exponent:d offset_pp:d4 cost:d4 n_points:i", with_ctes("cal", """
+    SELECT condition_id, tau AS timescale, LN(m.a) AS log_amplitude, m.b AS exponent, m.o AS offset_pp, m.c AS cost, m.n AS n_points FROM rf""", *robust_fit_sql("[7.0]", 10.0)))
+def e10_robust(spark, sf_dir):
+    return Y.robust_power_law(A.calendar_obs(spark, sf_dir), ["condition_id"], timescales=[7.0], rounds=ROBUST, settled=None)
+
+
 TAUS = [2.0, 7.0, 14.0]
 
 
