@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,9 +326,3 @@ def logistic_danger(df: DataFrame, features: Sequence[str], label: str, *, c: fl
     model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-8, rawPredictionCol="_raw", probabilityCol="_prob").fit(ready)
     return model.transform(ready).withColumns({"danger_score": vector_to_array("_raw")[1], "danger_probability": vector_to_array("_prob")[1]}).drop("_x", "_raw", "_prob", "prediction")
 
-
-def isotonic_probability(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Isotonic calibration of a score, constant beyond its range."""
-    ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(df.withColumn("_y", F.col(label).cast("double")))
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="calibrated_probability").fit(ready)
-    return model.transform(ready).drop("_x", "_y")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlytics.operators import hierarchical as B
+from trajlytics.operators import isotonic as I
 from trajlytics.operators import lifetime as M
 from trajlytics.plans.scan import previous, value_bucket
 from trajlytics.queries import hierarchical as HQ
@@ -166,6 +167,6 @@ def f10_probability_checks(spark, sf_dir):
 @register("f11_probability_checks", "n_rows:i n_outside:i n_order_violations:i mean_is_prevalence:b", with_ctes("pool", _POOL_COUNT, POOL_SQL))
 def f11_probability_checks(spark, sf_dir):
     pool = pool_flags(spark, sf_dir)
-    scored = M.isotonic_probability(pool, "disagreement", "catastrophic").select("cluster_id", "calibrated_probability")
+    scored = I.isotonic_probability(pool.withColumn("catastrophic", F.col("catastrophic").cast("double")), "disagreement", "catastrophic").select("cluster_id", "calibrated_probability")
     joined = scored.join(pool.select("cluster_id", "disagreement", "catastrophic"), "cluster_id")
     return _probability_checks(joined, "disagreement", "calibrated_probability", 1e-3)

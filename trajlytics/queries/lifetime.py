@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from trajlytics.operators import features as X
 from trajlytics.operators import intervals as H
+from trajlytics.operators import isotonic as I
 from trajlytics.operators import lifetime as M
 from trajlytics.operators import splits as S
 from trajlytics.operators.scoring import regression_metrics
 from trajlytics.queries.registry import register
-from trajlytics.queries.scoring import pool_flags
+from trajlytics.queries.scoring import POOL_SQL, pool_flags
 from trajlytics.session import cut_lineage
 from trajlytics.sources import adapters as A
 from trajlytics.sources.adapters import table, with_ctes
@@ -128,6 +129,21 @@ def f10_logistic_danger(spark, sf_dir):
     return M.logistic_danger(pool_flags(spark, sf_dir), ["disagreement", "iae"], "catastrophic")
 
 
-@register("f11_isotonic_probability", "cluster_id:i disagreement:d calibrated_probability:d4")
+_ISOTONIC = """lv AS (SELECT x, COUNT(*) AS w, SUM(y) AS s, ROW_NUMBER() OVER (ORDER BY x) AS k FROM lab GROUP BY x),
+    cu AS (SELECT *, SUM(w) OVER (ORDER BY k) AS cw, SUM(s) OVER (ORDER BY k) AS cs FROM lv),
+    fr AS (SELECT i.k AS i, j.k AS k, MIN((j.cs - i.cs + i.s) / (j.cw - i.cw + i.w)) OVER (PARTITION BY i.k ORDER BY j.k DESC) AS low FROM cu i JOIN cu j ON j.k >= i.k),
+    fit AS (SELECT x, MAX(low) AS p FROM fr JOIN lv USING (k) GROUP BY x)"""
+
+
+@register("f11_isotonic_probability", "cluster_id:i disagreement:d calibrated_probability:d", with_ctes("pool", """
+    SELECT cluster_id, disagreement, p AS calibrated_probability FROM pf JOIN fit ON x = disagreement""", POOL_SQL, "lab AS (SELECT disagreement AS x, CASE WHEN catastrophic THEN 1e0 ELSE 0e0 END AS y FROM pf)", _ISOTONIC))
 def f11_isotonic_probability(spark, sf_dir):
-    return M.isotonic_probability(pool_flags(spark, sf_dir), "disagreement", "catastrophic")
+    return I.isotonic_probability(pool_flags(spark, sf_dir).withColumn("catastrophic", F.col("catastrophic").cast("double")), "disagreement", "catastrophic")
+
+
+@register("f11_isotonic_partitions", "o_totalprice:d calibrated_probability:d", with_ctes("", "SELECT x AS o_totalprice, p AS calibrated_probability FROM fit",
+    "lab AS (SELECT FLOOR(o_totalprice / 5e2) AS x, CASE WHEN o_orderstatus = 'F' OR o_totalprice % 3 < 1 THEN 1e0 ELSE 0e0 END AS y FROM orders)", _ISOTONIC))
+def f11_isotonic_partitions(spark, sf_dir):
+    """Many levels over small range partitions: blocks settle in several passes."""
+    orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 5e2).cast("double").alias("o_totalprice"), F.expr("CASE WHEN o_orderstatus = 'F' OR o_totalprice % 3 < 1 THEN 1e0 ELSE 0e0 END").alias("late"))
+    return I.isotonic_probability(orders, "o_totalprice", "late", partition_blocks=40).select("o_totalprice", "calibrated_probability").distinct()
