@@ -116,7 +116,7 @@ FROM voted, m{rounds}"""
 
 
 URL_ASSOCIATIONS = r"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)
@@ -141,10 +141,8 @@ WITH split AS (
   WHERE said IS NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY url
 ), known AS MATERIALIZED (SELECT url, blocked, t FROM labelled JOIN token USING (url)
 ), sets AS (
-  SELECT url, blocked, [t] AS s FROM known
-  UNION ALL SELECT a.url, a.blocked, [a.t, b.t] FROM known a JOIN known b ON a.url = b.url AND a.t < b.t
-  UNION ALL SELECT a.url, a.blocked, [a.t, b.t, c.t] FROM known a JOIN known b ON a.url = b.url AND a.t < b.t
-            JOIN known c ON a.url = c.url AND b.t < c.t
+  SELECT url, blocked, [t] AS s, t AS last FROM known
+  UNION ALL SELECT sets.url, sets.blocked, list_append(s, t), t FROM sets JOIN known ON sets.url = known.url AND t > last
 ), mined AS MATERIALIZED (
   SELECT s FROM sets GROUP BY s
   HAVING COUNT(*) FILTER (WHERE blocked) >= ceil(0.005 * (SELECT COUNT(*) FROM labelled))

@@ -14,7 +14,6 @@ from trajlytics.llm.common import set_aside, staged
 BLOCKED = "label:block"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 3
 ADDED = ("host", "path", "rule", "verdict")
 
 # Fixed values: (rule, verdict).
@@ -56,8 +55,8 @@ def tokens(host_: Column, path_: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(hosts, segments), lambda t: ~t.isin("h:", "p:")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules (tokens array) from labelled (tokens array, blocked boolean): sets of at most max_tokens tokens that occur with
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (tokens array) from labelled (tokens array, blocked boolean): sets of tokens, of any number, that occur with
     a blocked label in min_support of the rows, and without one in at most 1 - min_confidence of theirs. A rule that
     contains another one is pruned: it matches nothing more."""
     labelled = staged(labelled.where("blocked is not null"), "labelled")
@@ -67,32 +66,31 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return spark.createDataFrame([], schema)
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCKED) & (F.size("antecedent") <= max_tokens))
-    rules = staged(rules.select(F.array_sort("antecedent").alias("tokens")), "rules")
-    one = lambda t: F.array(t)
-    without = lambda t: F.array_except("tokens", F.array(t))
-    parts = F.concat(F.transform("tokens", one), F.transform("tokens", without))  # of three tokens or fewer: every proper part
-    smaller = rules.where(F.size("tokens") > 1).select("tokens", F.explode(parts).alias("part"))
-    beaten = smaller.join(rules.select(F.col("tokens").alias("part")), "part").select("tokens").distinct()
-    return rules.join(beaten, "tokens", "left_anti").select(F.array_join("tokens", " ").alias("rule_id"), "tokens")
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCKED)
+    rules = staged(rules.select(F.array_sort("antecedent").alias("tokens")).select(F.array_join("tokens", " ").alias("rule_id"), "tokens"), "rules")
+    larger = holding(rules.select(F.col("rule_id").alias("url"), "tokens"), rules).where(F.size("needed") < F.size("held"))
+    return rules.join(larger.select(F.col("url").alias("rule_id")).distinct(), "rule_id", "left_anti")
 
 
-def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url of every row of urls (url, tokens) that holds all tokens of some rule. The index files each rule under its rarest
-    token, so tokens that all URLs share lead to few rules."""
-    rules = staged(rules, "index")
+def holding(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, held, needed) for each rule all of whose tokens a row of urls (url, tokens) holds. The index files each rule under
+    its rarest token, so tokens that all URLs share lead to few rules."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     held = urls.select("url", F.col("tokens").alias("held"), F.explode("tokens").alias("token"))
     times = held.join(wanted, "token", "left_semi").groupBy("token").count()
     filed = rules.withColumn("token", F.explode("tokens")).join(times, "token", "left")
     rarest = filed.groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), F.col("token"))).alias("token"), F.first("tokens").alias("needed"))
-    met = held.join(rarest.select("token", "needed"), "token").where(F.size(F.array_except("needed", "held")) == 0)
-    return met.select("url").distinct()
+    return held.join(rarest.select("token", "needed"), "token").where(F.size(F.array_except("needed", "held")) == 0).select("url", "held", "needed")
+
+
+def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url of every row of urls (url, tokens) that holds all tokens of some rule."""
+    return holding(urls, staged(rules, "index")).select("url").distinct()
 
 
 def judge(
     pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str]] = WRITTEN_RULES, url_col: str = "url",
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS,
+    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """pages with host, path, the written rule that decides (or null) and the verdict, block or allow.
 
@@ -110,7 +108,7 @@ def judge(
     if labels is not None:
         own = split.where("written is null").join(labels.groupBy(F.col("url").alias("__url")).agg(F.max("blocked").alias("blocked")), F.col("url") == F.col("__url"))
         given = given.union(own.select("tokens", "blocked"))
-    blocked = staged(matching(split.where("written is null").select("url", "tokens"), mine(given, min_support, min_confidence, max_tokens)), "blocked")
+    blocked = staged(matching(split.where("written is null").select("url", "tokens"), mine(given, min_support, min_confidence)), "blocked")
     judged = pages.withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
     judged = judged.withColumn("__rule", written_rule(F.col("host"), F.col("path"), rules))
     met = judged.join(blocked.withColumnRenamed("url", "__hit"), F.col(url_col) == F.col("__hit"), "left")
