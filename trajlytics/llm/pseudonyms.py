@@ -3,6 +3,7 @@ inside their own format, so equal values get equal pseudonyms in every document
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -149,43 +150,59 @@ def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str |
     return put_digits(value, permute_characters(digits, key, kind, inverse))
 
 
+class Spans:
+    """Ordered spans without overlaps: what is next to a place is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def next_start(self, after: int, before: int) -> int | None:
+        """First start after one place and before another."""
+        k = bisect.bisect_right(self.starts, after)
+        return self.starts[k] if k < len(self.starts) and self.starts[k] < before else None
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether the span is apart from all others; then it is one of them."""
+        k = bisect.bisect_left(self.starts, start)
+        if k < len(self.starts) and self.starts[k] < end or k and self.ends[k - 1] > start:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of each validated value of a whole text, without overlaps, in order."""
     found: list[tuple[str, int, int, str]] = []
 
-    def add(kind: str, start: int, end: int) -> None:
-        if all(end <= s or e <= start for _, s, e, _ in near) and (new := pseudonym(kind, text[start:end], key)) is not None:
-            near.append((kind, start, end, new))
+    def add(kind: str, start: int, end: int, spans: Spans) -> None:
+        if (new := pseudonym(kind, text[start:end], key)) is not None and spans.add(start, end):
+            found.append((kind, start, end, new))
 
+    words = Spans([])
     at = text.find("@")
     while at >= 0:
-        near: list[tuple[str, int, int, str]] = []
         name = MAIL_NAME.search(text, max(0, at - 64), at)
         host = MAIL_HOST.match(text, at + 1, at + 256)
         if name and host:
-            add("mail", name.start(), host.end())
-        found += near
+            add("mail", name.start(), host.end(), words)
         at = text.find("@", at + 1)
     for m in IBAN.finditer(text):
-        near = []
-        add("iban", m.start(), m.end())
-        found += near
+        add("iban", m.start(), m.end(), words)
     blocked = sorted((s, e) for _, s, e, _ in found)
     k = 0
     for chunk in CHUNK.finditer(text):
         begin, end = max(0, chunk.start() - 2), chunk.end()
         while k < len(blocked) and blocked[k][1] <= begin:
             k += 1
-        near = [("", s, e, "") for s, e in blocked[k : k + 8] if s < end]
-        taken = len(near)
+        spans = Spans([(s, e) for s, e in blocked[k : k + 8] if s < end])
         for kind, pattern in KINDS:
             for m in pattern.finditer(text, begin, min(len(text), end + 1)):
-                cut = min((s for _, s, _, _ in near if m.start() < s < m.end()), default=None)
+                cut = spans.next_start(m.start(), m.end())
                 if cut is None:
-                    add(kind, m.start(), m.end())
+                    add(kind, m.start(), m.end(), spans)
                 elif shorter := pattern.fullmatch(text, m.start(), m.start() + len(text[m.start() : cut].rstrip(" .-"))):  # it ran into another value
-                    add(kind, m.start(), shorter.end())
-        found += near[taken:]
+                    add(kind, m.start(), shorter.end(), spans)
     return sorted(found, key=lambda x: x[1])
 
 
@@ -210,16 +227,20 @@ def find_private(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 
 def with_pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """docs with every value in its texts replaced by its pseudonym; all other columns as they were."""
+    """docs with every value in its texts replaced by its pseudonym; all other columns, whatever their names, as they were.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows are rows like any other; an empty table gives no rows."""
     place = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text in batch.column(place).to_pylist():
-                for _, start, end, new in reversed(find(text or "", key)):
-                    text = text[:start] + new + text[end:]
-                texts.append(text)
+                parts, at = [], 0
+                for _, start, end, new in find(text or "", key):
+                    parts += [text[at:start], new]
+                    at = end
+                texts.append("".join([*parts, text[at:]]) if parts else text)
             columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
