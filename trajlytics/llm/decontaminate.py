@@ -25,6 +25,8 @@ EDIT_SHARE = 0.1
 BLOCK_CHARS = 2_000_000
 #: Characters of documents worked on at once; texts over twice this are searched in overlapping segments.
 PIECE_CHARS = 1 << 20
+#: q-gram hits counted at once, and cells of an alignment table.
+HITS, CELLS = 1 << 21, 1 << 21
 MATCHES = "doc_id long, item_id long, edits int, start_pos long, end_pos long"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,9 +89,7 @@ class Index:
         self.length = np.array([len(c) for c in self.codes], np.int64)
         self.edits = np.minimum((self.length * edit_share).astype(np.int64), (self.length - q) // q)
         self.bound = self.length - q + 1 - self.edits * q
-        self.matrix = np.zeros((n, int(self.length.max())), np.uint32)
-        for k, c in enumerate(self.codes):
-            self.matrix[k, : len(c)] = c
+        self.flat, self.offset = np.concatenate(self.codes), np.cumsum(self.length) - self.length
         grams = [gram_hashes(c, q) for c in self.codes]
         hashes = np.concatenate(grams)
         item = np.repeat(np.arange(n), [len(g) for g in grams])
@@ -105,6 +105,25 @@ class Index:
         return self
 
 
+def band_counts(at: np.ndarray, which: np.ndarray, offset: int, span: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct item * span + band of all hits of the text q-grams (place, row of the index), and their number. A q-gram that
+    many items share has as many hits as they are; hits are counted in slices, and only bands and counts are kept."""
+    ends = np.cumsum(index.times[which])
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, side="right")))
+        times = index.times[which[a:b]]
+        row = np.repeat(index.first[which[a:b]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        item = index.item[row].astype(np.int64)
+        band = (np.repeat(at[a:b], times) - index.place[row] + offset) // (index.edits[item] + 1)
+        new, n = np.unique(item * span + band, return_counts=True)
+        merged, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(merged)).astype(np.int64)
+        keys, a = merged, b
+    return keys, counts
+
+
 def bands(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(item, first diagonal) of each band with enough shared q-grams."""
     hashes = gram_hashes(codes, index.q)
@@ -113,14 +132,9 @@ def bands(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     which[which == len(index.grams)] = 0
     real = index.grams[which] == hashes[at]
     at, which = at[real], which[real]
-    times = index.times[which]
-    row = np.repeat(index.first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    item = index.item[row].astype(np.int64)
-    step = index.edits[item] + 1
     offset = 2 * int(index.length.max())  # keeps diagonals and bands positive
-    band = (np.repeat(at, times) - index.place[row] + offset) // step
     span = len(codes) + 2 * offset + 2
-    keys, counts = np.unique(item * span + band, return_counts=True)
+    keys, counts = band_counts(at, which, offset, span, index)
     both = counts.copy()
     follows = np.flatnonzero(keys[1:] == keys[:-1] + 1)
     both[follows] += counts[follows + 1]
@@ -138,6 +152,7 @@ def align(codes: np.ndarray, item: np.ndarray, first: np.ndarray, index: Index)
     one = np.int64(1) << np.int64(32)
     width = 2 * (index.edits[item] + 1)
     most, longest = int(width.max()), int(index.length[item].max())
+    begin, final = index.offset[item], index.offset[item] + index.length[item] - 1
     reach = first[:, None] + np.arange(most + longest)
     inside = (reach >= 0) & (reach < len(codes))
     text = np.where(inside, codes[np.clip(reach, 0, len(codes) - 1)], 0)
@@ -147,7 +162,7 @@ def align(codes: np.ndarray, item: np.ndarray, first: np.ndarray, index: Index)
     step = diagonal * one
     best = np.full((len(item), most), far, np.int64)
     for i in range(longest):
-        swap = cells + np.where(text[:, i : i + most] == index.matrix[item, i][:, None], 0, one)
+        swap = cells + np.where(text[:, i : i + most] == index.flat[np.minimum(begin + i, final)][:, None], 0, one)
         skip = np.full_like(cells, far)
         skip[:, :-1] = cells[:, 1:] + one
         cells = np.minimum(swap, skip)
@@ -167,11 +182,18 @@ def matches(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     item, first = bands(codes, index)
     if not len(item):
         return []
+    order = np.argsort(index.length[item], kind="stable")  # short and long items are not aligned together
+    item, first = item[order], first[order]
+    reach = index.length[item] + 2 * (index.edits[item] + 1)
     found: list[tuple[int, int, int, int]] = []
-    for a in range(0, len(item), 512):
-        edits, start, end = align(codes, item[a : a + 512], first[a : a + 512], index)
-        good = edits <= index.edits[item[a : a + 512]]
-        found += zip(item[a : a + 512][good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True)
+    a = 0
+    while a < len(item):
+        near = reach[a : a + 512]
+        some = slice(a, a + max(1, int((np.arange(1, len(near) + 1) * near <= CELLS).sum())))
+        edits, start, end = align(codes, item[some], first[some], index)
+        good = edits <= index.edits[item[some]]
+        found += zip(item[some][good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True)
+        a = some.stop
     return apart(found)
 
 
