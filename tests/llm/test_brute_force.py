@@ -238,7 +238,7 @@ def test_secret_forest_on_held_out_findings(spark, docs_of):
     words = ["river", "stone", "light", "green", "winter"]
     from pyspark.sql import functions as F
 
-    found = secrets.candidates(docs_of(rows), words, F.col("doc_id")).withColumn("label", F.col("doc_id").isin([*secret]).cast("double"))
+    found = secrets.candidates(docs_of(rows), words, F.col("doc_id")).drop("label").withColumn("label", F.col("doc_id").isin([*secret]).cast("double"))
     model = secrets.train(found.where("doc_id < 120"))
     held = secrets.classify(found.where("doc_id >= 120"), model).collect()
     right = sum((r["probability"] >= 0.5) == (r["doc_id"] in secret) for r in held)
