@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.llm.common import id_and_text, staged
+from trajlytics.llm.common import id_and_text, small_side, staged
 
 UNITS = "doc_id long, unit_no int, start_pos long, end_pos long, n_words int, digest binary"
 #: A sentence ends at a line break, or after '.', '!' or '?' before a blank; these pieces tile the text.
@@ -103,7 +103,8 @@ def repeated_units(
     """One row per unit to remove, with the place of the occurrence that stays.
 
     Rank: doc_id (null last), then offset. A digest that fills a third of the corpus is pre-aggregated before the
-    shuffle, and the join back to its occurrences is a plain equality join that adaptive execution may split.
+    shuffle. The table of repeated digests is written; its occurrences meet it by broadcast where it is small, else by a join
+    of its own shuffle, which adaptive execution may split.
     Repeated rows and rows that share a doc_id are one document: the same place is not a duplicate of itself.
     Digests with one occurrence never reach the join's output. Empty tables give no rows.
     """
@@ -115,6 +116,7 @@ def repeated_units(
         .where(~F.col("keep").eqNullSafe(F.col("latest")))
         .select("digest", "keep")
     )
+    kept = small_side(staged(kept, "kept"))
     here = F.struct(F.col("u.doc_id").isNull().alias("last"), F.col("u.doc_id"), F.col("u.start_pos"))
     return (
         units.alias("u")
