@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import attach_one_row, hash_text
+from trajlytics.functions.columns import attach_one_row, hash_text, is_finite
 from trajlytics.plans.joins import asof_join, join_report
 from trajlytics.plans.scan import grouped_rank, hash_bucket, null_safe_join, running
 from trajlytics.session import cut_lineage
@@ -249,10 +249,13 @@ def _hull(points: np.ndarray) -> np.ndarray:
     if len(pts) < 3:
         return pts
 
+    def turn(a, b, p):
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
     def chain(seq):
         out: list = []
         for p in seq:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
@@ -260,29 +263,70 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(list(pts)) + chain(list(pts[::-1])))
 
 
+#: Partial hulls are merged so many at a time, from at most so many.
+HULL_FAN, HULL_PARTS = 8, 512
+
+
 def hull_vertices(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Convex hull in two levels: hull per partition, then hull of those vertices only."""
+    """Convex hull (x, y, pos counter-clockwise) as a tree: a hull per partition, then hulls of HULL_FAN partial hulls at a time.
+
+    Only vertices are shuffled. Points with a coordinate that is null, NaN or infinite take no part."""
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.empty((0, 2))
         for b in batches:
-            kept = _hull(np.vstack([kept, b.to_numpy(dtype=float)]))
+            kept = _hull(np.vstack([kept, b[["x", "y"]].to_numpy(dtype=float)]))
         if len(kept):
-            yield pd.DataFrame({"x": kept[:, 0], "y": kept[:, 1], "pos": np.arange(len(kept))})
+            yield pd.DataFrame({"x": kept[:, 0], "y": kept[:, 1]})
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        kept = _hull(group[["x", "y"]].to_numpy(dtype=float))
+        return pd.DataFrame({"part": int(group["part"].iloc[0]) // HULL_FAN, "x": kept[:, 0], "y": kept[:, 1], "pos": np.arange(len(kept))})
 
-    schema = "x double, y double, pos long"
-    xy = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
-    partial = xy.mapInPandas(local, schema).select("x", "y")
-    return partial.repartition(1).mapInPandas(local, schema)
+    usable = points.filter(is_finite(x) & is_finite(y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    found = usable.mapInPandas(local, "x double, y double").withColumn("part", F.spark_partition_id() % HULL_PARTS)
+    parts = HULL_PARTS
+    while parts > 1:
+        parts = -(-parts // HULL_FAN)
+        found = found.withColumn("_group", F.floor(F.col("part") / HULL_FAN)).groupBy("_group").applyInPandas(merged, "part long, x double, y double, pos long")
+    return found.select("x", "y", "pos")
+
+
+def _bisect(values: Column, at: Column) -> Column:
+    """Number of entries of a rising array that are at most `at`, by halving."""
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        left = F.get(values, middle) > at
+        inside = span["lo"] < span["hi"]
+        return F.struct(F.when(inside & ~left, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(inside & left, middle).otherwise(span["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), halve, lambda span: span["lo"])
 
 
 def in_convex_hull(targets: DataFrame, points: DataFrame, x: str, y: str, tol: float = 1e-10) -> DataFrame:
-    """Membership of each target in the hull of ``points`` (edges travel as one small array)."""
-    ring = hull_vertices(points, x, y).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("_ring"))
+    """Membership of each target in the hull of ``points``: the hull travels as one row of two chains (below and above, rising in
+    x), and a target is held against the one edge of each chain that stands over its x. Targets with an unknown coordinate, and
+    all targets where no point is usable, are outside."""
+    ring = hull_vertices(points, x, y)
+    vertex = F.struct("x", "y")
+    ends = ring.agg(F.min(vertex).alias("_first"), F.max(vertex).alias("_last"))
+    side = attach_one_row(ring, ends)
+    turn = (F.col("_last.x") - F.col("_first.x")) * (F.col("y") - F.col("_first.y")) - (F.col("_last.y") - F.col("_first.y")) * (F.col("x") - F.col("_first.x"))
+    chains = side.agg(
+        F.sort_array(F.collect_list(F.when(turn <= 0, vertex))).alias("_below"), F.sort_array(F.collect_list(F.when(turn >= 0, vertex))).alias("_above"),
+        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    edges = F.zip_with("_ring", F.concat(F.slice("_ring", F.lit(2), F.size("_ring")), F.slice("_ring", 1, 1)),
-                       lambda a, b: (b.x - a.x) * (py - a.y) - (b.y - a.y) * (px - a.x) >= -tol)
-    return attach_one_row(targets, ring).withColumn("in_hull", F.forall(edges, lambda e: e)).drop("_ring")
+
+    def beyond(chain: str) -> Column:
+        """Cross product of the edge over the target with the target: zero on it, positive above it."""
+        n = F.size(chain)
+        k = F.greatest(F.least(_bisect(F.transform(chain, lambda v: v["x"]), px), n - 1), F.lit(1))
+        a, b = F.get(chain, k - 1), F.get(chain, k)
+        return (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
+
+    flat = F.size("_below") < 2
+    box = (px >= F.col("_x0") - tol) & (px <= F.col("_x1") + tol) & (py >= F.col("_y0") - tol) & (py <= F.col("_y1") + tol)
+    inside = box & F.when(flat, True).otherwise((beyond("_below") >= -tol) & (beyond("_above") <= tol))
+    return attach_one_row(targets, chains).withColumn("in_hull", F.coalesce(inside, F.lit(False))).drop("_below", "_above", "_x0", "_x1", "_y0", "_y1")
 
 
 def local_slice_reference(

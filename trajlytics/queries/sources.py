@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajlytics.queries.registry import register
+from trajlytics.session import shared_path
 from trajlytics.sources import adapters as A
 from trajlytics.sources import tables as T
 from trajlytics.sources.adapters import table, with_ctes
@@ -18,6 +19,35 @@ def a1_scan_by_suffix(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
 
 
+
+
+def _round_trip(spark, sf_dir, name: str, partition_by=()):
+    """Orders with nulls, empty texts, commas and quotes, written to the shared folder and read again with their schema."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", _odd_text().alias("note"))
+    path = shared_path(spark, name)
+    T.write_table(orders, path, partition_by=partition_by)
+    return T.read_table(spark, path, orders.schema)
+
+
+def _odd_text():
+    k = F.col("o_orderkey") % 5
+    return F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, 'a, "b"').otherwise(F.col("o_orderpriority"))
+
+
+_ROUND_TRIP = """SELECT o_orderkey, o_totalprice, o_orderstatus,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'a, "b"' ELSE o_orderpriority END AS note FROM orders"""
+
+
+@register("a1_csv_round_trip", "o_orderkey:i o_totalprice:d o_orderstatus note", _ROUND_TRIP)
+def a1_csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "orders.csv")
+
+
+@register("a2_parquet_round_trip", "o_orderkey:i o_totalprice:d o_orderstatus note", _ROUND_TRIP)
+def a2_parquet_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "orders.parquet", ["o_orderstatus"])
+
+
 def _selected_tests(spark, sf_dir):
     return table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("test_id"))
 

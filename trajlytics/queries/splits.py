@@ -255,9 +255,9 @@ def c16_support_classes(spark, sf_dir):
         WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12))""",
     "q AS (SELECT condition_id, temperature_c AS x, storage_soc_fraction AS y FROM stress)"))
 def c17_convex_hull(spark, sf_dir):
-    stress = stress(spark, sf_dir)
+    profile = stress(spark, sf_dir)
     low = table(spark, sf_dir, "supplier").filter("s_acctbal < 6000").select(F.col("s_suppkey").alias("condition_id"))
-    return S.in_convex_hull(stress, stress.join(low, "condition_id", "left_semi"), "temperature_c", "storage_soc_fraction")
+    return S.in_convex_hull(profile, profile.join(low, "condition_id", "left_semi"), "temperature_c", "storage_soc_fraction")
 
 
 _SLICE = ["""ref AS (SELECT temperature_c AS t, storage_soc_fraction AS s, checkup_index AS i, AVG(capacity_retention_pct) AS v

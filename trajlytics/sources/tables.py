@@ -13,8 +13,13 @@ from trajlytics.plans.joins import join_report
 from trajlytics.plans.scan import running
 
 
+#: What the CSV parser puts in the place of an empty field; no text of one control character is read as data.
+NO_VALUE = "\x01"
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV or Parquet by suffix. CSV needs a schema so that no inference pass reads the data."""
+    """CSV or Parquet by suffix. CSV needs a schema so that no inference pass reads the data; an empty field is null, a quoted
+    empty one is an empty text."""
     lowered = path.rstrip("/").lower()
     if lowered.endswith(".parquet"):
         reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -22,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if lowered.endswith((".csv", ".csv.gz")):
         if schema is None:
             raise ValueError("a CSV table needs an explicit schema")
-        return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("nullValue", NO_VALUE).csv(path)
     raise ValueError(f"unsupported table suffix: {path}")
 
 
