@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlytics.functions.columns import clip, is_finite
+from trajlytics.functions.columns import attach_one_row, clip, div, is_finite
 from trajlytics.plans.scan import order_statistics
 
 Z95 = 1.959963984540054
@@ -160,6 +160,33 @@ def evaluate_group_interval(df: DataFrame, by: Sequence[str], group: str, truth:
     return agg.select(*by, "n_groups", "n_rows", "n_covered", cov.alias("coverage"), (cov - nominal).alias("coverage_error"), lo.alias("ci_lower"), hi.alias("ci_upper"))
 
 
+def radius_evaluation(pred: DataFrame, *, split: str, calibration: str, train: str | None, group: str, truth: str, median: str, censored: str, coverage: float) -> DataFrame:
+    """Log radii from the calibration split, of rows and of the worst row of each group, and how they do on every other split:
+    row and whole-group coverage and width of [median / e^r, median e^r].
+
+    One row per radius kind and evaluated split. A radius that the calibration split cannot give leaves coverage and width null
+    and says why; censored rows are counted and take no part.
+    """
+    scores = log_scores(pred.filter(F.col(split) == calibration), truth, median, censored).withColumn("_all", F.lit(0))
+    rows = conformal_radius(scores, ["_all"], coverage).withColumn("kind", F.lit("row"))
+    groups = group_max_radius(scores, ["_all"], group, coverage).withColumn("kind", F.lit("group_max"))
+    radii = rows.unionByName(groups).agg(F.collect_list(F.struct("kind", "radius", "n_calibration", "status")).alias("_radii"))  # two rows
+    rest = pred.filter((F.col(split) != calibration) & (F.col(split) != train if train is not None else F.lit(True)))
+    tried = attach_one_row(rest, radii).withColumn("_r", F.explode("_radii")).withColumns({"kind": F.col("_r.kind"), "_up": F.exp(F.col("_r.radius"))})
+    tried = tried.withColumns({"_lo": F.col(median) / F.col("_up"), "_hi": F.col(median) * F.col("_up"), "radius": F.col("_r.radius"), "n_calibration": F.col("_r.n_calibration"), "status": F.col("_r.status")})
+    keys = ["kind", split, "radius", "n_calibration", "status"]
+    seen, known = ~F.col(censored), F.col("radius").isNotNull()
+    inside = F.col(truth).between(F.col("_lo"), F.col("_hi"))
+    per = tried.groupBy(*keys, group).agg(
+        F.count(F.when(seen, 1)).alias("_n"), F.count(F.when(~seen, 1)).alias("_c"), F.count(F.when(seen & inside, 1)).alias("_k"), F.sum(F.when(seen, F.col("_hi") - F.col("_lo"))).alias("_w"))
+    agg = per.groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.sum("_c").alias("n_censored"), F.sum("_k").alias("_covered"), F.sum("_w").alias("_width"),
+        F.count(F.when(F.col("_n") > 0, 1)).alias("n_groups"), F.count(F.when((F.col("_n") > 0) & (F.col("_k") == F.col("_n")), 1)).alias("_whole"))
+    value = lambda c: F.when(known, c)
+    return agg.select(*keys, "n_rows", "n_censored", "n_groups", value(div("_covered", "n_rows")).alias("coverage"), value(div("_width", "n_rows")).alias("mean_width"),
+                      value(div("_whole", "n_groups")).alias("group_coverage"))
+
+
 def beta_cdf(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

@@ -81,6 +81,29 @@ def f5_probabilistic_experiment(spark, sf_dir):
     return joined
 
 
+_RADII = """ls AS (SELECT cell_id, ABS(LN(truth) - LN(p50)) AS score FROM quantile_rows WHERE route = 'A' AND NOT is_censored),
+    sc AS (SELECT 'row' AS kind, score FROM ls UNION ALL SELECT 'group_max', MAX(score) FROM ls GROUP BY cell_id),
+    rd AS (SELECT kind, COUNT(*) AS n, (LIST(score ORDER BY score))[CAST(CEIL((COUNT(*) + 1) * 0.8e0) AS BIGINT)] AS r FROM sc GROUP BY 1),
+    cv AS (SELECT kind, route, r, n, cell_id, COUNT(*) FILTER (WHERE NOT is_censored) AS m, COUNT(*) FILTER (WHERE is_censored) AS c, COUNT(*) FILTER (WHERE NOT is_censored AND truth BETWEEN p50 / EXP(r) AND p50 * EXP(r)) AS k,
+      SUM(p50 * EXP(r) - p50 / EXP(r)) FILTER (WHERE NOT is_censored) AS w FROM quantile_rows, rd WHERE route <> 'A' GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@register("f5_interval_evaluation", "kind route n_calibration:i radius:d status n_rows:i n_censored:i n_groups:i coverage:d mean_width:d3 group_coverage:d", with_ctes("quant", """
+    SELECT kind, route, n AS n_calibration, r AS radius, 'finite_order_statistic' AS status, SUM(m) AS n_rows, SUM(c) AS n_censored, COUNT(*) FILTER (WHERE m > 0) AS n_groups, SUM(k) / SUM(m) AS coverage, SUM(w) / SUM(m) AS mean_width,
+      COUNT(*) FILTER (WHERE m > 0 AND k = m) / COUNT(*) FILTER (WHERE m > 0) AS group_coverage FROM cv GROUP BY 1, 2, 3, 4""", _RADII))
+def f5_interval_evaluation(spark, sf_dir):
+    """Radii of one route's rows, judged on the other routes: predictions that SQL can recompute."""
+    return H.radius_evaluation(A.quantile_rows(spark, sf_dir), split="route", calibration="A", train=None, group="cell_id", truth="truth", median="p50", censored="is_censored", coverage=0.8)
+
+
+@register("f5_experiment_intervals", "kind split n_calibration:i radius:d4 status n_rows:i n_censored:i n_groups:i coverage:d4 mean_width:d2 group_coverage:d4")
+def f5_experiment_intervals(spark, sf_dir):
+    """The interval half of the probabilistic experiment: radii of the validation groups on the test groups."""
+    df = cut_lineage(S.stable_group_split(cells(spark, sf_dir), ["protocol_id"]))
+    m = M.fit_aft(df.filter("split = 'train'"), FEATURES, "cycle_life", "is_censored", models={"m": (None, 1e-4)})["m"]
+    return H.radius_evaluation(M.predict_aft(df, m), split="split", calibration="validation", train="train", group="protocol_id", truth="cycle_life", median="p50", censored="is_censored", coverage=0.8)
+
+
 _OFF = """rs AS (SELECT c_mktsegment, c_custkey, y - 6.8e0 AS r FROM cu),
     rr AS (SELECT c_mktsegment, rep, c_custkey, r, ROW_NUMBER() OVER (PARTITION BY c_mktsegment, rep ORDER BY sha256(concat_ws('|', 11, c_mktsegment, rep, c_custkey)), c_custkey) AS rk FROM rs, range(4) AS t(rep))"""
 
