@@ -299,7 +299,8 @@ def find_items(
 
 def clean_documents(docs: DataFrame, items: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, in which no item is found. Rows that share a doc_id are told apart by a
-    hash of their text."""
+    hash of their text. Null and empty texts hold nothing and stay; repeated rows stay or go together; with no items all rows
+    stay, and an empty table gives no rows."""
     columns = docs.columns
     inside = docs.select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(columns)], F.xxhash64(docs[id_col], docs[text_col]).alias("__key"))
     keyed = inside.select(F.col("__key").alias("doc_id"), F.col(f"__c{columns.index(text_col)}").alias("text"))

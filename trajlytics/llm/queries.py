@@ -1,4 +1,7 @@
-"""Registered queries: each runs one operator with production parameters over its whole table."""
+"""Registered queries: each runs one operator with production parameters over its whole table.
+
+What null ids and texts, empty and long texts, ties, repeated rows and empty tables give is stated by the operator that a query
+calls; a query adds no rule of its own, and reads no column but those that its operator names."""
 
 from __future__ import annotations
 
