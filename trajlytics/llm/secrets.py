@@ -213,7 +213,9 @@ def candidates(docs: DataFrame, words: list[str], key: Column, id_col: str = "do
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row_key, doc_id, text, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            small = [batch.column(k).to_pylist() for k in (0, 1, 3)]
+            for row_key, doc_id, path, text in zip(*small, batch.column(2), strict=True):  # one text at a time
+                text = text.as_py()
                 if not text or not has_candidates(text):
                     continue
                 for start, end in spans(text):

@@ -198,9 +198,9 @@ def beside_least(pairs: DataFrame, least: DataFrame, n_pairs: int, hub: int = HU
     """pairs (a, b) with the row of least (n, m, n_links) of their a. The pairs of a hub are dealt over as many places as it
     has times the bound, and its one row of least is copied to each."""
     bound = max(hub, n_pairs // HUB_SHARE)
-    hubs = staged(least.where(F.col("n_links") > bound).select(F.col("n").alias("hub"), F.ceil(F.col("n_links") / bound).cast("int").alias("places")), "hubs")
-    if hubs.isEmpty():
+    if (least.agg(F.max("n_links")).first()[0] or 0) <= bound:
         return pairs.join(least, F.col("a") == F.col("n"))
+    hubs = staged(least.where(F.col("n_links") > bound).select(F.col("n").alias("hub"), F.ceil(F.col("n_links") / bound).cast("int").alias("places")), "hubs")
     known = F.broadcast(hubs)
     dealt = pairs.join(known, F.col("a") == F.col("hub"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("places")), F.lit(0)).cast("int").alias("place"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("places"), F.lit(1)) - 1))
