@@ -75,3 +75,17 @@ def test_visited_rows_grow_with_the_rows_not_their_square(spark):
         _, df = frame(spark, n, dims=2)
         moved.append(shuffled_rows(knn.knn_join(df.selectExpr("id AS query_id", "vec"), df.selectExpr("id AS ref_id", "vec"), 3, block=64)))
     assert moved[1] <= 4 * 1.6 * moved[0]
+
+
+def test_asked_rows_get_the_neighbours_of_the_whole_run(spark):
+    """Restricting the queries changes neither the scales nor the references."""
+    from trajlytics.operators.neighbors import nearest_std_loo
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "entity_id bigint, features array<double>")
+    whole = nearest_std_loo(df, "entity_id", "features", 4, 3)
+    asked = nearest_std_loo(df, "entity_id", "features", 4, 3, asked=F.col("entity_id") % 20 == 0)
+    want = sorted(tuple(r) for r in whole.filter("query_id % 20 = 0").select("query_id", "rank", "ref_id", "distance").collect())
+    assert len(want) == 18
+    assert sorted(tuple(r) for r in asked.select("query_id", "rank", "ref_id", "distance").collect()) == want
