@@ -72,3 +72,17 @@ def test_draws_of_packed_groups_are_not_shuffled(spark):
     packed = shuffled_rows(R.bootstrap_sums(df, ["g"], "id", ["d"], replicates=50, seed="s"))
     joined = shuffled_rows(R.bootstrap_sums(df, ["g"], "id", ["d"], replicates=50, seed="s", packed_units=10))
     assert packed <= 3000 + 3 * R.REPLICATE_BLOCKS < joined
+
+
+def test_random_rankings_shuffle_only_the_range_of_the_quota(spark):
+    import hashlib
+
+    from trajlytics.operators import selective as Q
+
+    pool = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("tie"), (F.col("id") % 7 == 0).alias("bad"))
+    df = Q.random_rankings(pool, tie="tie", catastrophic="bad", issue_count=300, rankings=3, seed="s")
+    assert shuffled_rows(df) < 2000  # 60,000 when every ranking was shuffled
+    rows = [(r["tie"], r["bad"]) for r in pool.collect()]
+    for r in df.collect():
+        order = sorted((hashlib.sha256(f"s|{r['ranking_index']}|{t}".encode()).hexdigest(), t, b) for t, b in rows)[:300]
+        assert r["n_issued"] == 300 and abs(r["issued_rate"] - sum(b for _, _, b in order) / 300) < 1e-12

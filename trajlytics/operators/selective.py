@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import attach_one_row, div, hash_text, is_finite
 from trajlytics.operators.scoring import average_ranks
-from trajlytics.plans.scan import cut_bucket, cut_points, grouped_rank, hash_bucket, running
+from trajlytics.plans.scan import cut_bucket, cut_points, hash_bucket, running
+from trajlytics.session import cut_lineage
+
+#: Hexadecimal digits of the hash ranges of a random ranking.
+HASH_DIGITS = 3
 
 
 def rank_by_score(
@@ -97,13 +101,22 @@ def risk_reduction(pool: DataFrame, by: Sequence[str], *, eligible: str, issued:
 def random_rankings(pool: DataFrame, *, tie: str, catastrophic: str, issue_count: int, rankings: int, seed: str) -> DataFrame:
     """Issue by ``hash(seed | i | content)`` for i < rankings: catastrophic rate and risk reduction.
 
-    Each ranking is spread over 256 hash ranges, and only ranges up to the quota are summed.
+    Rows are counted per ranking and hash range; ranges wholly inside the quota are summed from the counts, and only the rows
+    of the range that the quota ends in are ranked, so no ranking is ever shuffled.
     """
     drawn = pool.select(tie, catastrophic).withColumn("ranking_index", F.explode(F.sequence(F.lit(0), F.lit(rankings - 1)))).withColumn(
-        "_h", hash_text(seed, F.col("ranking_index").cast("string"), F.col(tie)))
-    ranked = grouped_rank(drawn, ["ranking_index"], hash_bucket("_h"), ["_h", tie], "_r")
-    rate = ranked.filter(F.col("_r") <= issue_count).groupBy("ranking_index").agg(
-        F.count(F.lit(1)).alias("n_issued"), F.avg(F.col(catastrophic).cast("double")).alias("issued_rate"))
+        "_h", hash_text(seed, F.col("ranking_index").cast("string"), F.col(tie))).withColumn("_range", hash_bucket("_h", HASH_DIGITS))
+    c = F.col(catastrophic).cast("double")
+    ranges = drawn.groupBy("ranking_index", "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(c).alias("_c"), F.count(c).alias("_k"))
+    before = Window.partitionBy("ranking_index").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 ranges at most
+    ranges = cut_lineage(ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < issue_count))
+    full = F.col("_before") + F.col("_n") <= issue_count
+    inside = ranges.filter(full).select("ranking_index", "_n", "_c", "_k")
+    edge = ranges.filter(~full).select("ranking_index", "_range", (F.lit(issue_count) - F.col("_before")).alias("_left"))  # a row a ranking
+    order = Window.partitionBy("ranking_index").orderBy("_h", tie)
+    last = drawn.join(F.broadcast(edge), ["ranking_index", "_range"]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_left"))
+    rest = last.select("ranking_index", F.lit(1).cast("bigint").alias("_n"), c.alias("_c"), c.isNotNull().cast("bigint").alias("_k"))
+    rate = inside.unionByName(rest).groupBy("ranking_index").agg(F.sum("_n").alias("n_issued"), div(F.sum("_c"), F.sum("_k")).alias("issued_rate"))
     expected = pool.agg(F.avg(F.col(catastrophic).cast("double")).alias("expected_rate"))
     return attach_one_row(rate, expected).withColumn("risk_reduction", 1.0 - div("issued_rate", "expected_rate"))
 
