@@ -7,6 +7,7 @@ The loss is squared error, or soft-L1 by reweighted rounds (`robust_power_law`).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,16 @@ def pack_prefix(prefix: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select(*keys, F.transform("_p", lambda p: p["t"]).alias("_t"), F.transform("_p", lambda p: p["y"]).alias("_y"))
 
 
+#: Trajectories of one partition while each is fitted under every structure, which turns one short row into dozens.
+LIBRARY_KEYS = 512
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Written rows, those of about LIBRARY_KEYS keys to a partition: sizes in bytes do not tell how many rows they become."""
+    n = df.select(*keys).distinct().count()
+    return df.repartition(max(1, math.ceil(n / LIBRARY_KEYS)), *keys)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -110,12 +121,13 @@ def _bases(model: Column, p1: Column, p2: Column, p3: Column, t: Column) -> tupl
 def structure_library(prefix: DataFrame, keys: Sequence[str], forecast_days: Sequence[float], *, grid: Sequence[tuple] | None = None) -> DataFrame:
     """Every structure fitted to every prefix: RMSE, largest residual and the forecast array.
 
-    After the prefix points are packed (one shuffle) each (trajectory, grid point) is a row-local
+    After the prefix points are packed and dealt out by their number each (trajectory, grid point) is a row-local
     computation; only the choice of the best grid point per family groups again.
     """
     keys = list(keys)
     entries = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(v).alias("v"), F.lit(float(a)).alias("p1"), F.lit(float(b)).alias("p2"), F.lit(float(c)).alias("p3")) for m, v, a, b, c in (grid or structure_grid())])
-    rows = pack_prefix(prefix, keys).select(*keys, "_t", "_y", F.explode(entries).alias("g")).select("*", F.col("g.m").alias("model_id"), F.col("g.v").alias("variant_id"), "g.p1", "g.p2", "g.p3").drop("g")
+    packed = dealt(cut_lineage(pack_prefix(prefix, keys)), keys)
+    rows = packed.select(*keys, "_t", "_y", F.explode(entries).alias("g")).select("*", F.col("g.m").alias("model_id"), F.col("g.v").alias("variant_id"), "g.p1", "g.p2", "g.p3").drop("g")
     at = lambda i: (lambda t: _bases(F.col("model_id"), F.col("p1"), F.col("p2"), F.col("p3"), t)[i])
     rows = rows.withColumns({"_f": F.transform("_t", at(0)), "_h": F.transform("_t", at(1)), "_o": F.transform("_t", at(2))})
     rows = rows.withColumn("_r", F.zip_with("_y", "_o", lambda y, o: y - o))
@@ -132,14 +144,14 @@ def structure_library(prefix: DataFrame, keys: Sequence[str], forecast_days: Seq
     rest = [c for c in fit.columns if c not in (*keys, "model_id", "_slot")]
     # errors equal to nine decimals are ties, decided by the variant name
     best = fit.groupBy(*keys, "model_id", "_slot").agg(F.min(F.struct(F.round("prefix_rmse_pp", 9), "variant_id", "prefix_rmse_pp", *[c for c in rest if c not in ("prefix_rmse_pp", "variant_id")])).alias("m"))
-    simple = _simple_members(prefix, keys, forecast_days)
+    simple = _simple_members(packed, keys, forecast_days)
     return best.select(*keys, "model_id", *[F.col(f"m.{c}").alias(c) for c in rest]).unionByName(simple)
 
 
-def _simple_members(prefix: DataFrame, keys: list[str], forecast_days: Sequence[float]) -> DataFrame:
+def _simple_members(packed: DataFrame, keys: list[str], forecast_days: Sequence[float]) -> DataFrame:
     """Persistence and bounded square-root members in the same shape."""
     days = F.array(*[F.lit(float(d)) for d in forecast_days])
-    packed = pack_prefix(prefix, keys).withColumn("_sq", F.transform("_t", lambda t: F.sqrt(t)))
+    packed = packed.withColumn("_sq", F.transform("_t", lambda t: F.sqrt(t)))
     packed = packed.withColumns({"_last": F.element_at("_y", -1), "_k": clip(F.coalesce(div(_dot("_sq", "_y"), _dot("_sq", "_sq")), F.lit(0.0)), 0.0, 5.0)})
     members = F.array(
         F.struct(F.lit("persistence").alias("m"), F.col("_last").alias("c"), F.transform("_t", lambda t: F.col("_last")).alias("p"), F.transform(days, lambda d: 100.0 - F.col("_last")).alias("f")),

@@ -1,17 +1,18 @@
 """Structure-library aggregation (survey rows D14, E30-E33).
 
 All groups here are the members of one trajectory at one horizon: at most the size of the declared
-structure registry, so medians and weight windows are over a bounded number of rows.
+structure registry. They are gathered in one short array and judged there; coordinates never become rows that an aggregate holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import clip, div, is_finite
+from trajlytics.operators.features import array_median
 
 
 def credible_members(fits: DataFrame, keys: Sequence[str], *, rmse_slack: float, residual_cap: float, bounds: tuple[float, float]) -> DataFrame:
@@ -38,13 +39,21 @@ def credible_forecast(fits: DataFrame, keys: Sequence[str], days: Sequence[float
                     F.coalesce("_lo", "_fb").alias("envelope_lower"), F.coalesce("_hi", "_fb").alias("envelope_upper"), (~enough).alias("fallback_used"))
 
 
+def _at_each(vectors: Column, value: Callable[[Column], Column]) -> Column:
+    """``value(i)`` of every coordinate i of a list of equally long vectors, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(vectors, F.lit(0))) - 1), value)
+
+
+def _coordinate_medians(vectors: Column) -> Column:
+    return _at_each(vectors, lambda i: array_median(F.array_compact(F.transform(vectors, lambda v: F.get(v, i)))))
+
+
 def signature_representatives(members: DataFrame, keys: Sequence[str], vector: str = "forecast", *, step: float = 0.25) -> DataFrame:
     """Exact duplicates collapsed, then half-even signatures grouped; representative = coordinate median."""
     keys = list(keys)
     sig = members.select(*keys, vector).distinct().withColumn("signature", F.transform(vector, lambda v: F.bround(v / step).cast("bigint")))
-    long = sig.select(*keys, "signature", F.posexplode(vector).alias("_i", "_v"))
-    med = long.groupBy(*keys, "signature", "_i").agg(F.median("_v").alias("_v"))
-    return med.groupBy(*keys, "signature").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(vector))
+    packed = sig.groupBy(*keys, "signature").agg(F.collect_list(vector).alias("_vs"))
+    return packed.select(*keys, "signature", _coordinate_medians(F.col("_vs")).alias(vector))
 
 
 def family_balanced_support(fits: DataFrame, keys: Sequence[str], vector: str = "forecast") -> DataFrame:
@@ -60,13 +69,22 @@ def family_balanced_support(fits: DataFrame, keys: Sequence[str], vector: str =
 
 def weighted_quantiles(support: DataFrame, keys: Sequence[str], probabilities: dict[str, float], vector: str = "forecast", weight: str = "weight") -> DataFrame:
     """Inverted-CDF weighted quantile per coordinate: first value whose cumulative weight reaches p W."""
-    keys = list(keys)
-    long = support.select(*keys, weight, F.col(vector).alias("_vec"), F.posexplode(vector).alias("coordinate", "_v"))
-    w = Window.partitionBy(*keys, "coordinate").orderBy("_v", "_vec").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy(*keys, "coordinate"))
-    cum = long.withColumns({"_c": F.sum(weight).over(w), "_w": total})
-    # cumulative sums of equal shares meet p W exactly only up to rounding
-    return cum.groupBy(*keys, "coordinate").agg(*[F.coalesce(F.min(F.when(F.col("_c") >= F.lit(p) * F.col("_w") - 1e-12, F.col("_v"))), F.max("_v")).alias(n) for n, p in probabilities.items()])
+    keys, names = list(keys), list(probabilities)
+    packed = support.groupBy(*keys).agg(F.collect_list(F.struct(F.col(vector).alias("v"), F.col(weight).cast("double").alias("w"))).alias("_s"))
+    packed = packed.withColumn("_w", F.aggregate("_s", F.lit(0.0), lambda s, m: s + m["w"]))
+    start = F.struct(F.lit(0.0).alias("c"), *[F.lit(None).cast("double").alias(n) for n in names])
+
+    def step(found: Column, member: Column) -> Column:
+        c = found["c"] + member["w"]
+        # cumulative sums of equal shares meet p W exactly only up to rounding
+        return F.struct(c.alias("c"), *[F.coalesce(found[n], F.when(c >= F.lit(p) * F.col("_w") - 1e-12, member["x"])).alias(n) for n, p in probabilities.items()])
+
+    def quantiles(i: Column) -> Column:
+        ordered = F.array_sort(F.transform("_s", lambda m: F.struct(F.get(m["v"], i).alias("x"), m["v"].alias("v"), m["w"].alias("w"))))
+        return F.aggregate(ordered, start, step, lambda found: F.struct(*[F.coalesce(found[n], F.element_at(ordered, -1)["x"]).alias(n) for n in names]))
+
+    each = _at_each(F.transform("_s", lambda m: m["v"]), quantiles)
+    return packed.select(*keys, F.posexplode(each).alias("coordinate", "_q")).select(*keys, "coordinate", *[F.col("_q")[n].alias(n) for n in names])
 
 
 def library_forecast(fits: DataFrame, keys: Sequence[str], baseline: DataFrame) -> DataFrame:
@@ -77,8 +95,7 @@ def library_forecast(fits: DataFrame, keys: Sequence[str], baseline: DataFrame)
     fam = weighted_quantiles(fam_sigs, [*keys, "model_id"], {"_q": 0.5})
     vec = fam.groupBy(*keys, "model_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("coordinate", "_q"))), lambda s: s["_q"]).alias("forecast"))
     reps = signature_representatives(vec, keys)
-    lib = reps.select(*keys, F.posexplode("forecast").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.median("_v").alias("_v")).groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("_lib"))
+    lib = reps.groupBy(*keys).agg(F.collect_list("forecast").alias("_vs")).select(*keys, _coordinate_medians(F.col("_vs")).alias("_lib"))
     n = vec.groupBy(*keys).agg(F.count(F.lit(1)).alias("families"))
     j = baseline.join(n, keys, "left").join(lib, keys, "left").withColumn("families", F.coalesce("families", F.lit(0)))
     enough = F.col("families") >= 2

@@ -11,6 +11,7 @@ from trajlytics.operators import scoring as G
 from trajlytics.queries import packs as P
 from trajlytics.queries.closed_form import nnls_sql
 from trajlytics.queries.registry import register
+from trajlytics.session import cut_lineage
 from trajlytics.sources import adapters as A
 from trajlytics.sources.adapters import with_ctes
 
@@ -142,8 +143,17 @@ def library(spark, sf_dir):
     return pre, Y.structure_library(pre, ["condition_id"], DAYS)
 
 
+def members_of(fits):
+    return L.credible_members(fits, ["condition_id"], rmse_slack=0.05, residual_cap=0.5, bounds=(50.0, 110.0))
+
+
+def written_members(fits):
+    """Credibility of every member, written once and dealt by the number of trajectories, as every feature reads it."""
+    return Y.dealt(cut_lineage(members_of(fits)), ["condition_id"])
+
+
 def credible(spark, sf_dir):
-    return L.credible_members(library(spark, sf_dir)[1], ["condition_id"], rmse_slack=0.05, residual_cap=0.5, bounds=(50.0, 110.0))
+    return members_of(library(spark, sf_dir)[1])
 
 
 @register("e11_structure_library", "condition_id:i model_id variant_id c1:d5 c2:d5 prefix_rmse_pp:d5 max_abs_residual_pp:d5 day:d forecast_pct:d4", with_ctes("cal", f"""
@@ -169,14 +179,14 @@ _SIGS = """vc AS (SELECT condition_id, model_id, variant_id, LIST(ROUND(f, 6) OR
     wt AS (SELECT *, 1.0e0 / (COUNT(DISTINCT model_id) OVER (PARTITION BY condition_id, i) * COUNT(*) OVER (PARTITION BY condition_id, i, model_id)) AS w FROM rp)"""
 
 
-def rounded_credible(spark, sf_dir):
-    return credible(spark, sf_dir).filter("credible_variant").withColumn("forecast", F.transform("forecast", lambda v: F.round(v, 6)))
+def rounded_credible(members):
+    return members.filter("credible_variant").withColumn("forecast", F.transform("forecast", lambda v: F.round(v, 6)))
 
 
 @register("e31_family_balanced_support", "condition_id:i model_id signature_text coordinate:i representative:d4 weight:d", with_ctes("cal", """
     SELECT condition_id, model_id, array_to_string(sig, ',') AS signature_text, i AS coordinate, v AS representative, w AS weight FROM wt""", *_LIB, _SIGS))
 def e31_family_balanced_support(spark, sf_dir):
-    s = L.family_balanced_support(rounded_credible(spark, sf_dir), ["condition_id"])
+    s = L.family_balanced_support(rounded_credible(credible(spark, sf_dir)), ["condition_id"])
     return s.select("condition_id", "model_id", "weight", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature_text"), F.posexplode("forecast").alias("coordinate", "representative"))
 
 
@@ -186,7 +196,7 @@ _WQ = """wq AS (SELECT condition_id, i, MIN(v) FILTER (WHERE c >= 0.1 * t - 1e-1
 
 @register("e32_weighted_quantiles", "condition_id:i coordinate:i q10:d4 q50:d4 q90:d4", with_ctes("cal", "SELECT condition_id, i AS coordinate, q10, q50, q90 FROM wq", *_LIB, _SIGS, _WQ))
 def e32_weighted_quantiles(spark, sf_dir):
-    s = L.family_balanced_support(rounded_credible(spark, sf_dir), ["condition_id"])
+    s = L.family_balanced_support(rounded_credible(credible(spark, sf_dir)), ["condition_id"])
     return L.weighted_quantiles(s, ["condition_id"], {"q10": 0.1, "q50": 0.5, "q90": 0.9})
 
 
@@ -199,15 +209,15 @@ _LF = """fq AS (SELECT condition_id, model_id, i, MIN(v) FILTER (WHERE c >= 0.5
       LEFT JOIN nf USING (condition_id) LEFT JOIN ll ON ll.condition_id = s.condition_id AND ll.i = s.i)"""
 
 
-def library_forecasts(spark, sf_dir):
-    fits = rounded_credible(spark, sf_dir)
-    base = library(spark, sf_dir)[1].filter("model_id = 'sqrt_time'").select("condition_id", F.col("forecast").alias("sqrt_forecast"))
+def library_forecasts(members):
+    fits = rounded_credible(members)
+    base = members.filter("model_id = 'sqrt_time'").select("condition_id", F.col("forecast").alias("sqrt_forecast"))
     return L.library_forecast(fits, ["condition_id"], base)
 
 
 @register("e33_library_forecast", "condition_id:i coordinate:i families:i sqrt_value:d4 library_value:d4", with_ctes("cal", "SELECT condition_id, i AS coordinate, families, sqrt_value, library_value FROM lf", *_LIB, _SIGS, _LF))
 def e33_library_forecast(spark, sf_dir):
-    return library_forecasts(spark, sf_dir).select("condition_id", "families", F.posexplode(F.arrays_zip("sqrt_forecast", "library_forecast")).alias("coordinate", "z")).select(
+    return library_forecasts(written_members(library(spark, sf_dir)[1])).select("condition_id", "families", F.posexplode(F.arrays_zip("sqrt_forecast", "library_forecast")).alias("coordinate", "z")).select(
         "*", F.col("z.sqrt_forecast").alias("sqrt_value"), F.col("z.library_forecast").alias("library_value"))
 
 
@@ -219,18 +229,19 @@ _TRUTH = """tr AS (SELECT condition_id, i, 1e2 - k * SQRT(d) AS tv FROM (SELECT
 def e33_blend_beta(spark, sf_dir):
     from trajlytics.operators.closed_form import sqrt_rate
     truth = sqrt_rate(A.calendar_obs(spark, sf_dir), ["condition_id"]).select("condition_id", F.transform(F.array(*[F.lit(d) for d in DAYS]), lambda d: 100.0 - F.col("k") * F.sqrt(d)).alias("truth"))
-    return L.blend_beta(library_forecasts(spark, sf_dir), truth, ["condition_id"])
+    return L.blend_beta(library_forecasts(written_members(library(spark, sf_dir)[1])), truth, ["condition_id"])
 
 
 @register("d14_prefix_risk_features", """condition_id:i successful_families:d failed_families:d best_prefix_rmse:d4 width_end:d3 mean_iqr:d3 effective_shapes:d boundary_hit_fraction:d leave_last_out_error:d4 center_end:d3
     center_minus_sqrt_end:d3 recent_loss:d4 early_loss:d4 slope_change:d3 width_growth:d3""")
 def d14_prefix_risk_features(spark, sf_dir):
-    pre = A.calendar_obs(spark, sf_dir).filter(F.col("checkup_index") < LANDMARK)
-    center = L.blended_center(library_forecasts(spark, sf_dir), F.lit(0.5)).select("condition_id", "sqrt_forecast", "center_forecast")
+    pre = cut_lineage(A.calendar_obs(spark, sf_dir).filter(F.col("checkup_index") < LANDMARK))
+    members = written_members(Y.structure_library(pre, ["condition_id"], DAYS))
+    center = L.blended_center(library_forecasts(members), F.lit(0.5)).select("condition_id", "sqrt_forecast", "center_forecast")
     last = pre.groupBy("condition_id").agg(F.max("elapsed_days").alias("_m"))
     scaled = pre.join(last, "condition_id").withColumn("elapsed_days", F.when(F.col("elapsed_days") == F.col("_m"), F.lit(1000.0)).otherwise(F.col("elapsed_days")))
     leave = X.leave_last_out_sqrt_error(scaled, ["condition_id"], fit_until=999.0, score_at=1000.0)
-    return L.prefix_risk_features(rounded_credible(spark, sf_dir), center, Y.pack_prefix(pre, ["condition_id"]), leave, ["condition_id"], declared_families=6)
+    return L.prefix_risk_features(rounded_credible(members), center, Y.pack_prefix(pre, ["condition_id"]), leave, ["condition_id"], declared_families=6)
 
 
 __all__ = ["G"]
