@@ -13,3 +13,9 @@ def test_structure_fits_are_dealt_by_the_number_of_trajectories(spark):
     held = fits.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("k").alias("n"))
     assert held.agg(F.max("n")).first()[0] < 1.5 * Y.LIBRARY_KEYS
     assert fits.select("k").distinct().count() == n
+
+
+def test_neighbour_queries_read_the_cycles_once(spark, sf_dir):
+    from trajlytics.queries import catalog
+    plan = catalog.callables()["e29_evidence_bands"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "l_suppkey" not in plan

@@ -13,9 +13,12 @@ RET = """ret AS (SELECT c.*, 1e2 * discharge_capacity_ah / m AS retention, 99e-2
     FROM cycles c JOIN (SELECT cell_id, MEDIAN(discharge_capacity_ah) AS m FROM cycles WHERE cycle_index BETWEEN 1 AND 5 GROUP BY 1 HAVING COUNT(*) = 5) USING (cell_id))"""
 
 
+def normalised(cycles):
+    return X.with_retention(cycles).withColumn("energy_efficiency", F.expr("99e-2 - 1e-5 * cycle_index - temperature_avg_c / 1e4"))
+
+
 def retention(spark, sf_dir):
-    return X.with_retention(A.cycles(spark, sf_dir)).withColumn(
-        "energy_efficiency", F.expr("99e-2 - 1e-5 * cycle_index - temperature_avg_c / 1e4"))
+    return normalised(A.cycles(spark, sf_dir))
 
 
 @register("d1_early_cycle_features", """dataset_id cell_id batch_id protocol_id observed_cycle_count:i capacity_initial_ah:d capacity_cycle_10_ah:d
