@@ -19,3 +19,16 @@ def test_neighbour_queries_read_the_cycles_once(spark, sf_dir):
     from trajlytics.queries import catalog
     plan = catalog.callables()["e29_evidence_bands"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "lineitem" not in plan and "l_suppkey" not in plan
+
+
+def test_quota_is_cut_by_bucket_counts(spark):
+    from trajlytics.operators.resampling import within_quota
+    rows = [(run, i // 5, float(1 + i % 3), None if i == 7 else float(i % 2), i, 13.0 + 20 * run) for run in (0, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "run int, b int, _t double, _c double, i int, _k double").withColumn("_at", F.struct("b"))
+    got = {r["run"]: (r["n"], r["c"], r["v"]) for r in within_quota(df, "run", ["i"]).collect()}
+    for run in (0, 1):
+        left, n, c, v = 13.0 + 20 * run, 0.0, 0.0, 0.0
+        for _, _, t, outcome, _, _ in (r for r in rows if r[0] == run):
+            take = min(t, left)
+            left, n, c, v = left - take, n + take, c + take * (outcome or 0.0), v + (take if outcome is not None else 0.0)
+        assert got[run] == (n, c, v)

@@ -13,7 +13,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import attach_one_row, div, hash_draw, hash_text, is_finite
@@ -33,16 +33,18 @@ def indexed_units(units: DataFrame, group: Sequence[str], unit: str, seed: str =
     return ranked.withColumn("_i", F.col("_i") - 1).drop("_h")
 
 
-def draws(units: DataFrame, group: Sequence[str], replicates: int, seed: str) -> DataFrame:
-    """(group, replicate, index, times): how often each unit of the group is drawn per replicate.
-
-    Every unit index is also one slot of its group, so the slots need no separate table.
-    """
+def drawn_slots(units: DataFrame, group: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, index) of every draw. Every unit index is also one slot of its group, so the slots need no separate table."""
     group = list(group)
     slots = units.select(*group, F.col("_i").alias("_slot"), "_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     tag = [F.col(g).cast("string") for g in group]
     picked = slots.withColumn("_i", hash_draw(F.col("_n"), seed, F.col("replicate").cast("string"), F.col("_slot").cast("string"), *tag))
-    return picked.groupBy(*group, "replicate", "_i").agg(F.count(F.lit(1)).alias("times"))
+    return picked.select(*group, "replicate", "_i")
+
+
+def draws(units: DataFrame, group: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, index, times): how often each unit of the group is drawn per replicate."""
+    return drawn_slots(units, group, replicates, seed).groupBy(*group, "replicate", "_i").agg(F.count(F.lit(1)).alias("times"))
 
 
 #: Groups of up to so many units travel as one array per block of replicates; larger ones by joins of unit and draw.
@@ -127,26 +129,56 @@ def group_bootstrap_metrics(df: DataFrame, group: str, truth: str, predicted: st
     return joined.select("n_groups", *[c for m in ("mae", "rmse", "mape_pct") for c in (F.col(m), F.col(f"_{m}")[0].alias(f"{m}_lower"), F.col(f"_{m}")[1].alias(f"{m}_upper"))])
 
 
+def within_quota(rows: DataFrame, run: str, order: Sequence[str]) -> DataFrame:
+    """Per run: copies (n), catastrophic copies (c) and copies with a known outcome (v) inside its quota along ``order``.
+
+    rows: run, ``_at`` (bucket of the order), ``_t`` (copies), ``_c`` (outcome), ``_k`` (quota of the run). Copies are counted per
+    bucket; buckets wholly inside the quota are summed from the counts, and only rows of the bucket it ends in are ordered, so
+    no run is ever shuffled.
+    """
+    t, c = F.col("_t"), F.col("_c")
+    sums = lambda copies: [F.sum(copies).alias("n"), F.coalesce(F.sum(copies * c), F.lit(0.0)).alias("c"), F.sum(copies * c.isNotNull().cast("double")).alias("v")]
+    before = Window.partitionBy(run).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(run, "_at").agg(*sums(t), F.max("_k").alias("_k")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    ranges = cut_lineage(ranges.filter(F.col("_before") < F.col("_k")))
+    full = F.col("_before") + F.col("n") <= F.col("_k")
+    edge = ranges.filter(~full).select(run, "_at", (F.col("_k") - F.col("_before")).alias("_left"))  # a row a run
+    so_far = F.sum("_t").over(Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = rows.join(F.broadcast(edge), [run, "_at"]).withColumn("_cum", so_far)
+    taken = F.greatest(F.least(F.col("_left") - (F.col("_cum") - t), t), F.lit(0.0))
+    both = ranges.filter(full).select(run, "n", "c", "v").unionByName(last.groupBy(run).agg(*sums(taken)))
+    return both.groupBy(run).agg(*[F.sum(x).alias(x) for x in ("n", "c", "v")])
+
+
 def stratified_rerank_bootstrap(
     pool: DataFrame, *, family: str, unit: str, tie: str, arms: dict[str, str], catastrophic: str, eligible: str, issue_fraction: float, replicates: int, seed: str
 ) -> DataFrame:
     """Stratified bootstrap with a new ranking inside every replicate and arm.
 
-    A drawn unit carries its multiplicity; cumulative multiplicities along the rank decide how many of
-    its copies fall inside the quota, so copies are never written out.
+    A drawn unit carries its multiplicity in every replicate, so copies are never written out and a unit travels once for
+    all replicates, which share one order per arm; ``within_quota`` finds how many of its copies fall inside the quota.
     """
-    cols = list(dict.fromkeys([tie, catastrophic, eligible, *arms.values()]))
-    idx = indexed_units(pool.select(family, unit, *[c for c in cols if c not in (family, unit)]), [family], unit)
-    drawn = null_safe_join(draws(idx, [family], replicates, seed), idx.select(family, "_i", *cols), [family, "_i"]).filter(F.col(eligible))
-    base = drawn.groupBy("replicate").agg(F.sum("times").alias("n_eligible"), (F.sum(F.col("times") * F.col(catastrophic).cast("double")) / F.sum("times")).alias("random_rate")).withColumn(
-        "_k", F.floor(F.col("n_eligible") * F.lit(issue_fraction)))
-    out = base
+    scores = list(dict.fromkeys(arms.values()))
+    cols = list(dict.fromkeys([tie, catastrophic, eligible, *scores]))
+    idx = cut_lineage(indexed_units(pool.select(family, unit, *[c for c in cols if c not in (family, unit)]), [family], unit).select(
+        family, "_i", "_n", *[c for c in cols if c != family]))
+    counts = [F.count(F.when(F.col("replicate") == r, 1)).alias(f"_t{r}") for r in range(replicates)]
+    times = drawn_slots(idx, [family], replicates, seed).groupBy(family, "_i").agg(*counts)
+    met = null_safe_join(times, idx.drop("_n"), [family, "_i"]).filter(F.col(eligible))
+    drawn = cut_lineage(met.select(*scores, *[c for c in (tie,) if c not in scores], F.col(catastrophic).cast("double").alias("_c"), *[f"_t{r}" for r in range(replicates)]))
+    row = drawn.agg(*[F.sum(f"_t{r}").alias(f"n{r}") for r in range(replicates)], *[F.sum(F.col(f"_t{r}") * F.col("_c")).alias(f"c{r}") for r in range(replicates)]).first()
+    n = [row[f"n{r}"] or 0 for r in range(replicates)]  # one short row: sizes and catastrophic copies of the replicates
+    base = pool.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).filter(F.get(F.lit(n), F.col("replicate")) > 0)
+    of = lambda values: F.get(F.lit(values), F.col("replicate"))
+    out = base.withColumns({
+        "n_eligible": of(n).cast("bigint"), "random_rate": of([float(row[f"c{r}"] or 0.0) / n[r] if n[r] else 0.0 for r in range(replicates)]),
+        "_k": of([math.floor(m * issue_fraction) for m in n]).cast("double")})
+    copies = drawn.select(*[c for c in drawn.columns if not c.startswith("_t")], F.posexplode(F.array(*[F.col(f"_t{r}").cast("double") for r in range(replicates)])).alias("replicate", "_t"))
+    copies = copies.filter("_t > 0").withColumn("_k", of([float(math.floor(m * issue_fraction)) for m in n]))
     for arm, score in arms.items():
-        cuts = cut_points(pool, score)
-        cum = running(drawn, ["replicate"], cut_bucket(score, cuts, tie), [score, tie], {"_cum": ("sum", F.col("times").cast("double"))}).join(base.select("replicate", "_k"), "replicate")
-        inside = F.least(F.greatest(F.col("_k") - (F.col("_cum") - F.col("times")), F.lit(0.0)), F.col("times"))
-        rate = cum.groupBy("replicate").agg((F.sum(inside * F.col(catastrophic).cast("double")) / F.max("_k")).alias(f"_rate_{arm}"))
-        out = out.join(rate, "replicate")
+        placed = copies.withColumn("_at", F.struct(*cut_bucket(score, cut_points(pool, score), tie)))
+        inside = within_quota(placed, "replicate", [score, tie]).select("replicate", F.col("c").alias("_inside"))
+        out = out.join(F.broadcast(inside), "replicate", "left").withColumn(f"_rate_{arm}", div(F.coalesce("_inside", F.lit(0.0)), "_k")).drop("_inside")
     defined = (F.col("random_rate") > 0) & (F.col("_k") > 0)
     out = out.withColumn("defined", defined)
     for arm in arms:
