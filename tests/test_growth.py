@@ -32,3 +32,13 @@ def test_quota_is_cut_by_bucket_counts(spark):
             take = min(t, left)
             left, n, c, v = left - take, n + take, c + take * (outcome or 0.0), v + (take if outcome is not None else 0.0)
         assert got[run] == (n, c, v)
+
+
+def _plan(spark, sf_dir, name):
+    from trajlytics.queries import catalog
+    return catalog.callables()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_joint_assignments_join_no_support(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "t10_joint_assignments")
+    assert plan.count("Join ") == 1 and "Join LeftSemi" in plan

@@ -218,7 +218,7 @@ def t10_excluded_protocols(spark, sf_dir):
     FROM (SELECT protocol, draw, CAST('0x' || SUBSTR(sha256(concat_ws('|', 'joint', draw, CAST(protocol AS BIGINT))), 1, 13) AS BIGINT) % 120 AS assignment FROM (SELECT DISTINCT protocol FROM sup), range(50) AS r(draw))
     JOIN sup USING (protocol, assignment) GROUP BY 1""", _T10))
 def t10_joint_assignments(spark, sf_dir):
-    return R.joint_assignments(_support(spark, sf_dir), "protocol", slots=5, draws_=50, seed="joint", minimum_gain=0.05, minimum_protocols=100)
+    return R.joint_assignments(_cells(spark, sf_dir), "protocol", slots=5, prediction="p", outcome="y", null_prediction="z", draws_=50, seed="joint", minimum_gain=0.05, minimum_protocols=100)
 
 
 @register("t11_permutation_control", "permutation:i n_issued:i issued_rate:d pool_rate:d risk_reduction:d", with_ctes("pool", """
