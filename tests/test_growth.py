@@ -42,3 +42,7 @@ def _plan(spark, sf_dir, name):
 def test_joint_assignments_join_no_support(spark, sf_dir):
     plan = _plan(spark, sf_dir, "t10_joint_assignments")
     assert plan.count("Join ") == 1 and "Join LeftSemi" in plan
+
+
+def test_permutations_are_not_ranked_as_rows(spark, sf_dir):
+    assert "o_orderkey" not in _plan(spark, sf_dir, "t11_permutation_control")

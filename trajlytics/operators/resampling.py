@@ -430,17 +430,24 @@ def permutation_control(
     ids = pool.select(family, tie, base_score, catastrophic, *block)
     recipients = grouped_rank(ids, [family], hash_bucket(tie, 3), [tie], "_pos").select(family, "_pos", tie, base_score, catastrophic)
     perm = ids.select(family, tie, *block).withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations_ - 1)))).withColumn(
-        "_h", hash_text(seed, F.col("permutation").cast("string"), F.col(family), F.col(tie)))
-    donors = grouped_rank(perm, [family, "permutation"], hash_bucket("_h", 3), ["_h", tie], "_pos").select(family, "permutation", "_pos", *block)
-    score = F.col(base_score)
-    for b, w in zip(block, weights):
-        score = score + F.lit(float(w)) * F.col(b)
-    joined = donors.join(recipients, [family, "_pos"]).withColumn("score", score)
+        "_h", hash_text(seed, F.col("permutation").cast("string"), F.col(family), F.col(tie))).select(
+        family, "permutation", *block, hash_bucket("_h", 3).alias("_range"), F.unhex("_h").alias("_h"))
+    donors = grouped_rank(perm, [family, "permutation"], F.col("_range"), ["_h"], "_pos").select(family, "permutation", "_pos", F.struct(*block).alias("_block"))
+    # a recipient meets the donors of all permutations in one row
+    wide = donors.groupBy(family, "_pos").agg(*[F.max(F.when(F.col("permutation") == k, F.col("_block"))).alias(f"_b{k}") for k in range(permutations_)])
+
+    def score(values: Column) -> Column:
+        out = F.col(base_score)
+        for b, w in zip(block, weights):
+            out = out + F.lit(float(w)) * values[b]
+        return out
+
+    scores = F.array(*[score(F.col(f"_b{k}")) for k in range(permutations_)])
+    joined = cut_lineage(wide.join(recipients, [family, "_pos"]).select(F.col(tie).alias("_tie"), F.col(catastrophic).cast("double").alias("_c"), scores.alias("_s")))
     # Quantised scores make natural order buckets; equal scores are split by the tie hash.
-    cuts = cut_points(ids.withColumn("_s", score), "_s")
-    ranked = grouped_rank(joined, ["permutation"], cut_bucket("score", cuts, tie), ["score", tie], "_r")
-    n = pool.agg(F.floor(F.count(F.lit(1)) * F.lit(issue_fraction)).alias("_k"), F.avg(F.col(catastrophic).cast("double")).alias("pool_rate"))
-    cut = attach_one_row(ranked, n).filter(F.col("_r") <= F.col("_k"))
-    return cut.groupBy("permutation").agg(F.count(F.lit(1)).alias("n_issued"), F.avg(F.col(catastrophic).cast("double")).alias("issued_rate"), F.max("pool_rate").alias("pool_rate")).withColumn(
+    cuts = cut_points(ids.withColumn("_s", score(F.struct(*block))), "_s")
+    n = pool.agg(F.floor(F.count(F.lit(1)) * F.lit(issue_fraction)).cast("double").alias("_k"), F.avg(F.col(catastrophic).cast("double")).alias("pool_rate")).first()
+    rows = joined.select("_tie", "_c", F.posexplode("_s").alias("permutation", "_score")).withColumns({"_t": F.lit(1.0), "_k": F.lit(n["_k"])})
+    cut = within_quota(rows.withColumn("_at", F.struct(*cut_bucket("_score", cuts, "_tie"))), "permutation", ["_score", "_tie"])
+    return cut.select("permutation", F.col("n").cast("bigint").alias("n_issued"), div("c", "v").alias("issued_rate"), F.lit(n["pool_rate"]).cast("double").alias("pool_rate")).withColumn(
         "risk_reduction", 1.0 - div("issued_rate", "pool_rate"))
-
