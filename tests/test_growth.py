@@ -46,3 +46,7 @@ def test_joint_assignments_join_no_support(spark, sf_dir):
 
 def test_permutations_are_not_ranked_as_rows(spark, sf_dir):
     assert "o_orderkey" not in _plan(spark, sf_dir, "t11_permutation_control")
+
+
+def test_fairness_audit_deals_rows_by_their_number(spark, sf_dir):
+    assert "RepartitionByExpression [condition_id" in _plan(spark, sf_dir, "u4_fairness_audit")

@@ -11,7 +11,7 @@ from trajlytics.functions.columns import div
 from trajlytics.operators.closed_form import activation_gate
 from trajlytics.operators.contracts import fingerprint
 from trajlytics.operators.scoring import comparison_summary, pair_methods
-from trajlytics.plans.scan import grouped_rank
+from trajlytics.plans.scan import dealt_rows, grouped_rank
 
 
 def compare_runs(before: DataFrame, after: DataFrame, on: Sequence[str], value: str, *, tolerance: float = 1e-9) -> DataFrame:
@@ -74,7 +74,7 @@ def ablation_table(scores: DataFrame, units: Sequence[str], unit: str, compariso
 def fairness_audit(pack: DataFrame, *, coordinate: Sequence[str], method: str, methods: Sequence[str], invariant: Sequence[str], gated: str, specialist: str, fallback: str) -> DataFrame:
     """Every coordinate has all methods, shared columns agree, and the gated method equals its route."""
     at = lambda m: F.max(F.when(F.col(method) == m, F.col("predicted")))
-    per = pack.groupBy(*coordinate).agg(
+    per = dealt_rows(pack.select(*coordinate, method, *invariant, "gate_ready", "predicted"), coordinate).groupBy(*coordinate).agg(
         F.countDistinct(method).alias("_m"), F.count(F.lit(1)).alias("_n"), *[(~F.min(c).eqNullSafe(F.max(c))).alias(f"_v_{c}") for c in invariant],
         F.max("gate_ready").alias("_g"), at(gated).alias("_x"), at(specialist).alias("_s"), at(fallback).alias("_f"))
     d = F.abs(F.col("_x") - F.when(F.col("_g"), F.col("_s")).otherwise(F.col("_f")))

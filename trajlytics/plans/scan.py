@@ -82,6 +82,16 @@ def _per_key(totals: DataFrame, n_keys: int) -> DataFrame:
     return totals.withColumn(_KEY, F.struct(F.lit(0), *[F.col(_AT)[f"k{i}"] for i in range(n_keys)]))
 
 
+#: Rows of one partition of ``dealt_rows``.
+DEALT_ROWS = 500_000
+
+
+def dealt_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by many small keys into partitions of about DEALT_ROWS rows. An aggregate per key then holds that many rows
+    in a task, however few bytes they had before they were exploded or joined."""
+    return df.repartition(df.count() // DEALT_ROWS + 1, *keys)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join on named columns in which a null key meets a null key; right must not repeat other names of left."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
