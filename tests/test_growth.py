@@ -50,3 +50,7 @@ def test_permutations_are_not_ranked_as_rows(spark, sf_dir):
 
 def test_fairness_audit_deals_rows_by_their_number(spark, sf_dir):
     assert "RepartitionByExpression [condition_id" in _plan(spark, sf_dir, "u4_fairness_audit")
+
+
+def test_failure_summary_deals_rows_by_their_number(spark, sf_dir):
+    assert "RepartitionByExpression [cluster_id" in _plan(spark, sf_dir, "g20_failure_summary")

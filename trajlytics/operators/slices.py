@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajlytics.functions.columns import div, is_finite
 from trajlytics.operators.scoring import pair_methods, score_trajectories
-from trajlytics.plans.scan import order_statistics
+from trajlytics.plans.scan import dealt_rows, order_statistics
 
 ALL = "__all__"
 
@@ -86,7 +86,8 @@ def landmark_summary(scores: DataFrame, *, landmark: str, scenario: str, unit: s
 
 def failure_summary(fits: DataFrame, *, partition: str, family: str, entity: str) -> DataFrame:
     """Clusters per partition x family x number of credible families x failure status."""
-    per = fits.groupBy(partition, family, entity).agg(
+    dealt = dealt_rows(fits.select(partition, family, entity, "credible_variant", "model_id", "fit_status"), [entity])
+    per = dealt.groupBy(partition, family, entity).agg(
         F.countDistinct(F.when(F.col("credible_variant"), F.col("model_id"))).alias("credible_families"),
         F.count(F.when(F.col("fit_status") != "ok", 1)).alias("_f"), F.count(F.lit(1)).alias("_n"))
     status = F.when(F.col("_f") == 0, "all_succeeded").when(F.col("_f") == F.col("_n"), "all_failed").otherwise("some_failed")
