@@ -1,5 +1,6 @@
 """What one task holds and what is shuffled must not depend on how many keys happen to fit one partition."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trajlytics.operators import grid as Y
@@ -54,3 +55,24 @@ def test_fairness_audit_deals_rows_by_their_number(spark, sf_dir):
 
 def test_failure_summary_deals_rows_by_their_number(spark, sf_dir):
     assert "RepartitionByExpression [cluster_id" in _plan(spark, sf_dir, "g20_failure_summary")
+
+
+@pytest.mark.parametrize("name", ["u1_leaky_control", "u1_future_label_firewall"])
+def test_firewall_keeps_both_runs_in_one_row(spark, sf_dir, name):
+    plan = _plan(spark, sf_dir, name)
+    assert "user_id" not in plan and "Generate" not in plan and "FullOuter" not in plan
+
+
+def test_error_columns_are_scored_like_single_errors(spark):
+    from trajlytics.operators import scoring as G
+    rows = [(k, float(t), (t * 7 + k) % 5 - 2.0, None if t == 3 else t * 0.5) for k in (1, 2) for t in range(1, 3 + 4 * k)] + [(3, 1.0, -4.0, 0.25)]
+    df = spark.createDataFrame(rows, "k int, t double, a double, b double")
+    wide = {r["k"]: r for r in G.score_error_columns(df, ["k"], "t", ["a", "b"], "FLOOR(t / 2)").collect()}
+    for k in (1, 2, 3):
+        pts = sorted((t, a) for i, t, a, _ in rows if i == k)
+        area = sum(0.5 * (abs(e0) + abs(e1)) * (t1 - t0) for (t0, e0), (t1, e1) in zip(pts, pts[1:]))
+        want = area / (pts[-1][0] - pts[0][0]) if len(pts) > 1 else abs(pts[0][1])
+        assert abs(wide[k]["a"]["iae"] - want) < 1e-12 and wide[k]["n_points"] == len(pts)
+    for name in ("a", "b"):
+        for r in G.score_errors(df, ["k"], "t", name, "FLOOR(t / 2)").collect():
+            assert r.asDict() == {"k": r["k"], "n_points": wide[r["k"]]["n_points"], **wide[r["k"]][name].asDict()}

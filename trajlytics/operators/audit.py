@@ -12,6 +12,7 @@ from trajlytics.operators.closed_form import activation_gate
 from trajlytics.operators.contracts import fingerprint
 from trajlytics.operators.scoring import comparison_summary, pair_methods
 from trajlytics.plans.scan import dealt_rows, grouped_rank
+from trajlytics.session import shared_path
 
 
 def compare_runs(before: DataFrame, after: DataFrame, on: Sequence[str], value: str, *, tolerance: float = 1e-9) -> DataFrame:
@@ -25,19 +26,35 @@ def compare_runs(before: DataFrame, after: DataFrame, on: Sequence[str], value:
         F.count(F.when(d > tolerance, 1)).alias("n_changed"), F.coalesce(F.max(d), F.lit(0.0)).alias("max_change"))
 
 
+def _changes(pairs: Sequence[tuple[Column, Column]], tolerance: float = 1e-9) -> list[Column]:
+    """Aggregates over rows that hold both runs: compared values, changed values and the largest change."""
+    d = [F.abs(a - b) for a, b in pairs]
+    return [(F.count(F.lit(1)) * len(d)).alias("n_coordinates"), sum((F.count(F.when(x > tolerance, 1)) for x in d), F.lit(0)).alias("n_changed"),
+            F.coalesce(F.max(F.greatest(*d, F.lit(None))), F.lit(0.0)).alias("max_change")]
+
+
 def future_label_firewall(
-    obs: DataFrame, landmarks: Sequence[int], predict: Callable[[DataFrame, int], DataFrame], score: Callable[[DataFrame, DataFrame], DataFrame],
-    *, on: Sequence[str], shock: float,
+    obs: DataFrame, landmarks: Sequence[int], predict: Callable[[DataFrame, int, dict, tuple], DataFrame], score: Callable[[DataFrame, list], DataFrame],
+    *, methods: Sequence[str], shock: float,
 ) -> DataFrame:
-    """Shift every outcome at or after each landmark: predictions must not move, scores must."""
+    """Shift every outcome at or after each landmark: predictions must not move, scores must.
+
+    Both runs are columns of one row. ``predict(obs, landmark, {name: outcome column}, keep)`` gives, per later check-up, a struct of
+    the methods' forecasts under each name; it is handed the outcomes of the two runs under neutral names and nothing else of them.
+    ``score(errors, columns)`` gives a struct with ``iae`` per unit and error column. The observations are written once and read by all parts."""
+    spark, path = obs.sparkSession, shared_path(obs.sparkSession, "observations.parquet")
+    obs.drop("capacity_loss_pct").write.parquet(path)
+    stored = spark.read.parquet(path)
+    runs = {"before": "_y0", "after": "_y1"}
     out = None
     for p in landmarks:
-        late = F.col("checkup_index") >= p
-        mutated = obs.withColumn("capacity_retention_pct", F.when(late, F.col("capacity_retention_pct") + shock).otherwise(F.col("capacity_retention_pct"))).withColumn(
-            "capacity_loss_pct", 100.0 - F.col("capacity_retention_pct"))
-        before, after = predict(obs, p), predict(mutated, p)
-        pred = compare_runs(before, after, on, "predicted")
-        sc = compare_runs(score(before, obs), score(after, mutated), [on[0], "method"], "iae")
+        y = F.col("capacity_retention_pct")
+        both = stored.withColumns({"_y0": y, "_y1": F.when(F.col("checkup_index") >= p, y + shock).otherwise(y)}).drop("capacity_retention_pct")
+        wide = predict(both, p, runs, ("_y0", "_y1"))
+        pred = wide.agg(*_changes([(F.col("before")[m], F.col("after")[m]) for m in methods]))
+        errors = {f"_{run}_{i}": F.col(run)[m] - F.col(outcome) for run, outcome in runs.items() for i, m in enumerate(methods)}
+        scores = score(wide.withColumns(errors), list(errors))
+        sc = scores.agg(*_changes([(F.col(f"_before_{i}")["iae"], F.col(f"_after_{i}")["iae"]) for i in range(len(methods))]))
         row = pred.select(F.lit(p).alias("landmark"), "n_coordinates", F.col("n_changed").alias("n_changed_predictions"), F.col("max_change").alias("max_prediction_change"))
         joined = row.withColumn("_s", sc.select(F.struct("n_changed", "max_change")).scalar()).select(
             "*", F.col("_s.n_changed").alias("n_changed_scores"), F.col("_s.max_change").alias("max_score_change")).drop("_s")

@@ -23,14 +23,28 @@ def score_trajectories(
 
 def score_errors(errors: DataFrame, keys: Sequence[str], time: str, error: str, bucket: str | Column) -> DataFrame:
     """Per key: integrated absolute error over the span, MAE, RMSE and the final error."""
-    seg = previous(errors.select(*keys, time, F.col(error).alias("_e")), keys, bucket, [time], {"_pt": time, "_pe": "_e"})
-    area = 0.5 * (F.abs("_e") + F.abs("_pe")) * (F.col(time) - F.col("_pt"))
-    e = F.col("_e")
-    agg = seg.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_points"), F.sum(area).alias("_area"), F.min(time).alias("_t0"), F.max(time).alias("_t1"),
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max_by(e, F.col(time)).alias("final_error"))
-    iae = F.coalesce(div("_area", F.col("_t1") - F.col("_t0")), F.abs("final_error"))
-    return agg.select(*keys, "n_points", iae.alias("iae"), "mae", "rmse", "final_error", F.abs("final_error").alias("final_abs_error"))
+    return score_error_columns(errors, keys, time, [error], bucket).select(*keys, "n_points", f"{error}.*")
+
+
+def score_error_columns(errors: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], bucket: str | Column) -> DataFrame:
+    """Scores of several errors of the same points: one row per key with ``n_points`` and a struct of scores per column.
+
+    A point travels once for all columns; methods, runs or variants become rows only after they are scored."""
+    errs = {c: (f"_e{i}", f"_pe{i}") for i, c in enumerate(columns)}
+    seg = previous(errors.select(*keys, time, *[F.col(c).alias(e) for c, (e, _) in errs.items()]), keys, bucket, [time], {"_pt": time, **{p: e for e, p in errs.values()}})
+    aggs = []
+    for i, (name, prior) in enumerate(errs.values()):
+        e = F.col(name)
+        area = 0.5 * (F.abs(e) + F.abs(prior)) * (F.col(time) - F.col("_pt"))
+        aggs += [F.sum(area).alias(f"_area{i}"), F.avg(F.abs(e)).alias(f"_mae{i}"), F.sqrt(F.avg(e * e)).alias(f"_rmse{i}"), F.max_by(e, F.col(time)).alias(f"_final{i}")]
+    agg = seg.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.min(time).alias("_t0"), F.max(time).alias("_t1"), *aggs)
+
+    def scores(i: int) -> Column:
+        final = F.col(f"_final{i}")
+        iae = F.coalesce(div(f"_area{i}", F.col("_t1") - F.col("_t0")), F.abs(final))
+        return F.struct(iae.alias("iae"), F.col(f"_mae{i}").alias("mae"), F.col(f"_rmse{i}").alias("rmse"), final.alias("final_error"), F.abs(final).alias("final_abs_error"))
+
+    return agg.select(*keys, "n_points", *[scores(i).alias(c) for i, c in enumerate(columns)])
 
 
 def method_summary(scores: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ PRED, SCORE = P.pred_sql(), P.score_sql()
 @register("u1_future_label_firewall", "landmark:i n_coordinates:i n_changed_predictions:i max_prediction_change:d n_changed_scores:i passed:b", with_ctes("cal", " UNION ALL ".join(
     f"SELECT {p} AS landmark, COUNT(*) * 3 AS n_coordinates, 0 AS n_changed_predictions, 0e0 AS max_prediction_change, COUNT(DISTINCT condition_id) * 3 AS n_changed_scores, TRUE AS passed FROM calendar_obs WHERE checkup_index >= {p}" for p in (6, 10))))
 def u1_future_label_firewall(spark, sf_dir):
-    return U.future_label_firewall(P.observations(spark, sf_dir), [6, 10], P.predictions, P.score_pack, on=["condition_id", "checkup_index", "method"], shock=-7.25)
+    return U.future_label_firewall(P.observations(spark, sf_dir), [6, 10], P.forecasts, P.score_columns, methods=P.METHODS, shock=-7.25)
 
 
 @register("u2_recomputation_audit", "method n_units:i mean_iae:d max_difference:d passed:b", with_ctes("cal", "SELECT method, COUNT(*) AS n_units, AVG(iae) AS mean_iae, 0e0 AS max_difference, TRUE AS passed FROM score GROUP BY 1", PRED, SCORE))

@@ -15,20 +15,19 @@ LANDMARKS = (6, 10)
 SHOCK = -7.25
 
 
-def leaky_predictions(obs, landmark: int):
+def leaky_forecasts(obs, landmark: int, outcomes: dict, keep: tuple = ()):
     """Persistence that peeks: a thousandth of the mean of the target's own future is added to it."""
-    future = obs.filter(F.col("checkup_index") >= landmark).groupBy("condition_id").agg(F.avg("capacity_retention_pct").alias("_peek"))
-    pack = P.predictions(obs, landmark)
-    peeks = F.when(F.col("method") == "persistence", F.col("_peek") / 1000.0).otherwise(F.lit(0.0))
-    return pack.join(future, "condition_id").withColumn("predicted", F.col("predicted") + peeks).drop("_peek")
+    future = obs.filter(F.col("checkup_index") >= landmark).groupBy("condition_id").agg(*[F.avg(y).alias(f"_peek_{name}") for name, y in outcomes.items()])
+    wide = P.forecasts(obs, landmark, outcomes, keep).join(future, "condition_id")
+    peeks = {name: F.col(name).withField("persistence", F.col(name)["persistence"] + F.col(f"_peek_{name}") / 1000.0) for name in outcomes}
+    return wide.withColumns(peeks).drop(*[f"_peek_{name}" for name in outcomes])
 
 
 @register("u1_leaky_control", "landmark:i n_coordinates:i n_changed_predictions:i max_prediction_change:d passed:b", with_ctes("cal", " UNION ALL ".join(
     f"""SELECT {p} AS landmark, COUNT(*) * 3 AS n_coordinates, COUNT(*) AS n_changed_predictions, {-SHOCK / 1000} AS max_prediction_change, FALSE AS passed
     FROM calendar_obs WHERE checkup_index >= {p}""" for p in LANDMARKS)))
 def u1_leaky_control(spark, sf_dir):
-    on = ["condition_id", "checkup_index", "method"]
-    return U.future_label_firewall(P.observations(spark, sf_dir), list(LANDMARKS), leaky_predictions, P.score_pack, on=on, shock=SHOCK)
+    return U.future_label_firewall(P.observations(spark, sf_dir), list(LANDMARKS), leaky_forecasts, P.score_columns, methods=P.METHODS, shock=SHOCK)
 
 
 @register("u2_disturbed_control", "method n_units:i passed:b", with_ctes("cal", """

@@ -18,16 +18,28 @@ def observations(spark, sf_dir):
 def predictions(obs, p: int = 10, keep: tuple = ()):
     """Three prefix-only forecasts at every later check-up. Of the future only coordinates are used;
     ``keep`` carries further columns along for callers that score the same rows."""
+    wide = forecasts(obs, p, {"_p": "capacity_retention_pct"}, keep)
+    rest = [c for c in wide.columns if c != "_p"]
+    entries = F.array(*[F.struct(F.lit(m).alias("method"), F.col("_p")[m].alias("predicted")) for m in METHODS])
+    return wide.select(*rest, F.explode(entries).alias("m")).select(*rest, "m.*")
+
+
+def forecasts(obs, p: int, outcomes: dict, keep: tuple = ()):
+    """The same forecasts, one row per later check-up: for each name of ``outcomes`` a struct of the methods' forecasts that
+    are fitted to that outcome column alone."""
     pre = obs.filter(F.col("checkup_index") < p)
-    d, y = F.col("elapsed_days"), F.col("capacity_retention_pct")
-    fit = pre.groupBy("condition_id").agg(
-        F.max_by(y, "checkup_index").alias("_l"), F.max(d).alias("_d"),
-        F.greatest(F.sum(F.sqrt(d) * (100.0 - y)) / F.nullif(F.sum(d), F.lit(0.0)), F.lit(0.0)).alias("_k"),
-        F.least(F.regr_slope(y, d), F.lit(0.0)).alias("_b"))
+    d = F.col("elapsed_days")
+    aggs, structs = [], []
+    for i, (name, outcome) in enumerate(outcomes.items()):
+        y, last, k, b = F.col(outcome), F.col(f"_l{i}"), F.col(f"_k{i}"), F.col(f"_b{i}")
+        aggs += [F.max_by(y, "checkup_index").alias(f"_l{i}"),
+                 F.greatest(F.sum(F.sqrt(d) * (100.0 - y)) / F.nullif(F.sum(d), F.lit(0.0)), F.lit(0.0)).alias(f"_k{i}"),
+                 F.least(F.regr_slope(y, d), F.lit(0.0)).alias(f"_b{i}")]
+        values = [last, 100.0 - k * F.sqrt(d), last + b * (d - F.col("_d"))]
+        structs.append(F.struct(*[v.alias(m) for m, v in zip(METHODS, values)]).alias(name))
+    fit = pre.groupBy("condition_id").agg(F.max(d).alias("_d"), *aggs)
     coords = obs.filter(F.col("checkup_index") >= p).select("condition_id", "checkup_index", "temperature_c", "storage_soc_fraction", "elapsed_days", *keep)
-    values = [F.col("_l"), 100.0 - F.col("_k") * F.sqrt(d), F.col("_l") + F.col("_b") * (d - F.col("_d"))]
-    entries = F.array(*[F.struct(F.lit(m).alias("method"), v.alias("predicted")) for m, v in zip(METHODS, values)])
-    return coords.join(fit, "condition_id").select(*coords.columns, F.explode(entries).alias("m")).select(*coords.columns, "m.*")
+    return coords.join(fit, "condition_id").select(*coords.columns, *structs)
 
 
 def scored(spark, sf_dir, p: int = 10):
@@ -39,6 +51,10 @@ def score_pack(pack, obs):
                                 predicted="predicted", observed="capacity_retention_pct", bucket=DAY_BUCKET)
 
 
+def score_columns(errors, columns):
+    return G.score_error_columns(errors, ["condition_id"], "elapsed_days", columns, DAY_BUCKET)
+
+
 def with_error(spark, sf_dir, p: int = 10):
     pack = predictions(observations(spark, sf_dir), p, keep=("capacity_retention_pct",))
     return pack.withColumn("error", F.col("predicted") - F.col("capacity_retention_pct"))
