@@ -76,3 +76,28 @@ def test_error_columns_are_scored_like_single_errors(spark):
     for name in ("a", "b"):
         for r in G.score_errors(df, ["k"], "t", name, "FLOOR(t / 2)").collect():
             assert r.asDict() == {"k": r["k"], "n_points": wide[r["k"]]["n_points"], **wide[r["k"]][name].asDict()}
+
+
+def test_backtest_deals_points_by_their_number(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "backtest_minimum_slice")
+    assert "RepartitionByExpression [_at" in plan and plan.count("Relation [l_") <= 8
+
+
+def test_dealt_points_keep_their_previous_row(spark, monkeypatch):
+    from trajlytics.plans import scan
+    monkeypatch.setattr(scan, "DEALT_ROWS", 100)
+    df = spark.range(2000).selectExpr("id % 7 AS k", "id AS t")
+    found = scan.previous(df, ["k"], "FLOOR(t / 50)", ["t"], {"p": "t"}, rows=2000)
+    assert found.filter("t >= 7").count() == found.filter("p = t - 7").count() == 1993 and found.filter("p IS NULL").count() == 7
+    assert scan.dealt_by(df, ["k", "t"], 2000).rdd.getNumPartitions() == 21
+
+
+def test_fits_of_the_capacity_are_fits_of_the_retention(spark):
+    from trajlytics.operators import features as X
+    df = spark.createDataFrame([(c, i, 1.1 - 0.002 * i * (c + 1) + 0.01 * (i * 7 % 3)) for c in range(3) for i in range(1 + (c == 2), 30)], "cell_id int, cycle_index int, discharge_capacity_ah double")
+    want = {r["cell_id"]: r for r in X.with_retention(df).groupBy("cell_id").agg(
+        F.max_by("retention", "cycle_index").alias("l"), F.regr_slope("retention", "cycle_index").alias("b"), F.regr_intercept("retention", "cycle_index").alias("a")).collect()}
+    got = {r["cell_id"]: r for r in X.normalised_fits(df).collect()}
+    assert set(got) == set(want) == {0, 1}
+    for c in want:
+        assert max(abs(got[c][n] - want[c][m]) for n, m in (("last_value", "l"), ("slope", "b"), ("intercept", "a"))) < 1e-9

@@ -198,6 +198,18 @@ def with_retention(cycles: DataFrame, keys: Sequence[str] = ("cell_id",), *, ini
     return null_safe_join(cycles, base, keys).withColumn("retention", 100.0 * F.col("discharge_capacity_ah") / F.col("normalization_ah"))
 
 
+def normalised_fits(prefix: DataFrame, keys: Sequence[str] = ("cell_id",), *, initial: int = 5) -> DataFrame:
+    """Normalisation of `with_retention` with the last value and the non-positive linear fit of the retention of a prefix."""
+    keys, x, q = list(keys), F.col("cycle_index").cast("double"), F.col("discharge_capacity_ah")
+    first, m = F.col("cycle_index").between(1, initial), F.col("normalization_ah")
+    agg = prefix.groupBy(*keys).agg(
+        F.median(F.when(first, q)).alias("normalization_ah"), F.count(F.when(first, 1)).alias("_n"),
+        F.max_by(q, x).alias("_last"), F.regr_slope(q, x).alias("_b"), F.avg(q).alias("_q"), F.avg(x).alias("_x"))
+    scaled = agg.filter((F.col("_n") == initial) & (m > 0)).withColumn("slope", F.least(100.0 * F.col("_b") / m, F.lit(0.0)))
+    return scaled.select(*keys, "normalization_ah", (100.0 * F.col("_last") / m).alias("last_value"), "slope",
+                         (100.0 * F.col("_q") / m - F.col("slope") * F.col("_x")).alias("intercept"))
+
+
 def retention_issues(cycles: DataFrame, keys: Sequence[str] = ("cell_id",), *, initial: int = 5) -> DataFrame:
     """Cells that `with_retention` leaves out: their rows, initial cycles and the reason."""
     issue = F.when(F.col("n_initial") != initial, "initial_cycles_incomplete").when(~(F.col("normalization_ah") > 0) | F.col("normalization_ah").isNull(), "normalization_not_positive")

@@ -26,12 +26,12 @@ def score_errors(errors: DataFrame, keys: Sequence[str], time: str, error: str,
     return score_error_columns(errors, keys, time, [error], bucket).select(*keys, "n_points", f"{error}.*")
 
 
-def score_error_columns(errors: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], bucket: str | Column) -> DataFrame:
+def score_error_columns(errors: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], bucket: str | Column, *, rows: int | None = None) -> DataFrame:
     """Scores of several errors of the same points: one row per key with ``n_points`` and a struct of scores per column.
 
-    A point travels once for all columns; methods, runs or variants become rows only after they are scored."""
+    A point travels once for all columns; methods, runs or variants become rows only after they are scored. ``rows``: see `previous`."""
     errs = {c: (f"_e{i}", f"_pe{i}") for i, c in enumerate(columns)}
-    seg = previous(errors.select(*keys, time, *[F.col(c).alias(e) for c, (e, _) in errs.items()]), keys, bucket, [time], {"_pt": time, **{p: e for e, p in errs.values()}})
+    seg = previous(errors.select(*keys, time, *[F.col(c).alias(e) for c, (e, _) in errs.items()]), keys, bucket, [time], {"_pt": time, **{p: e for e, p in errs.values()}}, rows=rows)
     aggs = []
     for i, (name, prior) in enumerate(errs.values()):
         e = F.col(name)

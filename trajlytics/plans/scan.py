@@ -92,6 +92,12 @@ def dealt_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(df.count() // DEALT_ROWS + 1, *keys)
 
 
+def dealt_by(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """``dealt_rows`` by a bound of the number of rows that is known without counting them, such as the rows of the table read;
+    never fewer partitions than cores."""
+    return df if rows is None else df.repartition(max(rows // DEALT_ROWS + 1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join on named columns in which a null key meets a null key; right must not repeat other names of left."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
@@ -170,9 +176,11 @@ def grouped_rank(
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], bucket, order: Sequence[str | Column], cols: dict[str, str | Column]
+    df: DataFrame, keys: Sequence[str], bucket, order: Sequence[str | Column], cols: dict[str, str | Column], *, rows: int | None = None
 ) -> DataFrame:
-    """Values of the preceding row along ``order`` (nulls of that row included). Null keys are one key."""
+    """Values of the preceding row along ``order`` (nulls of that row included). Null keys are one key.
+
+    ``rows``: a known bound of the number of rows, by which they are dealt into partitions of about DEALT_ROWS."""
     staged, buckets = _placed(df, keys, bucket)
     order_cols = [col(o) for o in order]
     payload = F.struct(*[col(c).alias(n) for n, c in cols.items()])
@@ -181,7 +189,7 @@ def previous(
     key_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)])
     totals = _per_key(staged.groupBy(_AT).agg(F.max_by(payload, key_struct).alias("_t")), len(keys))
     totals = totals.withColumn("_o", F.last("_t").over(wo)).select(_AT, "_o")
-    local = staged.withColumn("_p", F.lag(payload).over(w))
+    local = dealt_by(staged, [_AT], rows).withColumn("_p", F.lag(payload).over(w))
     picked = F.coalesce(F.col("_p"), F.col("_o"))
     return local.join(totals, _AT).select(*df.columns, *[picked[n].alias(n) for n in cols])
 

@@ -61,16 +61,16 @@ def huber_sql(rounds: int = 3) -> list[str]:
       FROM (SELECT *, LAG(e1) OVER w AS p1, LAG(e0) OVER w AS p0 FROM (SELECT r.cell_id, r.cycle_index, LEAST(GREATEST(a + b * r.cycle_index, 0), 110) - retention AS e1, last_value - retention AS e0
           FROM ret r JOIN lin USING (cell_id) WHERE r.cycle_index > last_cycle) WINDOW w AS (PARTITION BY cell_id ORDER BY cycle_index)) GROUP BY 1)""", RET, PRE, LIN))
 def backtest_minimum_slice(spark, sf_dir):
-    ret = retention(spark, sf_dir).select("cell_id", "cycle_index", "retention")
-    x, y = F.col("cycle_index").cast("double"), F.col("retention")
-    slope = F.least(F.regr_slope(y, x), F.lit(0.0))
-    fits = ret.filter(F.col("cycle_index") <= P).groupBy("cell_id").agg(
-        F.max_by(y, x).alias("last_value"), slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))
-    suffix = ret.filter(F.col("cycle_index") > P).join(fits, "cell_id")
+    items = A.cycles(spark, sf_dir).select("cell_id", "cycle_index", "discharge_capacity_ah")
+    x, q = F.col("cycle_index").cast("double"), F.col("discharge_capacity_ah")
+    # Retention is a multiple of the capacity per cell, so its fit is that of the capacity, scaled: one pass for both.
+    fits = X.normalised_fits(items.filter(F.col("cycle_index") <= P), ["cell_id"])
+    suffix = items.filter(F.col("cycle_index") > P).join(fits, "cell_id")
+    y = 100.0 * q / F.col("normalization_ah")
     values = {"target_prefix_persistence": F.col("last_value"), "target_prefix_full_linear": K.clip(F.col("intercept") + F.col("slope") * x, 0.0, 110.0)}
-    errors = suffix.select("cell_id", "cycle_index", F.explode(F.array(*[F.struct(F.lit(m).alias("model_id"), (v - y).alias("error")) for m, v in values.items()])).alias("m")).select(
-        "cell_id", "cycle_index", "m.*")
-    scores = G.score_errors(errors, ["cell_id", "model_id"], "cycle_index", "error", "FLOOR(cycle_index / 4096)")
+    errors = suffix.select("cell_id", "cycle_index", *[(v - y).alias(m) for m, v in values.items()])
+    wide = G.score_error_columns(errors, ["cell_id"], "cycle_index", list(values), "FLOOR(cycle_index / 4096)", rows=A.table(spark, sf_dir, "lineitem").count())
+    scores = wide.select("cell_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(m)["iae"].alias("iae")) for m in values])).alias("m")).select("cell_id", "m.*")
     paired = G.pair_methods(scores, ["cell_id"], "model_id", "iae", [("target_prefix_full_linear", "target_prefix_persistence")])
     return G.comparison_summary(paired, ["candidate", "comparator"], "cell_id")
 
