@@ -101,3 +101,17 @@ def test_fits_of_the_capacity_are_fits_of_the_retention(spark):
     assert set(got) == set(want) == {0, 1}
     for c in want:
         assert max(abs(got[c][n] - want[c][m]) for n, m in (("last_value", "l"), ("slope", "b"), ("intercept", "a"))) < 1e-9
+
+
+def test_voltage_at_charge_scans_once_with_few_buckets(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "d8_voltage_at_charge")
+    assert "lag(" in plan and "_pq" not in plan and "1000.0" not in plan
+
+
+def test_voltage_at_charge_finds_the_sample_before(spark):
+    from trajlytics.operators import features as X
+    rows = [("a", 1.0, 4.0, 0.0, 0.0), ("a", 2.0, 3.8, 2.0, 2.0), ("a", 3.0, 9.9, 2.0, 0.0), ("a", 4.0, 3.4, 4.0, 2.0), ("b", 1.0, 4.1, 0.0, 0.0), ("b", 2.0, 4.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, timestamp_s double, voltage_V double, cumulative_ah double, interval_ah double")
+    got = {r["k"]: r for r in X.voltage_at_charge(df, ["k"], [0.0, 1.0, 3.0, 3.5]).collect()}
+    assert [round(got["a"][f"voltage_at_{i}"], 9) for i in range(4)] == [4.0, 3.9, 3.6, 3.5]
+    assert [got["b"][f"voltage_at_{i}"] and round(got["b"][f"voltage_at_{i}"], 9) for i in range(4)] == [4.1, 4.066666667, 4.0, None]

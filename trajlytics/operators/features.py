@@ -164,20 +164,23 @@ def first_downward_crossings(samples: DataFrame, keys: Sequence[str], bucket: st
                        F.when(F.col("timestamp_s").isNull(), "not_reached").otherwise("ok").alias("status"))
 
 
-def voltage_at_charge(integrated: DataFrame, keys: Sequence[str], bucket: str | Column, points: Sequence[float]) -> DataFrame:
-    """Voltage at fixed cumulative charges and the mean dV/dQ between the first and last of them."""
-    keys = list(keys)
-    rising = integrated.filter((F.col("interval_ah") > 1e-12) | (F.col("cumulative_ah") == 0)).select(
-        *keys, "timestamp_s", "voltage_V", "cumulative_ah")
-    seg = previous(rising, keys, bucket, ["timestamp_s"], {"_pq": "cumulative_ah", "_pv": "voltage_V"})
-    hits = [F.min(F.when(F.col("cumulative_ah") >= p - 1e-9, F.struct("cumulative_ah", "timestamp_s", "_pq", "voltage_V", "_pv"))).alias(f"_h{i}")
-            for i, p in enumerate(points)]
-    agg = seg.groupBy(*keys).agg(*hits)
+def voltage_at_charge(integrated: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """Voltage at fixed cumulative charges and the mean dV/dQ between the first and last of them.
+
+    The charge never falls along time, so the sample before the first one that reaches a point is the last one that does not."""
+    keys, q = list(keys), F.col("cumulative_ah")
+    rising = integrated.filter((F.col("interval_ah") > 1e-12) | (q == 0)).select(*keys, "timestamp_s", "voltage_V", "cumulative_ah")
+    hits = []
+    for i, p in enumerate(points):
+        reached = q >= p - 1e-9
+        hits += [F.min(F.when(reached, F.struct("cumulative_ah", "timestamp_s", "voltage_V"))).alias(f"_h{i}"),
+                 F.max(F.when(~reached, F.struct("timestamp_s", "cumulative_ah", "voltage_V"))).alias(f"_p{i}")]
+    agg = rising.groupBy(*keys).agg(*hits)
 
     def at(i: int, p: float) -> Column:
-        h = F.col(f"_h{i}")
-        frac = F.least(F.coalesce(div(F.lit(p) - h["_pq"], h["cumulative_ah"] - h["_pq"]), F.lit(1.0)), F.lit(1.0))
-        return F.coalesce(h["_pv"] + frac * (h["voltage_V"] - h["_pv"]), h["voltage_V"])
+        h, prior = F.col(f"_h{i}"), F.col(f"_p{i}")
+        frac = F.least(F.coalesce(div(F.lit(p) - prior["cumulative_ah"], h["cumulative_ah"] - prior["cumulative_ah"]), F.lit(1.0)), F.lit(1.0))
+        return F.when(h.isNotNull(), F.coalesce(prior["voltage_V"] + frac * (h["voltage_V"] - prior["voltage_V"]), h["voltage_V"]))
 
     cols = [at(i, p).alias(f"voltage_at_{i}") for i, p in enumerate(points)]
     slope = (F.col(f"voltage_at_{len(points) - 1}") - F.col("voltage_at_0")) / (points[-1] - points[0])

@@ -109,7 +109,9 @@ def d5_external_issues(spark, sf_dir):
 
 
 CKEY = ["test_id"]
-CBUCKET = "FLOOR(timestamp_s / 1e3)"
+# A bucket of the order holds at most 100,000 samples of a test (times are whole seconds), and a test of 600 samples has few of them:
+# with a bucket per sample or so, the bucket table would be as large as the samples.
+CBUCKET = "FLOOR(timestamp_s / 1e5)"
 # Time-ordered samples: one row per (test, time), voltage falling on average over the run.
 _TRACE = """trace AS (SELECT test_id, timestamp_s, ANY_VALUE(current_A) AS current_A, AVG(voltage_V) AS v0, MAX(temperature_C) AS temperature_C FROM curve_samples GROUP BY 1, 2),
     tr AS (SELECT test_id, timestamp_s, -(1e0 + temperature_C / 1e2) AS current_A, 4.2e0 - timestamp_s / 1.5e5 + v0 / 2e1 AS voltage_V, temperature_C FROM trace),
@@ -155,7 +157,7 @@ def d7_first_crossings(spark, sf_dir):
         FROM (SELECT *, LAG(cumulative_ah) OVER w AS pq, LAG(voltage_V) OVER w AS pv2 FROM cum WHERE ah > 1e-12 OR cumulative_ah = 0 WINDOW w AS (PARTITION BY test_id ORDER BY timestamp_s)) r,
         (VALUES (5e0), (20e0)) AS t(p) GROUP BY 1, 2)) GROUP BY 1""", _TRACE))
 def d8_voltage_at_charge(spark, sf_dir):
-    return X.voltage_at_charge(X.integrate_curve(_trace(spark, sf_dir), CKEY, CBUCKET), CKEY, CBUCKET, [5.0, 20.0])
+    return X.voltage_at_charge(X.integrate_curve(_trace(spark, sf_dir), CKEY, CBUCKET), CKEY, [5.0, 20.0])
 
 
 @register("d9_retention", "cell_id cycle_index:i retention:d", with_ctes("cycles", "SELECT cell_id, cycle_index, retention FROM ret", RET))
