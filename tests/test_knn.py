@@ -89,3 +89,33 @@ def test_asked_rows_get_the_neighbours_of_the_whole_run(spark):
     want = sorted(tuple(r) for r in whole.filter("query_id % 20 = 0").select("query_id", "rank", "ref_id", "distance").collect())
     assert len(want) == 18
     assert sorted(tuple(r) for r in asked.select("query_id", "rank", "ref_id", "distance").collect()) == want
+
+
+def test_every_signature_asks(spark, sf_dir):
+    """The registered query and its check leave no signature out."""
+    from oracle import connect
+    from trajlytics.queries import catalog
+
+    con = connect(sf_dir)
+    n = con.execute("SELECT COUNT(*) FROM embeddings").fetchone()[0]
+    got = catalog.callables()["e22_nearest_std_loo"](spark, sf_dir).agg(F.count(F.lit(1)), F.countDistinct("query_id")).first()
+    assert tuple(got) == (5 * n, n)
+    assert con.execute(f"SELECT COUNT(*), COUNT(DISTINCT query_id) FROM ({catalog.checks()['e22_nearest_std_loo']})").fetchone() == (5 * n, n)
+
+
+@pytest.mark.parametrize("shift,digits,copies", [(0.0, 9, 1), (0.0, 1, 1), (1e6, 9, 1), (0.0, 9, 40)])
+def test_closest_is_the_plain_search(monkeypatch, shift, digits, copies):
+    """Far from zero, with equal distances, among copies, and with values that are too large or no numbers."""
+    monkeypatch.setattr(knn, "SLICE", 5000)
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.round(rng.normal(size=(600 // copies, 3)), digits), copies, axis=0) + shift
+    x[5, 2], x[7, 1], x[9, 0] = np.nan, np.inf, 1e200
+    w, ids = np.where(rng.random(x.shape) < 0.1, 0.0, rng.uniform(0.5, 2, x.shape)), np.arange(len(x))
+    with np.errstate(all="ignore"):
+        at, near, dist = knn.closest(x[:200], w[:200], ids[:200], x, ids, 4)
+        for q in range(200):
+            d = np.sqrt(np.mean((w[q] * (x - x[q])) ** 2, axis=1))
+            d[q] = np.inf
+            want = [i for i in np.argsort(d, kind="stable")[:4] if np.isfinite(d[i])]
+            assert near[at == q].tolist() == want
+            assert dist[at == q].tolist() == d[want].tolist()
